@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("warc", "exact_dedup", "mixing", "packing", "near_dedup")
+MODULES = ("warc", "exact_dedup", "mixing", "packing", "near_dedup", "quality")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
