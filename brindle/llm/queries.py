@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("warc", "exact_dedup", "mixing", "packing", "near_dedup", "quality", "pii")
+MODULES = ("warc", "exact_dedup", "mixing", "packing", "near_dedup", "quality", "pii", "fingerprints")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
