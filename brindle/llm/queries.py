@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("warc", "exact_dedup", "mixing", "packing", "near_dedup", "quality", "pii", "fingerprints")
+MODULES = ("suffix_dedup", "warc", "exact_dedup", "licenses", "quality", "pii", "mixing", "packing", "fingerprints", "near_dedup")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
