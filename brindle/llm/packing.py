@@ -15,6 +15,7 @@ stays null; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +28,10 @@ from .common import table
 NAME = "op8_pack_sequences"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-#: Distinct words held in a task's table; beyond it the table is begun anew.
-MOST_WORDS = 400_000
+#: Distinct words in each of the two generations of a task's table.
+MOST_WORDS = 300_000
+#: Letters, then marks but no apostrophe: ASCII, and the precomposed letters U+00C0 to U+017F whose lower case is one letter too.
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 def vocabulary() -> str:
@@ -39,27 +42,74 @@ def vocabulary() -> str:
 
 
 class WordEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, by a table of its blank-separated words."""
+    """Ids of a text as little-endian unsigned 32-bit bytes, by a table of its blank-separated words.
+
+    The table has two generations: a full one becomes the old one, whose words move back as they are met, so frequent
+    words are never encoded again and memory is bounded. A new word of letters and the marks that end it is parted
+    between them and lower-cased, as the tokenizer does, and its parts go to the tokenizer's model alone; so its many
+    forms share their stem's ids. Other words go through the whole tokenizer."""
 
     def __init__(self, path: str, most: int = MOST_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model, self.visible = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.young, self.old, self.stems = {}, {}, {}
+        # only a tokenizer of this make may be parted into letters and marks
+        probe = "Été, straße&&& x!! aBc ñandú."
+        self.parts = b"".join(self._word(w) or b"" for w in probe.split()) == self._ids(self.tokenizer.encode(probe, add_special_tokens=False).ids)
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: bytes) -> bytes:
         words = text.split()  # bytes.split() parts at the six ASCII blanks only
-        parts = list(map(self.known.get, words))
+        parts = list(map(self.young.get, words))
         if None in parts:
-            new = list({w for w, p in zip(words, parts) if p is None})
-            found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found)}
+            fresh = self._learn({w for w, p in zip(words, parts) if p is None})
             parts = [fresh[w] if p is None else p for w, p in zip(words, parts)]
-            if len(self.known) + len(fresh) > self.most:
-                self.known = {}
-            self.known |= {w: x for w, x in fresh.items() if len(w) <= 64}
         return b"".join(parts)
 
+    def _stem(self, stem: str) -> bytes:
+        if not stem.isascii():
+            stem = self.visible.pre_tokenize_str(stem)[0][0]
+        return self._ids([t.id for t in self.model.tokenize(stem)])
+
+    def _word(self, word: str) -> bytes | None:
+        m = _WORD.fullmatch(word)
+        if not m:
+            return None
+        out = b""
+        for part in m.groups():
+            if part:
+                part = part.lower()
+                if (x := self.stems.get(part)) is None:
+                    x = self.stems[part] = self._stem(part)
+                out += x
+        return out
+
+    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        fresh, whole = {}, []
+        for w in new:
+            x = self.old.get(w)
+            if x is None and self.parts:
+                x = self._word(w.decode())
+            if x is None:
+                whole.append(w)
+            else:
+                fresh[w] = x
+        for w, e in zip(whole, self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)):
+            fresh[w] = self._ids(e.ids)
+        if len(self.stems) > self.most:
+            self.stems = {}
+        if len(self.young) + len(fresh) > self.most:
+            self.young, self.old = {}, self.young
+        self.young |= {w: x for w, x in fresh.items() if len(w) <= 64}
+        return fresh
+
 
 def _pieces(path: str, capacity: int, end_id: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
