@@ -1,4 +1,6 @@
 """Registered queries and their oracle SQL, by name."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import queries as _queries
+
+QUERIES = _queries.QUERIES
+ORACLE = _queries.ORACLE
