@@ -11,7 +11,7 @@ def same_rows(spark, sf_dir: str, query, sql: str) -> None:
     for f in os.listdir(sf_dir):
         if f.endswith(".parquet"):
             db.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{sf_dir}/{f}'")
-    want = db.execute(sql).fetch_arrow_table()
+    want = db.execute(sql).to_arrow_table()
     assert sorted(got.column_names) == sorted(want.column_names)
     db.register("got", got)
     db.register("want", want)
