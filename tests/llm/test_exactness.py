@@ -24,7 +24,7 @@ def test_matches_sql(spark, sf_dir, name):
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in sorted(QUERIES)] == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{i}" for i in range(1, 11))
 
 
 # ------------------------------------------------------------------ suffix arrays
@@ -167,12 +167,12 @@ def test_words_are_parted_as_the_tokenizer_does():
 
 
 def test_every_capacity_holds():
-    tokens = np.random.default_rng(8).integers(1, 1000, 400)
+    tokens = np.random.default_rng(8).integers(1, 700, 400)
     for rule in ("norm", "dot"):
         bins, offsets = packing.vector_best_fit(tokens, 1000, 3, 600_000, (1.0, 0.5, 0.5), rule)
         for b in np.unique(bins):
             own = tokens[bins == b]
-            assert own.sum() <= 1000 and len(own) <= 3 and (own**2).sum() <= max(600_000, own[0] ** 2)
+            assert own.sum() <= 1000 and len(own) <= 3 and (own**2).sum() <= 600_000
     with pytest.raises(ValueError):
         packing.vector_best_fit(np.array([11]), 10, 5, 1000, (1.0, 0.0, 0.0), "norm")
 
