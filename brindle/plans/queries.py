@@ -94,7 +94,10 @@ def s_sum(term: str, count: str = R64) -> str:
 S_NORM = f"{S_EMB}, {s_ranges('e', 'id >= 20')}, n AS (SELECT id, label, f, {s_scaled()} AS x FROM e, r)"
 S_DIST = f"{S_NORM}, d AS (SELECT q.id AS query_id, w.id AS id, w.label, {s_sum('(q.x[i] - w.x[i]) * (q.x[i] - w.x[i])')} AS distance FROM n q, n w WHERE q.id < 20 AND w.id >= 20)"
 S_KNN = f"{S_DIST}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM d QUALIFY place <= 10)"
-KNN_COLS = ("query_id", "id", "label", "distance", F.col("place").cast("long").alias("place"))
+
+
+def placed(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "id", "label", "distance", F.col("place").cast("long").alias("place"))
 
 
 # ---------------------------------------------------------------- ranges, scaling, scalars
@@ -262,12 +265,12 @@ def cosine_norm(spark, sf_dir):
 # ---------------------------------------------------------------- neighbours and votes
 @query(f"WITH {S_KNN} SELECT query_id, id, label, distance, place FROM k")
 def knn_linear(spark, sf_dir):
-    return K.knn(*sides(spark, sf_dir), EMB).select(*KNN_COLS)
+    return placed(K.knn(*sides(spark, sf_dir), EMB))
 
 
 @query(f"""WITH {S_EMB.replace("embedding::DOUBLE[]", "list_transform(embedding, lambda v: v::FLOAT)::DOUBLE[]")}, {S_KNN.split(', ', 1)[1].split('FROM embeddings), ', 1)[1]} SELECT query_id, id, label, distance, place FROM k""")
 def knn_float(spark, sf_dir):
-    return K.knn_float(*sides(spark, sf_dir), EMB).select(*KNN_COLS)
+    return placed(K.knn_float(*sides(spark, sf_dir), EMB))
 
 
 @query(_cosine_sql("CASE WHEN abs(dot / (a * b)) <= 1 THEN 1 - acos(dot / (a * b)) / pi() END").replace("SELECT query_id, id, round(", "SELECT query_id, id, similarity, place FROM (SELECT query_id, id, round(") + " WHERE abs(dot / (a * b)) <= 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dot / (a * b) DESC, id) <= 10) JOIN (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY dot / (a * b) DESC, id) AS place FROM p WHERE abs(dot / (a * b)) <= 1) USING (query_id, id)")
@@ -432,7 +435,7 @@ def _zorder(spark, sf_dir, n_curves: int) -> DataFrame:
 
 @query(f"WITH {S_FOUR}, {S_C1}, cand AS ({s_near('a', 10)}), {S_REFINE} SELECT query_id, id, label, distance, place FROM kk")
 def knn_zorder(spark, sf_dir):
-    return _zorder(spark, sf_dir, 1).select(*KNN_COLS)
+    return placed(_zorder(spark, sf_dir, 1))
 
 
 S_MULTI = f"{S_FOUR}, {S_C1}, {S_C2}, cand AS ({s_near('a', 10)} UNION {s_near('b', 10)}), {S_REFINE}"
@@ -440,7 +443,7 @@ S_MULTI = f"{S_FOUR}, {S_C1}, {S_C2}, cand AS ({s_near('a', 10)} UNION {s_near('
 
 @query(f"WITH {S_MULTI} SELECT query_id, id, label, distance, place FROM kk")
 def knn_zorder_multi(spark, sf_dir):
-    return _zorder(spark, sf_dir, 2).select(*KNN_COLS)
+    return placed(_zorder(spark, sf_dir, 2))
 
 
 @query(f"""WITH {S_MULTI}, ex AS (SELECT q.id AS query_id, {s_sum('(q.x[i] - w.x[i]) * (q.x[i] - w.x[i])')} AS distance FROM na q, na w WHERE q.id < 20 AND w.id >= 20),
@@ -474,7 +477,7 @@ def _projected_sql() -> str:
 
 @query(_projected_sql())
 def knn_projected(spark, sf_dir):
-    return zorder.knn_projected(*sides(spark, sf_dir), EMB, n_curves=2, half=64).select(*KNN_COLS)
+    return placed(zorder.knn_projected(*sides(spark, sf_dir), EMB, n_curves=2, half=64))
 
 
 def _fjlt_sql() -> str:
@@ -644,7 +647,7 @@ def kd_level_split(spark, sf_dir):
 
 @query(ORACLE["knn_linear"])
 def knn_kdtree(spark, sf_dir):
-    return kdtree.knn_kdtree(*sides(spark, sf_dir), EMB, leaf=64).select(*KNN_COLS)
+    return placed(kdtree.knn_kdtree(*sides(spark, sf_dir), EMB, leaf=64))
 
 
 S_PLAIN = f"{S_EMB}, d AS (SELECT q.id AS query_id, w.id, w.label, {s_sum('(q.f[i] - w.f[i]) * (q.f[i] - w.f[i])')} AS distance FROM e q, e w WHERE q.id < 20 AND w.id >= 20)"
@@ -654,14 +657,14 @@ S_PLAIN = f"{S_EMB}, d AS (SELECT q.id AS query_id, w.id, w.label, {s_sum('(q.f[
 def knn_rptree(spark, sf_dir):
     q, w = sides(spark, sf_dir)
     tree = rptree.fit(w.withColumn("seq", F.col("id")), DIM)
-    return rptree.knn_rptree(q, w, tree, DIM).select(*KNN_COLS)
+    return placed(rptree.knn_rptree(q, w, tree, DIM))
 
 
 @query()
 def knn_rptree_defeatist(spark, sf_dir):
     q, w = sides(spark, sf_dir)
     tree = rptree.fit(w.withColumn("seq", F.col("id")), DIM)
-    return rptree.knn_rptree(q, w, tree, DIM, defeatist=True).select(*KNN_COLS)
+    return placed(rptree.knn_rptree(q, w, tree, DIM, defeatist=True))
 
 
 # ---------------------------------------------------------------- evaluation
