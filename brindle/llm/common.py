@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 BLANK_CLASS = r"[ \t-\r]"
 WORD_CLASS = r"[^ \t-\r]+"
 BLANKS = " \t\n\x0b\x0c\r"
+#: Spark removes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,10 +41,14 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str, *by: str, codec: str = "zstd") -> DataFrame:
-        """Writes df as Parquet and reads it again; releases the shuffle files that fed it."""
-        writer = df.write.mode("overwrite").option("compression", codec)
-        (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
-        release(self.spark)
+        """Writes df as Parquet and reads it again. The shuffle files that fed it go when it is written: no later plan uses them."""
+        conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            writer = df.write.mode("overwrite").option("compression", codec)
+            (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:
@@ -55,12 +60,6 @@ class Scratch:
             return
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's context cleaner delete shuffle files that no plan refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def whole(text: str | Column) -> Column:
     """A text, null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
