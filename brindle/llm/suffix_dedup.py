@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,15 @@ def run_names(data: np.ndarray, start: np.ndarray, n_windows: np.ndarray) -> np.
     return mixed((sums[start + n_windows + WINDOW - 1] - sums[start]) * inverse[start] + n_windows.astype(np.uint64))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """What is exchanged of an array; doc_ids, places and text shrink further than an exchange's own codec makes them."""
+    return zstandard.compress(x.tobytes(), 1)
+
+
+def unpacked(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), kind) for x in column] or [np.zeros(0, kind)])
+
+
 def token(key: np.ndarray, shards: int) -> np.ndarray:
     """What is exchanged of a key: its shard and its lower 40 bits."""
     return ((key >> np.uint64(40)) % np.uint64(shards)) << np.uint64(40) | (key & _LOW)
@@ -310,7 +320,7 @@ def _send(shards: int):
                 own = order[first]  # of each distinct run, that of the smallest doc_id
                 for s, at in split_by(shard[own]):
                     at = own[at]
-                    rows.append((s, block, name[at].tobytes(), doc[at].tobytes(), n_windows[at].astype(np.uint32).tobytes(), data[ragged(offset[at], n_windows[at] + WINDOW - 1)].tobytes()))
+                    rows.append((s, block, name[at].tobytes(), packed(doc[at]), packed(n_windows[at].astype(np.uint32)), packed(data[ragged(offset[at], n_windows[at] + WINDOW - 1)])))
         columns = list(zip(*rows)) or [[]] * 6
         return pa.table({x.split()[0]: pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, (x, c) in enumerate(zip(SENT.split(", "), columns))})
 
@@ -326,7 +336,7 @@ def _resolve(group: pa.Table) -> pa.Table:
     def whole(name: str, kind) -> np.ndarray:
         return np.concatenate([np.frombuffer(x.as_py(), kind) for x in group[name]])
 
-    name, doc, n_windows, data = whole("names", np.uint64), whole("docs", np.int64), whole("sizes", np.uint32).astype(np.int64), whole("data", np.uint8)
+    name, doc, n_windows, data = whole("names", np.uint64), unpacked(group["docs"], np.int64), unpacked(group["sizes"], np.uint32).astype(np.int64), unpacked(group["data"], np.uint8)
     block = np.repeat(group["block"].to_numpy(), [len(x.as_py()) // 8 for x in group["names"]])
     size = n_windows + WINDOW - 1
     offset = np.cumsum(size) - size
@@ -364,7 +374,7 @@ def _resolve(group: pa.Table) -> pa.Table:
     rows = []
     for b, own in split_by(block[entry]):
         e, s = entry[own], stretch[own]
-        rows.append((b, name[e].tobytes(), s_begin[s].astype(np.uint32).tobytes(), s_end[s].astype(np.uint32).tobytes(), s_owner[s].tobytes()))
+        rows.append((b, name[e].tobytes(), packed(s_begin[s].astype(np.uint32)), packed(s_end[s].astype(np.uint32)), packed(s_owner[s])))
     columns = list(zip(*rows)) or [[]] * 5
     return pa.table({x.split()[0]: pa.array(c, pa.binary() if i else pa.int64()) for i, (x, c) in enumerate(zip(BACK.split(", "), columns))})
 
@@ -390,7 +400,7 @@ def _remove(docs: pa.Table, back: pa.Table) -> pa.Table:
         def whole(column: str, kind) -> np.ndarray:
             return np.concatenate([np.frombuffer(x.as_py(), kind) for x in back[column]] or [np.zeros(0, kind)])
 
-        b_name, b_begin, b_end, b_owner = whole("names", np.uint64), whole("begins", np.uint32), whole("ends", np.uint32), whole("owners", np.int64)
+        b_name, b_begin, b_end, b_owner = whole("names", np.uint64), unpacked(back["begins"], np.uint32), unpacked(back["ends"], np.uint32), unpacked(back["owners"], np.int64)
         by = np.argsort(b_name, kind="stable")
         b_name, b_begin, b_end, b_owner = b_name[by], b_begin[by].astype(np.int64), b_end[by].astype(np.int64), b_owner[by]
         done = 0
