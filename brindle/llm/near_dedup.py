@@ -8,9 +8,9 @@ registers are exact 64-bit keys; with 32 bands a pair at J = 0.8 shares none wit
 Documents with the same shingle set are one class, found by a map-side combined group on the set's 128-bit hash, so
 copies cost one row however many there are. Classes that share a band key form a bucket. All pairs of a bucket are never
 formed: its members are compared with a hub, the member that meets most others over all bands (of a base and its edited
-copies that is the base); then only members that still differ in component are left, again with the next hubs, or in
-pairs once their number is counted to be small against the table. So every pair that shares a key is either compared,
-or known to be in one component; no bucket is capped. A compared pair passes the ratio of set sizes, then the likelihood estimate
+copies that is the base); then only members that still differ in component are left. In small buckets they are compared
+directly; in large ones an exact prefix filter on what differs from the hub finds the pairs that can be linked. So every
+pair that shares a key is compared, known to be in one component, or proven not to be linked; no bucket is capped. A compared pair passes the ratio of set sizes, then the likelihood estimate
 of J from the two sketches (six standard errors below the threshold), then exact counts on both full sets.
 
 Edge cases: null texts count as empty, and empty texts are linked with nothing, not even each other; texts with fewer
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -183,7 +183,7 @@ def _link(scratch: Scratch, rows: DataFrame, named: DataFrame, members: DataFram
     texts = rows.join(ids.select(F.col("rep").alias("doc_id"), "h1"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "h1")
     texts = scratch.write(texts.mapInArrow(_own_text(width), "doc_id long, text string"), "texts")
     order = F.struct("met", (-F.col("rep")).alias("minus"))
-    members = scratch.write(members.join(ids.select("rep", "met"), "rep").select("rep", "key", order.alias("rank")), "ranked")
+    members = scratch.write(members.join(ids.select("rep", "met", "n"), "rep").select("rep", "key", "n", order.alias("rank")), "ranked")
 
     def linked(pairs: DataFrame, tag: str) -> DataFrame:
         pairs = pairs.filter("a <> b").select("a", "b").distinct()
@@ -195,39 +195,86 @@ def _link(scratch: Scratch, rows: DataFrame, named: DataFrame, members: DataFram
         sure = near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(width, percent), "a long, b long")
         return scratch.write(sure, f"{tag}-links")
 
-    links, labels, last, step = None, None, None, 0
-    while True:
-        if labels is None:
-            rest = members.withColumn("comp", F.col("rep"))
-        else:
-            own = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-            split = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-            rest = own.join(split, "key")
-        rest = scratch.write(rest.select("rep", "key", "rank", "comp"), f"rest{step}")
-        per_bucket = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("rank"))
-        work = per_bucket.agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not work["rows"]:
-            return labels
-        final = step > 0 and work["pairs"] <= 40 * work["rows"]
-        if final:  # few are left: compare them all
-            x, y = rest.select("key", F.col("rep").alias("a"), F.col("comp").alias("c")), rest.select("key", F.col("rep").alias("b"), F.col("comp").alias("d"))
-            pairs = x.join(y, "key").filter("a < b and c <> d")
-        else:
-            if last is not None:
-                rest = rest.join(last.withColumnRenamed("rank", "used"), "key", "left")
-                per_bucket = rest.filter("used IS NULL OR rank < used").groupBy("key").agg(F.max("rank").alias("rank"))
-            last = scratch.write(per_bucket.select("key", "rank"), f"hubs{step}")
-            hubs = last.select("key", (-F.col("rank.minus")).alias("b")).join(rest.select("key", F.col("rep").alias("b"), F.col("comp").alias("d")), ["key", "b"])
-            pairs = rest.select("key", F.col("rep").alias("a"), "comp").join(hubs, "key").filter("comp <> d")
-            if last.isEmpty():
-                return labels
-        new = linked(pairs, f"step{step}")
-        links = new if links is None else links.unionByName(new)
-        if not new.isEmpty():
-            labels = components(links, scratch, f"cc{step}")
-        if final:
-            return labels
-        step += 1
+    # round 1: every member with its bucket's hub
+    hubs = members.groupBy("key").agg(F.max("rank").alias("rank")).select("key", (-F.col("rank.minus")).alias("hub"))
+    met = scratch.write(members.join(hubs, "key").select("rep", "key", "n", "hub"), "met")
+    links = linked(met.select(F.col("rep").alias("a"), F.col("hub").alias("b")), "hub")
+    if links.isEmpty():
+        own = met.withColumn("comp", F.col("rep"))
+    else:
+        own = met.join(components(links, scratch, "cc0").withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    split = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high")
+    rest = scratch.write(own.join(split.select("key", "size"), "key").select("rep", "key", "n", "hub", "comp", "size"), "rest")
+    if rest.isEmpty():
+        return None if links.isEmpty() else components(links, scratch, "cc1")
+
+    # small buckets: what is in other components is compared directly; large ones: by what differs from the hub
+    small, large = rest.filter(F.col("size") <= SMALL), rest.filter(F.col("size") > SMALL)
+    x = small.select("key", F.col("rep").alias("a"), F.col("comp").alias("c"), F.col("n").alias("m"))
+    y = small.select("key", F.col("rep").alias("b"), F.col("comp").alias("d"), "n")
+    pairs = x.join(y, "key").filter(f"a < b AND c <> d AND least(m, n) * 100 >= greatest(m, n) * {percent}").select("a", "b")
+    pairs = scratch.write(pairs.unionByName(_differing(scratch, large, links, texts, width, percent)), "pairs")
+    more = linked(pairs, "rest")
+    links = links.unionByName(more)
+    return None if links.isEmpty() else components(links, scratch, "cc1")
+
+
+#: Members up to which a bucket is small.
+SMALL = 16
+
+
+def _deltas(width: int):
+    """Of each pair of a member and its hub: the symmetric difference of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: OrderedDict[int, np.ndarray] = OrderedDict()
+        for batch in batches:
+            out, sizes = [], []
+            for hub, x, y in zip(batch.column("hub").to_pylist(), batch.column("x").cast(pa.binary()), batch.column("y").cast(pa.binary())):
+                if hub not in recent:
+                    recent[hub] = next(shingle_sets([y.as_py()], width))
+                    if len(recent) > 64:
+                        recent.popitem(last=False)
+                recent.move_to_end(hub)
+                out.append(np.setxor1d(next(shingle_sets([x.as_py()], width)), recent[hub], assume_unique=True).view(np.int64))
+                sizes.append(len(recent[hub]))
+            columns = [batch.column(c) for c in ("hub", "rep", "comp", "n")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["hub", "rep", "comp", "n", "n_hub", "delta"])
+
+    return run
+
+
+def _differing(scratch: Scratch, large: DataFrame, links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of large buckets, in other components, that may be linked: an exact prefix filter on differences from the hub.
+
+    With X = hub + dX (symmetric differences), |X + Y| = |dX| + |dY| - 2 |dX & dY|, and a link means |X + Y| <= t (|X| + |Y|),
+    t = (1 - J) / (1 + J). So linked members share at least o = (|dX| + |dY| - t (|X| + |Y|)) / 2 of their differences,
+    and under one order of these by rarity they share one among the first |dX| - o + 1 and |dY| - o + 1. Where Y itself is
+    not linked to the hub, o >= (|dX| + t (|hub| - |X|)) / 2 whatever Y is, so short prefixes do; a member that is not
+    linked to the hub meets one that is with its long prefix, o >= |dX| - t |X| (1 + 1 / J). Edits of copies are mostly
+    their own, so the prefixes hardly meet, however large the bucket is."""
+    j = percent / 100
+    t = (1 - j) / (1 + j)
+    ids = large.select("hub", "rep", "comp", "n").distinct().filter("hub <> rep")
+    x, y = texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("y"))
+    deltas = ids.join(x, "rep").join(y, "hub").select("hub", "rep", "comp", "n", "x", "y").mapInArrow(_deltas(width), "hub long, rep long, comp long, n long, n_hub long, delta array<long>")
+    deltas = scratch.write(deltas.withColumn("nd", F.size("delta").cast("long")), "deltas")
+    near_hub = F.col("nd") <= t * (F.col("n") + F.col("n_hub")) + 1e-9
+    short = F.greatest(F.lit(1), F.ceil((F.col("nd") + t * (F.col("n_hub") - F.col("n"))) / 2 - 1e-6))
+    long_ = F.greatest(F.lit(1), F.ceil(F.col("nd") - t * F.col("n") * (1 + 1 / j) - 1e-6))
+    items = deltas.select("hub", "rep", "comp", "n", "nd", near_hub.alias("near"), short.alias("o_short"), long_.alias("o_long"), F.explode("delta").alias("item"))
+    rare = items.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    items = items.join(rare, ["hub", "item"])
+    # items of one member only come first in the order and meet nothing: they only use up places of the prefix
+    in_order = Window.partitionBy("hub", "rep").orderBy("df", "item")
+    shared = Window.partitionBy("hub", "rep")
+    items = items.withColumn("place", F.row_number().over(in_order) + F.col("nd") - F.count(F.lit(1)).over(shared))
+    items = items.withColumn("is_short", F.col("place") <= F.col("nd") - F.col("o_short") + 1).filter("is_short OR (NOT near AND place <= nd - o_long + 1)")
+    items = scratch.write(items.select("hub", "item", "rep", "comp", "n", "near", "is_short"), "prefixes")
+    one = items.filter("NOT near").select("hub", "item", F.col("rep").alias("a"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("is_short").alias("s"))
+    two = items.filter("is_short").select("hub", "item", F.col("rep").alias("b"), F.col("comp").alias("d"), "n", "near")
+    pairs = one.join(two, ["hub", "item"]).filter(f"c <> d AND (near OR (s AND a < b)) AND least(m, n) * 100 >= greatest(m, n) * {percent}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
