@@ -614,6 +614,12 @@ def _training(spark, sf_dir, size: int, workers: int) -> DataFrame:
     return windows.worker_rows(windows.mini_batches(rows, size), workers)
 
 
+def _full_batches(rows: DataFrame) -> list[int]:
+    """Every mini-batch that is full, in order."""
+    last = rows.agg(F.max("batch").alias("last")).first()["last"]
+    return [] if last is None else list(range(last + 1))
+
+
 def _weight_rows(spark, w) -> DataFrame:
     dim = w.shape[1] - 1
     return spark.createDataFrame([(c, a if a < dim else sgd.BIAS, float(w[c, a])) for c in range(len(w)) for a in range(dim + 1)], "class int, attr int, w double")
@@ -622,13 +628,13 @@ def _weight_rows(spark, w) -> DataFrame:
 @query()
 def sgd_train(spark, sf_dir):
     rows = _training(spark, sf_dir, 64, 2).withColumn("batch", F.col("batch").cast("int")).persist()
-    return _weight_rows(spark, sgd.train(rows, DIM, CLASSES, list(range(4)), workers=2, rate=0.01))
+    return _weight_rows(spark, sgd.train(rows, DIM, CLASSES, _full_batches(rows), workers=2, rate=0.01))
 
 
 @query()
 def sgd_onebit(spark, sf_dir):
     rows = _training(spark, sf_dir, 64, 2).withColumn("batch", F.col("batch").cast("int")).persist()
-    return _weight_rows(spark, sgd.train(rows, DIM, CLASSES, list(range(4)), workers=2, rate=0.01, one_bit=True, tau=0.05, stagger=2))
+    return _weight_rows(spark, sgd.train(rows, DIM, CLASSES, _full_batches(rows), workers=2, rate=0.01, one_bit=True, tau=0.05, stagger=2))
 
 
 @query()

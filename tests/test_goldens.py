@@ -1,12 +1,14 @@
 """Worked examples of single operators."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import vectors as V
 from brindle.operators import evaluation, projections, rptree, sgd, sparse, windows
 from brindle.operators.ranges import feature_ranges, widen, with_ranges
 from brindle.operators.topk import top_k
+from brindle.plans.registry import QUERIES
 
 
 def rows(spark, values):
@@ -86,6 +88,27 @@ def test_rounds_equal_a_plain_fold(spark):
     assert np.allclose(got, w)
 
 
+@pytest.mark.parametrize("one_bit", [False, True])
+def test_registered_training_uses_every_full_batch(spark, sf_dir, one_bit):
+    table = sorted(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label").collect())
+    z = np.hstack([np.array([r["embedding"] for r in table], float), np.ones((len(table), 1))])
+    y = np.where(np.array([[r["label"]] for r in table]) == np.arange(10), 1.0, -1.0)
+    w = np.zeros((10, 65))
+    es, el, tau = np.zeros((2, 10, 65)), np.zeros((2, 10, 65)), np.full((2, 10, 65), 0.05)
+    assert len(table) // 64 > 4
+    for b in range(len(table) // 64):
+        parts = [slice(b * 64 + k, b * 64 + 64, 2) for k in range(2)]
+        for k, g in enumerate([np.where(y[p] * (z[p] @ w.T) < 1, y[p], 0).T @ z[p] / 32 for p in parts]):
+            s = g + es[k] + el[k]
+            sent, sign = np.abs(s) + 1e-12 >= tau[k], np.where(s < 0, -1.0, 1.0)
+            w = w + 0.01 * (np.where(sent, sign * tau[k], 0) if one_bit else g)
+            el[k], es[k] = np.where(sent, sign * (np.abs(s) - tau[k]), 0), np.where(sent, 0, s)
+        if one_bit and b % 2:
+            tau[:] = np.maximum(1e-12, ((tau + np.abs(el)).mean(0) - np.abs(es).mean(0)) / 2)
+    got = QUERIES["sgd_onebit" if one_bit else "sgd_train"](spark, sf_dir).collect()
+    assert len(got) == 650 and np.allclose([r["w"] for r in got], w.ravel())
+
+
 def test_fjlt_rows_are_independent(spark):
     df = rows(spark, np.random.default_rng(0).random((4, 5)))
     both = {r["id"]: r["projected"] for r in projections.fjlt(df, 5, 3).collect()}
