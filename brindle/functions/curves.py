@@ -12,7 +12,7 @@ def morton_bits(q: str, dim: int, bits: int = 32) -> Column:
     if len(planes) <= 32:
         return F.expr(f"concat({', '.join(planes)})")
     # wide codes: one loop over planes, the bits of each dimension being taken once
-    rows = F.array(*[F.lpad(F.bin(F.col(q)[d]), bits, "0") for d in reversed(range(dim))])
+    rows = F.transform(F.reverse(q), lambda v: F.lpad(F.bin(v), bits, "0"))  # q is named once: a term for each dimension copies what is below it
     return F.transform(F.array(rows), lambda r: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(bits)), lambda b: F.array_join(F.transform(r, lambda x: F.substring(x, b, F.lit(1))), "")), ""))[0]
 
 

@@ -51,11 +51,15 @@ def normalize(x: str, low: str, high: str, types: tuple[int, ...], floor: float
 
 def quantize(x: str, types: tuple[int, ...], scale: int = 1_000_000) -> Column:
     """Unsigned 32-bit integers: numeric features are scaled then truncated, nominal ones truncated then scaled."""
+    if len(types) > WIDE and not any(types):
+        return F.transform(x, lambda v: (v * float(scale)).cast("long").bitwiseAND(UINT32))
     return _each([f"CAST({x}[{i}] AS BIGINT) * {scale}L & {UINT32}L" if kind else f"CAST({x}[{i}] * {scale}D AS BIGINT) & {UINT32}L" for i, kind in enumerate(types)])
 
 
 def shift(q: str, by: str, dim: int) -> Column:
     """Adds a shift to each quantised feature, modulo 2^32."""
+    if dim > WIDE:
+        return F.zip_with(q, by, lambda v, s: (v + s).bitwiseAND(UINT32))
     return _each([f"({q}[{i}] + {by}[{i}]) & {UINT32}L" for i in range(dim)])
 
 

@@ -75,9 +75,14 @@ def zorder_candidates(queries: DataFrame, window: DataFrame, header: Header, hal
     return out.distinct()
 
 
-def knn_zorder(queries: DataFrame, window: DataFrame, header: Header, k: int = 10, n_curves: int = 10, curve_header: Header | None = None, seed: int = 1) -> DataFrame:
-    """The k nearest of each query among the candidates of all curves. curve_header: the leading features that the curves use, if not all."""
-    found = zorder_candidates(queries, window, curve_header or header, k, n_curves, seed)
+def wide_half(window: DataFrame, least: int = 512) -> int:
+    """Half a candidate window that grows with the table: an eighth of its rows, and `least` at the fewest. Narrower ones lose neighbours as the table grows."""
+    return max(least, -(-window.count() // 8))
+
+
+def knn_zorder(queries: DataFrame, window: DataFrame, header: Header, k: int = 10, n_curves: int = 10, curve_header: Header | None = None, seed: int = 1, half: int | None = None) -> DataFrame:
+    """The k nearest of each query among the candidates of all curves. curve_header: the leading features that the curves use, if not all. half: half the window, k if not given."""
+    found = zorder_candidates(queries, window, curve_header or header, half or k, n_curves, seed)
     ranges = feature_ranges(window.unionByName(queries), header.dim)  # with the queries
     return refine(found, queries, window, header, k, ranges)
 

@@ -455,6 +455,24 @@ def eps_error(spark, sf_dir):
     return zorder.approximation_error(exact, _zorder(spark, sf_dir, 2), 10).select(F.round("epsilon", 9).alias("epsilon"), "n")
 
 
+def _zorder_wide(spark, sf_dir) -> DataFrame:
+    q, w = sides(spark, sf_dir)
+    return zorder.knn_zorder(q, w, EMB, half=zorder.wide_half(w))
+
+
+@query()
+def knn_zorder_wide(spark, sf_dir):
+    """Ten curves over all features, with a window that grows with the table; the queries above hold the operator against SQL on thin windows."""
+    return placed(_zorder_wide(spark, sf_dir))
+
+
+@query()
+def eps_error_wide(spark, sf_dir):
+    q, w = sides(spark, sf_dir)
+    exact = K.knn(q, w, EMB, 10, ranges=feature_ranges(w.unionByName(q), DIM))
+    return zorder.approximation_error(exact, _zorder_wide(spark, sf_dir), 10).select(F.round("epsilon", 9).alias("epsilon"), "n")
+
+
 # ---------------------------------------------------------------- projections
 MATRICES = [projections.sign_matrix(4, DIM, 1 + c) for c in range(2)]
 

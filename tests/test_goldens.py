@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import vectors as V
-from brindle.operators import evaluation, projections, rptree, sgd, sparse, windows
+from brindle.operators import evaluation, projections, rptree, sgd, sparse, windows, zorder
 from brindle.operators.ranges import feature_ranges, widen, with_ranges
 from brindle.operators.topk import top_k
+from brindle.plans import queries
 from brindle.plans.registry import QUERIES
 
 
@@ -156,6 +157,33 @@ def test_rp_tree_reach_is_exact(spark):
         assert [r["id"] for r in got.filter(F.col("query_id") == q).orderBy("place").collect()] == (np.argsort(d, kind="stable")[:5] + 5).tolist()
 
 
+def recall(spark, sf_dir, found):
+    """Share of the ten true neighbours by numpy, ranges with the queries, that were found; ids from 0 without gaps."""
+    x = np.array([r["embedding"] for r in sorted(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect())], float)
+    x = (x - x.min(0)) / (x.max(0) - x.min(0))
+    true = {(q, int(i) + 20) for q in range(20) for i in np.argsort(((x[20:] - x[q]) ** 2).sum(1), kind="stable")[:10]}
+    return len(true & {(r["query_id"], r["id"]) for r in found.select("query_id", "id").collect()}) / len(true)
+
+
+@pytest.mark.parametrize("name", ["knn_zorder_wide"])
+def test_wide_curves_find_the_neighbours(spark, name):
+    sf = "/root/testdata/sf0.1"
+    assert recall(spark, sf, QUERIES[name](spark, sf)) >= 0.9
+
+
+@pytest.mark.parametrize("search", [zorder.knn_zorder])
+def test_an_eighth_on_each_side_is_enough(spark, search):
+    """Windows that do not hold the whole table."""
+    sf = "/root/testdata/sf0.1"
+    q, w = queries.sides(spark, sf)
+    assert zorder.wide_half(w, 1) == 248 and recall(spark, sf, search(q, w, queries.EMB, half=248)) >= 0.9
+
+
+def test_error_of_wide_curves(spark):
+    got = QUERIES["eps_error_wide"](spark, "/root/testdata/sf0.1").first()
+    assert 1 <= got["epsilon"] < 1.01 and got["n"] == 20
+
+
 def test_empty_tables(spark):
     none = rows(spark, [[1.0, 2.0]]).filter("id < 0")
     assert feature_ranges(none, 2).first()["low"] == [None, None]
