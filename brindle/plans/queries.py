@@ -498,6 +498,13 @@ def knn_projected(spark, sf_dir):
     return placed(zorder.knn_projected(*sides(spark, sf_dir), EMB, n_curves=2, half=64))
 
 
+@query()
+def knn_projected_wide(spark, sf_dir):
+    """Ten curves, with a window that grows with the table."""
+    q, w = sides(spark, sf_dir)
+    return placed(zorder.knn_projected(q, w, EMB, half=zorder.wide_half(w)))
+
+
 def _fjlt_sql() -> str:
     import numpy as np
 

@@ -165,13 +165,13 @@ def recall(spark, sf_dir, found):
     return len(true & {(r["query_id"], r["id"]) for r in found.select("query_id", "id").collect()}) / len(true)
 
 
-@pytest.mark.parametrize("name", ["knn_zorder_wide"])
+@pytest.mark.parametrize("name", ["knn_zorder_wide", "knn_projected_wide"])
 def test_wide_curves_find_the_neighbours(spark, name):
     sf = "/root/testdata/sf0.1"
     assert recall(spark, sf, QUERIES[name](spark, sf)) >= 0.9
 
 
-@pytest.mark.parametrize("search", [zorder.knn_zorder])
+@pytest.mark.parametrize("search", [zorder.knn_zorder, zorder.knn_projected])
 def test_an_eighth_on_each_side_is_enough(spark, search):
     """Windows that do not hold the whole table."""
     sf = "/root/testdata/sf0.1"
