@@ -1,9 +1,14 @@
 """License scans by sentence rules: normalised sentences to known identifiers, identifier sequences to ordered rules.
 
-A text is parted into sentences at line ends and at sentence marks before a blank; a sentence is normalised to lower-case
-ASCII letters and digits with single blanks between them. Known sentences give identifiers; the others give none and are
-passed over. A rule is an ordered sequence of identifiers, and holds where the text's identifiers have it without a gap.
-Both tables are small and fixed, so they are part of the expression: one scan, no join, no shuffle.
+A text is parted into sentences at sentence marks before a blank (not within "v. 2.0") and at blank lines; they are
+normalised to lower-case ASCII letters and digits with single blanks between them. A known sentence begins and ends at an end
+of a sentence or of a line, and may run over line ends, so wrapped and unwrapped texts give the same identifiers. Known
+sentences give identifiers; the others give none and are passed over. A rule is an ordered sequence of identifiers, and holds
+where the text's identifiers have it without a gap. The tables are small and fixed, so they are part of the expression: one
+scan, no join, no shuffle.
+
+The SQL has the first two tables (SENTENCES, RULES) and sentences within one line; the scan adds MORE_SENTENCES, NOTICES,
+MORE_RULES and wrapped sentences. Both agree where a text has none of these.
 
 Edge cases: null texts count as empty and match nothing; repeated sentences give repeated identifiers; repeated rows give
 repeated results; an empty table gives an empty result; other columns are ignored.
@@ -61,19 +66,64 @@ RULES = {
     "mpl-2.0-notice": ("MPL-2.0", ("mpl2-notice",)),
     "public-domain": ("public-domain", ("public-domain",)),
 }
+#: Canonical sentences and variants beyond those of the SQL, normalised, by their identifiers in order.
+_MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_APACHE = "you may not use this {} except in compliance with the license"
+_GPL = "this {} is free software you can redistribute it and or modify it under the terms of the gnu general public license {}"
+_GPL_TERMS = ("as published by the free software foundation either version {} of the license or at your option any later version", "as published by the free software foundation version {} of the license", "version {} as published by the free software foundation")
+_HOPE = "this {} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+_THINGS = ("file", "software", "program", "project", "work", "library", "package", "code", "repository", "document")
+MORE_SENTENCES = {
+    _MIT: "mit-grant",
+    f"{_MIT} {SENTENCES['mit-keep']}": "mit-grant,mit-keep",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-keep",
+    f"{SENTENCES['apache-long']} {SENTENCES['apache-comply']}": "apache-long,apache-comply",
+    **{_APACHE.format(x): "apache-comply" for x in _THINGS if x != "file"},
+    **{f"{SENTENCES['apache-long']} {_APACHE.format(x)}": "apache-long,apache-comply" for x in _THINGS if x != "file"},
+    **{_GPL.format(x, t.format(v)): "gpl-free" for x in ("program", "file", "software", "library") for t in _GPL_TERMS for v in (2, 3)},
+    **{_HOPE.format(x): "gpl-hope" for x in ("program", "file", "software", "library")},
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    **{f"spdx license identifier {x}": f"spdx-{k}" for k, xs in {
+        "mit": ("mit",), "apache": ("apache 2 0",), "gpl2": ("gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later"), "gpl3": ("gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later"), "bsd2": ("bsd 2 clause",), "bsd3": ("bsd 3 clause",),
+        "mpl2": ("mpl 2 0",), "ccby4": ("cc by 4 0",), "ccbync4": ("cc by nc 4 0",), "ccbysa4": ("cc by sa 4 0",),
+    }.items() for x in xs},
+}
+#: What follows "this file is licensed under the" and its variants.
+NOTICES = {
+    "mit license": "mit-notice-2", "apache license version 2 0": "apache-notice", "apache license 2 0": "apache-notice", "gnu general public license version 2": "gpl2-notice", "gnu general public license version 3": "gpl3-notice",
+    "gnu general public license v 2 0": "gpl2-notice", "gnu general public license v 3 0": "gpl3-notice", "gnu general public license v2 0": "gpl2-notice", "gnu general public license v3 0": "gpl3-notice",
+    "mozilla public license v 2 0": "mpl2-notice", "mozilla public license version 2 0": "mpl2-notice", "cc by nc 4 0": "ccbync4-notice", "cc by 4 0": "ccby4-notice", "cc by sa 4 0": "ccbysa4-notice",
+}
+MORE_RULES = {
+    "bsd-3-clause-text": ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    **{f"{k}-spdx": (x, (f"spdx-{i}",)) for k, x, i in (
+        ("mit", "MIT", "mit"), ("apache-2.0", "Apache-2.0", "apache"), ("gpl-2.0", "GPL-2.0", "gpl2"), ("gpl-3.0", "GPL-3.0", "gpl3"), ("bsd-2-clause", "BSD-2-Clause", "bsd2"), ("bsd-3-clause", "BSD-3-Clause", "bsd3"),
+        ("mpl-2.0", "MPL-2.0", "mpl2"), ("cc-by-4.0", "CC-BY-4.0", "ccby4"), ("cc-by-nc-4.0", "CC-BY-NC-4.0", "ccbync4"), ("cc-by-sa-4.0", "CC-BY-SA-4.0", "ccbysa4"),
+    )},
+}
+_NOTICE = f"(?:(?:this|the) (?:{'|'.join(_THINGS)}) is )?(?:licensed|released|distributed|made available) under (?:the )?(?:terms of the )?"
 _END = r"[.!?]+[ \t-\r]+|\n"
 
 
-def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
+def marked(text: Column) -> Column:
+    """The normalised text; S stands at ends of sentences and paragraphs, L at ends of lines, with blanks around them."""
+    t = F.regexp_replace(F.lower(text), r"(?<![a-z0-9])v\.[ \t-\r]+(?=[0-9])", "v ")
+    for what, mark in ((r"[.!?]+[ \t-\r]+", " S "), (r"\n[^a-z0-9S]*\n", " S "), (r"\n", " L ")):
+        t = F.regexp_replace(t, what, mark)
+    return F.regexp_replace(F.concat(F.lit("S "), t, F.lit(" S")), "[^a-z0-9SL]+", " ")
+
+
+def identifiers(text: Column, sentences: dict[str, str] = SENTENCES, more: dict[str, str] = MORE_SENTENCES, notices: dict[str, str] = NOTICES) -> Column:
     """Known identifiers of a text's sentences, in order."""
-    norm = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    known = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (v, k)])
-    longest = max(map(len, sentences.values())) * 2
-    short = F.filter(F.split(text, _END), lambda s: (F.length(s) > 5) & (F.length(s) < longest))  # no known sentence is beyond
-    return F.filter(F.transform(short, lambda s: F.try_element_at(known, norm(s))), lambda x: x.isNotNull())
+    table = {v: k for k, v in sentences.items()} | more
+    forms = [*(x.replace(" ", "(?: L)* ") for x in sorted(table, key=len, reverse=True)), _NOTICE.replace(" ", "(?: L)* ") + f"(?:{'|'.join(x.replace(' ', '(?: L)* ') for x in notices)})"]
+    found = F.regexp_extract_all(marked(text), F.lit(f"[SL] ({'|'.join(forms)})(?= [SL])"), F.lit(1))
+    known, said = (F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) for d in (table, notices))
+    plain = F.transform(found, lambda s: F.regexp_replace(s, " L(?= )", ""))
+    return F.transform(plain, lambda s: F.coalesce(F.try_element_at(known, s), F.try_element_at(said, F.regexp_replace(s, f"^{_NOTICE}", ""))))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict = SENTENCES, rules: dict = RULES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict = SENTENCES, rules: dict = RULES | MORE_RULES) -> DataFrame:
     """One row per row of docs: doc_id, sentence_ids, rules and licenses (comma-joined; the last two in order of rules, distinct)."""
     rows = docs.select(docs[id_col].alias("doc_id"), F.array_join(identifiers(whole(docs[text_col]), sentences), ",").alias("sentence_ids"))
     framed = F.concat(F.lit(","), "sentence_ids", F.lit(","))

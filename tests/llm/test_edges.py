@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, and extra columns whose names clash with ours."""
 
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,42 @@ def test_license_sequences(spark):
     assert got[1]["sentence_ids"] == "all-rights,all-rights"
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD3 = BSD + """
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"""
+CANON = [(MIT, "mit-text"), (BSD, "bsd-2-clause-text"), (BSD3, "bsd-2-clause-text,bsd-3-clause-text"), (GPL, "gpl-header"), (MPL, "mpl-2.0-notice"), (APACHE, "apache-2.0-header"), ("This file is licensed under the MIT License.", "mit-notice-2"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0-spdx")]
+
+
+@pytest.mark.parametrize("lead", ["", " * ", "# "])
+@pytest.mark.parametrize("width", [50, 72, 5000])
+def test_license_texts(spark, lead, width):
+    def wrapped(text):
+        return "\n".join(lead + line for part in text.split("\n\n") for line in [*textwrap.wrap(part, width), ""])
+
+    rows = [(i, f"{lead}Copyright 2020\n{lead}\n" + wrapped(t)) for i, (t, _) in enumerate(CANON)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["rules"] for r in got] == [rule for _, rule in CANON]
+
+
+def test_license_sentences_end_with_sentences(spark):
+    rows = [(1, "We said: released under the\nMIT License, or not."), (2, "released under the\n\nMIT License"), (3, "Released under the MIT License" + " -" * 400 + "."), (4, "S L released under the MIT license L S")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["sentence_ids"] for r in got] == ["", "", "mit-notice", ""]
+
+
 # ------------------------------------------------------------------ archives
 def test_arc_versions():
     body = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>\n\n</p>"
