@@ -78,6 +78,15 @@ def test_mix_results(docs):
     assert taken.columns == docs.columns
 
 
+@pytest.mark.parametrize("limits", [{"max_docs": 3}, {"max_attention": 1000}])
+def test_packing_limits_bind(spark, limits):
+    docs = spark.createDataFrame([(i, "some words of a text " * (1 + i % 4)) for i in range(40)], "doc_id long, text string")
+    count = lambda **more: packing.pack(docs, capacity=128, **more).groupBy("sequence_id").agg(F.count("*").alias("docs"), F.sum(F.col("length") * F.col("length")).alias("attention")).collect()
+    free, bound = count(), count(**limits)
+    assert max(r["docs"] for r in free) > 3 and max(r["attention"] for r in free) > 1000 and len(bound) > len(free)
+    assert all(r["docs"] <= limits.get("max_docs", 99) and r["attention"] <= limits.get("max_attention", 99_999) for r in bound)
+
+
 def test_fingerprint_results(docs):
     rows = fingerprints.fingerprints(docs).collect()
     one = [r["fingerprint"] for r in rows if r["doc_id"] == 2]
