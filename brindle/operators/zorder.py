@@ -28,6 +28,11 @@ def codes(rows: DataFrame, ranges: DataFrame, header: Header, shifts: list[int]
     return q.select("id", C.morton_bits("q", header.dim, bits).alias("code"))
 
 
+def _known(ranges: DataFrame) -> DataFrame:
+    """The same row (two numbers a feature), computed now, so that each curve does not compute it again."""
+    return ranges.sparkSession.createDataFrame(ranges.collect(), ranges.schema)
+
+
 def curve_shifts(n_curves: int, dim: int, seed: int = 1, most: int = 1_000_000) -> list[list[int]]:
     """Random shifts of each curve; the first has none."""
     rng = np.random.default_rng(seed)
@@ -66,8 +71,7 @@ def candidates(curve: DataFrame, at: DataFrame, half: int) -> DataFrame:
 
 def zorder_candidates(queries: DataFrame, window: DataFrame, header: Header, half: int, n_curves: int = 1, seed: int = 1, bits: int = 21) -> DataFrame:
     """Distinct candidates over all curves."""
-    ranges = feature_ranges(window.unionByName(queries), header.dim)
-    out = None
+    ranges, out = _known(feature_ranges(window.unionByName(queries), header.dim)), None
     for shifts in curve_shifts(n_curves, header.dim, seed):
         coded = codes(window, ranges, header, shifts, bits)
         found = candidates(positions(coded), query_positions(coded, codes(queries, ranges, header, shifts, bits)), half)
@@ -83,7 +87,7 @@ def wide_half(window: DataFrame, least: int = 512) -> int:
 def knn_zorder(queries: DataFrame, window: DataFrame, header: Header, k: int = 10, n_curves: int = 10, curve_header: Header | None = None, seed: int = 1, half: int | None = None) -> DataFrame:
     """The k nearest of each query among the candidates of all curves. curve_header: the leading features that the curves use, if not all. half: half the window, k if not given."""
     found = zorder_candidates(queries, window, curve_header or header, half or k, n_curves, seed)
-    ranges = feature_ranges(window.unionByName(queries), header.dim)  # with the queries
+    ranges = _known(feature_ranges(window.unionByName(queries), header.dim))  # with the queries
     return refine(found, queries, window, header, k, ranges)
 
 
@@ -93,11 +97,11 @@ def knn_projected(queries: DataFrame, window: DataFrame, header: Header, k: int
     for curve in range(n_curves):
         matrix = sign_matrix(target, header.dim, seed + curve)
         q, w = (project(d, matrix).select("id", F.col("projected").alias("features")) for d in (queries, window))
-        ranges = feature_ranges(w.unionByName(q), target)
+        ranges = _known(feature_ranges(w.unionByName(q), target))
         coded = codes(w, ranges, flat)
         found = candidates(positions(coded), query_positions(coded, codes(q, ranges, flat)), half)
         out = found if out is None else out.unionByName(found)
-    return refine(out, queries, window, header, k, feature_ranges(window.unionByName(queries), header.dim))
+    return refine(out, queries, window, header, k, _known(feature_ranges(window.unionByName(queries), header.dim)))
 
 
 def approximation_error(exact: DataFrame, approximate: DataFrame, k: int) -> DataFrame:
