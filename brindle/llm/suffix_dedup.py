@@ -11,10 +11,14 @@ Building one suffix array over a corpus is what must be avoided, so only strings
 3. Entries are dealt into shards by key. A shard sorts the suffixes of its distinct runs by Larsson-Sadakane refinement
    (ranks by 8 bytes, then doubled, groups that are sorted being left out), takes common prefixes by Kasai's bound in
    lanes, and cuts the array where they are shorter than 50: windows between two cuts are equal, and their smallest
-   doc_id is the owner. What the blocks sent is merged by binary search of their runs in the shard's sorted distinct runs.
-4. Blocks get back owners smaller than their own, and cover bytes of all documents that come later than the owner.
+   doc_id is the owner. What the blocks sent is merged by binary search of their runs in the shard's sorted distinct runs,
+   and a key that has one distinct run is settled by that: only keys with several make up the suffix array, which is
+   refined until 50 bytes decide.
+4. Blocks get back owners smaller than their own, by the place of the run in the block, and cover bytes of all documents
+   that come later than the owner.
 
-Hashes only choose what is compared: windows are equal if their bytes are, and runs that are merged are compared by bytes.
+Hashes only choose what is compared: windows are equal if their bytes are, and runs that are merged, in a block or in a
+shard, are compared by bytes. Numbers of blocks, shards and partitions grow with the bytes of the table.
 
 Edge cases: null texts count as empty; texts under 50 bytes lose nothing; a repeat inside one document is no repeat; rows
 with the same doc_id are never removed for each other; rows with a null doc_id come after all others; an empty table
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions, table
-from .shingles import chunks, mixed, powers
+from .shingles import chunks, ragged, string_hashes
 
 NAME = "op1_suffix_dedup"
 WINDOW, GRAM = 50, 24
@@ -41,7 +45,6 @@ SPAN = WINDOW - GRAM + 1
 LAST = 2**63 - 1  # stands for a null doc_id
 _LOW, _MANY = np.uint64((1 << 40) - 1), (1 << 24) - 1
 _rng = np.random.default_rng(19)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _K = _rng.integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -52,6 +55,26 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts) + bytes(64), np.uint8), begins
 
 
+def gram_hashes(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Hashes of grams of 24 bytes, given as three lanes."""
+    out = a * _K[0]
+    out += b * _K[1]
+    out += c * _K[2]
+    out ^= out >> np.uint64(29)
+    out *= _K[3]
+    out ^= out >> np.uint64(32)
+    return out
+
+
+def first_keys(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Keys of the windows that begin at start."""
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    least = np.full(len(start), 2**64 - 1, np.uint64)
+    for k in range(SPAN):
+        np.minimum(least, gram_hashes(words[start + k], words[start + k + 8], words[start + k + 16]), out=least)
+    return least
+
+
 def runs(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """text, start, number of windows and key of each run of windows with one key."""
     n = int(begins[-1])
@@ -60,12 +83,7 @@ def runs(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not (lengths >= WINDOW).any():
         return none, none, none, none.view(np.uint64)
     words = np.ndarray((n + 32,), "<u8", data, strides=(1,))
-    least = words[:n] * _K[0]
-    least += words[8 : n + 8] * _K[1]
-    least += words[16 : n + 16] * _K[2]
-    least ^= least >> np.uint64(29)
-    least *= _K[3]
-    least ^= least >> np.uint64(32)
+    least = gram_hashes(words[:n], words[8 : n + 8], words[16 : n + 16])
     reach = 1
     while reach < SPAN:  # the least of the next SPAN grams, by doubling
         step = min(reach, SPAN - reach)
@@ -84,12 +102,33 @@ def runs(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.searchsorted(begins, start, "right") - 1, start, np.diff(np.concatenate([where, [len(at)]])), key[where]
 
 
-def run_names(data: np.ndarray, start: np.ndarray, n_windows: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each run."""
-    power, inverse = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power, out=sums[1:])
-    return mixed((sums[start + n_windows + WINDOW - 1] - sums[start]) * inverse[start] + n_windows.astype(np.uint64))
+def unlike(data: np.ndarray, size: np.ndarray, offset: np.ndarray, at: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Whether the runs `at` differ in their bytes from the runs `head`."""
+    out = size[at] != size[head]
+    even = np.flatnonzero(~out)
+    if len(even):
+        n = size[at[even]]
+        other = data[ragged(offset[at[even]], n)] != data[ragged(offset[head[even]], n)]
+        if other.any():
+            out[even] = np.add.reduceat(other, np.cumsum(n) - n) > 0
+    return out
+
+
+def classes(data: np.ndarray, size: np.ndarray, offset: np.ndarray, first_by: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run the index of its class, and of each class its first run (by first_by): runs are one class if their bytes are equal.
+    Each run's hash is looked up in the sorted distinct ones, and its bytes are compared with those of the first run that has it."""
+    name = string_hashes(data, offset, size)
+    order = np.argsort(name) if first_by is None else np.lexsort((first_by, name))
+    new = np.ones(len(order), bool)
+    new[1:] = name[order][1:] != name[order][:-1]
+    distinct, first = name[order[new]], order[new]
+    of = np.searchsorted(distinct, name)
+    at = np.flatnonzero(first[of] != np.arange(len(of)))
+    more = at[unlike(data, size, offset, at, first[of[at]])]
+    if len(more):  # other runs with the same hash are classes of their own
+        of[more] = len(first) + np.arange(len(more))
+        first = np.concatenate([first, more])
+    return of, first
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -106,19 +145,6 @@ def token(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key >> np.uint64(40)) % np.uint64(shards)) << np.uint64(40) | (key & _LOW)
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... sizes[0] of them, then those of the next."""
-    total = int(sizes.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    out = np.ones(total, np.int64)
-    ends = np.cumsum(sizes)
-    sizes, ends, starts = sizes[sizes > 0], ends[sizes > 0], starts[sizes > 0]
-    out[0] = starts[0]
-    out[ends[:-1]] = starts[1:] - starts[:-1] - sizes[:-1] + 1
-    return np.cumsum(out)
-
-
 def split_by(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each distinct value and where it is."""
     order = np.argsort(values, kind="stable")
@@ -128,51 +154,33 @@ def split_by(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(values[own[0]]), own
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of all suffixes, by Larsson-Sadakane refinement; a suffix that ends comes before one that goes on."""
+def refined(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of all suffixes, by Larsson-Sadakane refinement until every one has its place, or until `depth` bytes decide;
+    and whether each place in it ties with the one before in so many bytes. A suffix that ends comes before one that goes on."""
     n = len(text)
-    padded = np.zeros(n + 16, np.uint8)
+    padded = np.zeros(n + 8, np.uint8)
     padded[:n] = text
-    head = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)
-    order = np.argsort(head, kind="stable")
+    left = np.minimum(n - np.arange(n), 7).astype(np.uint64)  # seven bytes, then how many of them are the text's
+    head = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64) & ~np.uint64(255) | left
+    order = np.argsort(head)
     value = head[order]
     new = np.ones(n, bool)
     new[1:] = value[1:] != value[:-1]
-    short = order >= n - 8  # zeros behind the end are no bytes of the text
-    if short.any():
-        for cut in np.flatnonzero(short):
-            new[cut] = True
-            if cut + 1 < n:
-                new[cut + 1] = True
-        lo = 0
-        bounds = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            if b - a > 1 and short[a:b].any():  # a shorter suffix of the same padded bytes is smaller
-                own = order[a:b]
-                tail = np.sort(own[own >= n - 8])[::-1]
-                order[a:b] = np.concatenate([tail, own[own < n - 8]])
-                new[a : b] = False
-                new[a : a + len(tail)] = True
-                if len(tail) < b - a:
-                    new[a + len(tail)] = True
-        del lo
     rank = np.empty(n, np.int64)
     place = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group's rank is the place of its first
     rank[order] = place
-    h = 8
-    while True:
-        same = np.zeros(n, bool)  # places in groups that are not sorted yet
-        repeat = ~new
-        same |= repeat
-        same[:-1] |= repeat[1:]
+    h = 7
+    while depth is None or h < depth:
+        same = ~new  # places in groups that are not sorted yet
+        same[:-1] |= ~new[1:]
         at = np.flatnonzero(same)
         if not len(at):
-            return order
+            break
         own = order[at]
         behind = own + h
         second = np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
         group = place[at]
-        by = np.argsort(group * (n + 1) + second, kind="stable")
+        by = np.argsort(group * (n + 1) + second)
         own, second = own[by], second[by]
         order[at] = own
         fresh = np.ones(len(at), bool)
@@ -181,24 +189,37 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         place = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         rank[order[at]] = place[at]
         h *= 2
+    return order, ~new
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = WINDOW, lane: int = 64) -> np.ndarray:
-    """Of each place in the order, bytes shared with the one before, at most `most`: Kasai's bound along lanes of the text."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Order of all suffixes."""
+    return refined(text)[0]
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, tied: np.ndarray | None = None, most: int = WINDOW, lane: int = 64) -> np.ndarray:
+    """Of each place in the order, bytes shared with the one before, at most `most`: Kasai's bound along lanes of the text.
+
+    tied: places known to share at least `most`. The order among them is not that of the text, so the bound does not go on from them."""
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    full = np.zeros(n, bool)
+    if tied is not None:
+        full[order] = tied
     out = np.zeros(n, np.int64)
     begins = np.arange(0, n, lane)
-    have = np.zeros(len(begins), np.int64)
+    have, was_full = np.zeros(len(begins), np.int64), np.zeros(len(begins), bool)
     for step in range(lane):
         p = begins + step
         if p[-1] >= n:
-            begins, have, p = begins[:-1], have[:-1], p[:-1]
+            begins, have, was_full, p = begins[:-1], have[:-1], was_full[:-1], p[:-1]
             if not len(p):
                 break
         q = before[p]
-        have = np.where(q >= 0, np.maximum(have - 1, 0), 0)
+        have = np.where((q >= 0) & ~was_full, np.maximum(have - 1, 0), 0)
+        was_full = full[p]
+        have[was_full] = most
         live = np.flatnonzero((q >= 0) & (have < most))
         while len(live):
             a, b = p[live] + have[live], q[live] + have[live]
@@ -213,13 +234,14 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = WINDOW, lan
 
 def owners(data: np.ndarray, start: np.ndarray, n_windows: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Of each window of each run in data, one run after the other, the smallest doc of any equal window."""
-    order = suffix_array(data)
-    group = np.cumsum(common_prefixes(data, order) < WINDOW)  # of each place in the order
+    order, tied = refined(data, WINDOW)
+    group = np.cumsum(common_prefixes(data, order, tied) < WINDOW)  # of each place in the order
     of = np.empty(len(data), np.int64)
     of[order] = group
     windows, owner = ragged(start, n_windows), np.repeat(doc, n_windows)
-    by = np.argsort(of[windows], kind="stable")
-    g = of[windows][by]
+    of = of[windows]
+    by = np.argsort(of)
+    g = of[by]
     first = np.concatenate([[True], g[1:] != g[:-1]])
     least = np.minimum.reduceat(owner[by], np.flatnonzero(first))
     out = np.empty(len(windows), np.int64)
@@ -291,18 +313,24 @@ def _candidates(group: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(columns[0], pa.int64()), "data": pa.array(columns[1], pa.binary())})
 
 
-SENT = "shard long, block long, names binary, docs binary, sizes binary, data binary"
+SENT = "shard long, block long, places binary, docs binary, sizes binary, data binary"
+
+
+def _in_order(docs: pa.Table) -> pa.Table:
+    """A block's documents in an order that every task finds again; equal rows are interchangeable."""
+    return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
 def _send(shards: int):
-    """Step 2, per block: its distinct candidate runs, by shard."""
+    """Step 2, per block: its distinct candidate runs, by shard. A run's place is its number among all runs of the block."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         rows = []
         if docs.num_rows and found.num_rows:
             wanted = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in found["data"]]))
-            texts, ids, block = _texts(docs.combine_chunks()), _ids(docs.combine_chunks()), docs["block"][0].as_py()
-            parts: list[tuple] = []
+            docs = _in_order(docs)
+            texts, ids, block = _texts(docs), _ids(docs), docs["block"][0].as_py()
+            parts, done = [], 0
             for begin, end in chunks(texts):
                 data, begins = joined(texts[begin:end])
                 doc, start, n_windows, key = runs(data, begins)
@@ -310,61 +338,56 @@ def _send(shards: int):
                 own = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, t), len(wanted) - 1)] == t)
                 if len(own):
                     start, n_windows = start[own], n_windows[own]
-                    parts.append((run_names(data, start, n_windows), ids[doc[own] + begin], n_windows, (t[own] >> np.uint64(40)).astype(np.int64), data[ragged(start, n_windows + WINDOW - 1)]))
+                    parts.append((own + done, ids[doc[own] + begin], n_windows, (t[own] >> np.uint64(40)).astype(np.int64), data[ragged(start, n_windows + WINDOW - 1)]))
+                done += len(key)
             if parts:
-                name, doc, n_windows, shard, data = (np.concatenate(x) for x in zip(*parts))
-                offset = np.concatenate([[0], np.cumsum(n_windows + WINDOW - 1)])
-                order = np.lexsort((doc, name))
-                first = np.ones(len(order), bool)
-                first[1:] = name[order][1:] != name[order][:-1]
-                own = order[first]  # of each distinct run, that of the smallest doc_id
+                place, doc, n_windows, shard, data = (np.concatenate(x) for x in zip(*parts))
+                size = n_windows + WINDOW - 1
+                offset = np.cumsum(size) - size
+                _, own = classes(np.concatenate([data, np.zeros(8, np.uint8)]), size, offset, doc)  # of each distinct run, that of the smallest doc_id
+                own = np.sort(own)
                 for s, at in split_by(shard[own]):
                     at = own[at]
-                    rows.append((s, block, name[at].tobytes(), packed(doc[at]), packed(n_windows[at].astype(np.uint32)), packed(data[ragged(offset[at], n_windows[at] + WINDOW - 1)])))
+                    rows.append((s, block, packed(place[at].astype(np.uint32)), packed(doc[at]), packed(n_windows[at].astype(np.uint32)), packed(data[ragged(offset[at], size[at])])))
         columns = list(zip(*rows)) or [[]] * 6
         return pa.table({x.split()[0]: pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, (x, c) in enumerate(zip(SENT.split(", "), columns))})
 
     return run
 
 
-BACK = "block long, names binary, begins binary, ends binary, owners binary"
+BACK = "block long, places binary, begins binary, ends binary, owners binary"
 
 
 def _resolve(group: pa.Table) -> pa.Table:
     """Step 3, per shard: owners of windows, for blocks whose own smallest doc_id is larger."""
-
-    def whole(name: str, kind) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x.as_py(), kind) for x in group[name]])
-
-    name, doc, n_windows, data = whole("names", np.uint64), unpacked(group["docs"], np.int64), unpacked(group["sizes"], np.uint32).astype(np.int64), unpacked(group["data"], np.uint8)
-    block = np.repeat(group["block"].to_numpy(), [len(x.as_py()) // 8 for x in group["names"]])
+    places = [np.frombuffer(zstandard.decompress(x.as_py()), np.uint32) for x in group["places"]]
+    block, place = np.repeat(group["block"].to_numpy(), [len(x) for x in places]), np.concatenate(places)
+    doc, n_windows = unpacked(group["docs"], np.int64), unpacked(group["sizes"], np.uint32).astype(np.int64)
+    data = np.concatenate([unpacked(group["data"], np.uint8), np.zeros(8, np.uint8)])
     size = n_windows + WINDOW - 1
     offset = np.cumsum(size) - size
-    distinct, first = np.unique(name, return_index=True)
-    of = np.searchsorted(distinct, name)  # merged by binary search in the sorted distinct runs
-    head = first[of]
-    odd = size != size[head]
-    even = np.flatnonzero(~odd)
-    unlike = data[ragged(offset[even], size[even])] != data[ragged(offset[head[even]], size[even])]
-    if unlike.any():
-        odd[even] |= np.add.reduceat(unlike, np.cumsum(size[even]) - size[even]) > 0
-    if odd.any():  # another run with the same hash is a run of its own
-        more = np.flatnonzero(odd)
-        of[more] = len(first) + np.arange(len(more))
-        first = np.concatenate([first, more])
+    of, first = classes(data, size, offset)  # merged by binary search in the sorted distinct runs
     least = np.full(len(first), LAST, np.int64)
     np.minimum.at(least, of, doc)
-    text = data[ragged(offset[first], size[first])]
-    begin = np.cumsum(size[first]) - size[first]
-    owner = owners(text, begin, n_windows[first], least)
-    # stretches of one owner in each distinct run
-    run_of = np.repeat(np.arange(len(first)), n_windows[first])
-    place = ragged(np.zeros(len(first), np.int64), n_windows[first])
-    cut = np.ones(len(owner), bool)
-    cut[1:] = (owner[1:] != owner[:-1]) | (run_of[1:] != run_of[:-1])
-    at = np.flatnonzero(cut)
-    s_run, s_begin, s_owner = run_of[at], place[at], owner[at]
-    s_end = np.concatenate([place[at[1:] - 1], place[-1:]]) + 1
+    # a key's only run meets itself alone; the runs of the others make up the suffix array
+    _, key_of, n_key = np.unique(first_keys(data, offset[first]), return_inverse=True, return_counts=True)
+    many = n_key[key_of] > 1
+    alone, several = np.flatnonzero(~many), np.flatnonzero(many)
+    s_run, s_begin, s_end, s_owner = alone, np.zeros(len(alone), np.int64), n_windows[first[alone]], least[alone]
+    if len(several):
+        runs_ = first[several]
+        begin = np.cumsum(size[runs_]) - size[runs_]
+        owner = owners(data[ragged(offset[runs_], size[runs_])], begin, n_windows[runs_], least[several])
+        # stretches of one owner in each distinct run
+        run_of = np.repeat(several, n_windows[runs_])
+        at_window = ragged(np.zeros(len(runs_), np.int64), n_windows[runs_])
+        cut = np.ones(len(owner), bool)
+        cut[1:] = (owner[1:] != owner[:-1]) | (run_of[1:] != run_of[:-1])
+        at = np.flatnonzero(cut)
+        s_run, s_begin, s_owner = np.concatenate([s_run, run_of[at]]), np.concatenate([s_begin, at_window[at]]), np.concatenate([s_owner, owner[at]])
+        s_end = np.concatenate([s_end, at_window[at[1:] - 1] + 1, at_window[-1:] + 1])
+        by = np.argsort(s_run, kind="stable")
+        s_run, s_begin, s_end, s_owner = s_run[by], s_begin[by], s_end[by], s_owner[by]
     n_of = np.bincount(s_run, minlength=len(first))
     s_first = np.cumsum(n_of) - n_of
     entry = np.repeat(np.arange(len(of)), n_of[of])
@@ -374,7 +397,7 @@ def _resolve(group: pa.Table) -> pa.Table:
     rows = []
     for b, own in split_by(block[entry]):
         e, s = entry[own], stretch[own]
-        rows.append((b, name[e].tobytes(), packed(s_begin[s].astype(np.uint32)), packed(s_end[s].astype(np.uint32)), packed(s_owner[s])))
+        rows.append((b, packed(place[e]), packed(s_begin[s].astype(np.uint32)), packed(s_end[s].astype(np.uint32)), packed(s_owner[s])))
     columns = list(zip(*rows)) or [[]] * 5
     return pa.table({x.split()[0]: pa.array(c, pa.binary() if i else pa.int64()) for i, (x, c) in enumerate(zip(BACK.split(", "), columns))})
 
@@ -383,38 +406,32 @@ def _remove(docs: pa.Table, back: pa.Table) -> pa.Table:
     """Step 4, per block: what is left of each document."""
     out: list[tuple] = []
     if docs.num_rows:
-        docs = docs.combine_chunks()
+        docs = _in_order(docs)
         texts, ids, raw_ids = _texts(docs), _ids(docs), docs["doc_id"].to_pylist()
         parts = []
         for begin, end in chunks(texts):
             data, begins = joined(texts[begin:end])
             doc, start, n_windows, _ = runs(data, begins)
-            parts.append((begin, end, begins, doc, start, n_windows, run_names(data, start, n_windows) if len(start) else np.zeros(0, np.uint64)))
-        name = np.concatenate([p[6] for p in parts])
-        doc_ids = np.concatenate([ids[p[3] + p[0]] for p in parts])
-        order = np.lexsort((doc_ids, name))
-        sorted_names = name[order]
-        head = np.searchsorted(sorted_names, name)
-        local = doc_ids[order][head] if len(name) else doc_ids  # the smallest doc_id of the block that has this run
-
-        def whole(column: str, kind) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x.as_py(), kind) for x in back[column]] or [np.zeros(0, kind)])
-
-        b_name, b_begin, b_end, b_owner = whole("names", np.uint64), unpacked(back["begins"], np.uint32), unpacked(back["ends"], np.uint32), unpacked(back["owners"], np.int64)
-        by = np.argsort(b_name, kind="stable")
-        b_name, b_begin, b_end, b_owner = b_name[by], b_begin[by].astype(np.int64), b_end[by].astype(np.int64), b_owner[by]
+            parts.append((begin, end, begins, start, n_windows, ids[doc + begin], data))
+        start = np.concatenate([p[3] + at for p, at in zip(parts, np.cumsum([0] + [len(p[6]) for p in parts]))])
+        n_windows, doc_ids = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts])
+        of, first = classes(np.concatenate([p[6] for p in parts]), n_windows + WINDOW - 1, start, doc_ids)
+        local = doc_ids[first][of] if len(of) else doc_ids  # the smallest doc_id of the block that has this run
+        b_of = of[unpacked(back["places"], np.uint32)]
+        by = np.argsort(b_of, kind="stable")
+        b_of, b_begin, b_end, b_owner = b_of[by], unpacked(back["begins"], np.uint32)[by].astype(np.int64), unpacked(back["ends"], np.uint32)[by].astype(np.int64), unpacked(back["owners"], np.int64)[by]
+        n_back = np.bincount(b_of, minlength=len(first))
+        b_first = np.cumsum(n_back) - n_back
         done = 0
-        for begin, end, begins, doc, start, n_windows, names in parts:
+        for begin, end, begins, start, n_windows, own, _ in parts:
             edge = np.zeros(int(begins[-1]) + 1, np.int32)
-            mine = slice(done, done + len(names))
-            done += len(names)
-            own = doc_ids[mine]
+            mine = slice(done, done + len(own))
+            done += len(own)
             late = local[mine] < own
             np.add.at(edge, start[late], 1)
             np.add.at(edge, start[late] + n_windows[late] + WINDOW - 1, -1)
-            lo, hi = np.searchsorted(b_name, names, "left"), np.searchsorted(b_name, names, "right")
-            run = np.repeat(np.arange(len(names)), hi - lo)
-            s = ragged(lo, hi - lo)
+            sizes = n_back[of[mine]]
+            run, s = np.repeat(np.arange(len(own)), sizes), ragged(b_first[of[mine]], sizes)
             less = b_owner[s] < own[run]
             run, s = run[less], s[less]
             np.add.at(edge, start[run] + b_begin[s], 1)
@@ -433,26 +450,35 @@ def _remove(docs: pa.Table, back: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(c, k) for n, c, k in zip((*[x.split()[0] for x in RESULT.split(", ")], "kept_bytes"), columns, kinds)})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False, block_docs: int = 1024) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False, block_docs: int = 1024, block_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_bytes also kept_bytes, what is left.
 
-    block_docs: documents in a block, about; blocks are what a task holds in memory."""
+    block_docs, block_bytes: documents and bytes in a block, about; blocks are what a task holds in memory."""
     spark = docs.sparkSession
-    scratch, shards = Scratch(spark), 4 * partitions(spark)
-    blocks = min(max(partitions(spark), docs.count() // block_docs), _MANY - 1)
+    scratch = Scratch(spark)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    n_docs, n_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = min(max(partitions(spark), n_docs // block_docs, n_bytes // block_bytes), _MANY - 1)
+    shards = min(max(4 * partitions(spark), n_bytes // block_bytes), (1 << 23) - 1)
+    parts = n_bytes // (32 * block_bytes)
+
+    def dealt(df: DataFrame, by: str) -> DataFrame:
+        """As many partitions as the bytes need, where the session's are too few."""
+        return df.repartition(parts, by) if parts > partitions(spark) else df
+
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))), F.lit(blocks)))
-    found = rows.mapInArrow(_keys(shards), "shard long, block long, data binary").groupBy("shard").applyInArrow(_candidates, "block long, data binary")
-    sent = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_send(shards), SENT)
-    sent = scratch.write(sent, "sent")
-    back = sent.groupBy("shard").applyInArrow(_resolve, BACK)
+    found = rows.mapInArrow(_keys(shards), "shard long, block long, data binary")
+    found = dealt(found, "shard").groupBy("shard").applyInArrow(_candidates, "block long, data binary")
+    by_block = dealt(rows, "block").groupBy("block")
+    sent = scratch.write(by_block.cogroup(dealt(found, "block").groupBy("block")).applyInArrow(_send(shards), SENT), "sent")
+    back = dealt(sent, "shard").groupBy("shard").applyInArrow(_resolve, BACK)
     kinds = RESULT + (", kept_bytes binary" if keep_bytes else "")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out = _remove(left, right)
         return out if keep_bytes else out.drop_columns(["kept_bytes"])
 
-    return rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish, kinds)
+    return by_block.cogroup(dealt(back, "block").groupBy("block")).applyInArrow(finish, kinds)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
