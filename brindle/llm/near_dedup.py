@@ -7,11 +7,13 @@ registers are exact 64-bit keys; with 32 bands a pair at J = 0.8 shares none wit
 
 Documents with the same shingle set are one class, found by a map-side combined group on the set's 128-bit hash, so
 copies cost one row however many there are. Classes that share a band key form a bucket. All pairs of a bucket are never
-formed: its members are compared with a hub, the member that meets most others over all bands (of a base and its edited
-copies that is the base); then only members that still differ in component are left. In small buckets they are compared
-directly; in large ones an exact prefix filter on what differs from the hub finds the pairs that can be linked. So every
-pair that shares a key is compared, known to be in one component, or proven not to be linked; no bucket is capped. A compared pair passes the ratio of set sizes, then the likelihood estimate
-of J from the two sketches (six standard errors below the threshold), then exact counts on both full sets.
+formed. A bucket's hub is the member that meets most others over all bands (of a base and its edited copies that is the
+base), and each member is compared with one hub only, the best of its buckets: one pair a member. Then only buckets whose
+members still differ in component are left. Each takes the best hub that its members have, so that almost all buckets of
+a family take the same, and an exact prefix filter on what differs from that hub finds the pairs that can be linked. So
+every pair that shares a key is compared, known to be in one component, or proven not to be linked; no bucket is capped,
+and small and large ones go the same way. A compared pair passes the ratio of set sizes, then the likelihood estimate of J
+from the two sketches (six standard errors below the threshold), then exact counts on both full sets.
 
 Edge cases: null texts count as empty, and empty texts are linked with nothing, not even each other; texts with fewer
 words than a shingle have one shingle; repeated rows and rows that repeat a doc_id are one document; a row with a null
@@ -195,34 +197,27 @@ def _link(scratch: Scratch, rows: DataFrame, named: DataFrame, members: DataFram
         sure = near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(width, percent), "a long, b long")
         return scratch.write(sure, f"{tag}-links")
 
-    # round 1: every member with its bucket's hub
-    hubs = members.groupBy("key").agg(F.max("rank").alias("rank")).select("key", (-F.col("rank.minus")).alias("hub"))
-    met = scratch.write(members.join(hubs, "key").select("rep", "key", "n", "hub"), "met")
-    links = linked(met.select(F.col("rep").alias("a"), F.col("hub").alias("b")), "hub")
+    # every member with the best hub of its buckets
+    hubs = members.groupBy("key").agg(F.max("rank").alias("hub"))
+    first = members.join(hubs, "key").groupBy("rep", "n").agg(F.max("hub").alias("hub"))
+    first = scratch.write(first, "first")
+    links = linked(first.select(F.col("rep").alias("a"), (-F.col("hub.minus")).alias("b")), "hub")
     if links.isEmpty():
-        own = met.withColumn("comp", F.col("rep"))
+        own = first.withColumn("comp", F.col("rep"))
     else:
-        own = met.join(components(links, scratch, "cc0").withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    split = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high")
-    rest = scratch.write(own.join(split.select("key", "size"), "key").select("rep", "key", "n", "hub", "comp", "size"), "rest")
-    if rest.isEmpty():
-        return None if links.isEmpty() else components(links, scratch, "cc1")
-
-    # small buckets: what is in other components is compared directly; large ones: by what differs from the hub
-    small, large = rest.filter(F.col("size") <= SMALL), rest.filter(F.col("size") > SMALL)
-    x = small.select("key", F.col("rep").alias("a"), F.col("comp").alias("c"), F.col("n").alias("m"))
-    y = small.select("key", F.col("rep").alias("b"), F.col("comp").alias("d"), "n")
-    pairs = x.join(y, "key").filter(f"a < b AND c <> d AND least(m, n) * 100 >= greatest(m, n) * {percent}").select("a", "b")
-    pairs = scratch.write(pairs.unionByName(_differing(scratch, large, links, texts, width, percent)), "pairs")
-    more = linked(pairs, "rest")
-    links = links.unionByName(more)
+        own = first.join(components(links, scratch, "cc0").withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+    # buckets that are not one component yet, by the best hub that a member has
+    met = scratch.write(members.select("rep", "key").join(own, "rep"), "met")
+    split = met.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("hub").alias("best")).filter("low <> high")
+    rest = met.join(split.select("key", "best"), "key").select("rep", "n", "comp", (-F.col("best.minus")).alias("hub"))
+    rest = scratch.write(rest.distinct(), "rest")
+    if not rest.isEmpty():
+        near, pairs = _differing(scratch, rest, texts, width, percent)
+        links = links.unionByName(near).unionByName(linked(scratch.write(pairs, "pairs"), "rest"))
     return None if links.isEmpty() else components(links, scratch, "cc1")
 
 
-#: Members up to which a bucket is small.
-SMALL = 16
-
-
 def _deltas(width: int):
     """Of each pair of a member and its hub: the symmetric difference of their sets."""
 
@@ -244,22 +239,25 @@ def _deltas(width: int):
     return run
 
 
-def _differing(scratch: Scratch, large: DataFrame, links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of large buckets, in other components, that may be linked: an exact prefix filter on differences from the hub.
+def _differing(scratch: Scratch, rest: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """rest: rep, n, comp, hub, one row for each member and hub. Returns links of members and hubs, and pairs (a, b) of
+    members of one hub, in other components, that may be linked: an exact prefix filter on differences from the hub.
 
     With X = hub + dX (symmetric differences), |X + Y| = |dX| + |dY| - 2 |dX & dY|, and a link means |X + Y| <= t (|X| + |Y|),
     t = (1 - J) / (1 + J). So linked members share at least o = (|dX| + |dY| - t (|X| + |Y|)) / 2 of their differences,
     and under one order of these by rarity they share one among the first |dX| - o + 1 and |dY| - o + 1. Where Y itself is
     not linked to the hub, o >= (|dX| + t (|hub| - |X|)) / 2 whatever Y is, so short prefixes do; a member that is not
-    linked to the hub meets one that is with its long prefix, o >= |dX| - t |X| (1 + 1 / J). Edits of copies are mostly
-    their own, so the prefixes hardly meet, however large the bucket is."""
+    linked to the hub meets one that is with its long prefix, o >= |dX| - t |X| (1 + 1 / J). Two members that are linked
+    to the hub need no pair. A difference that no other member has is shared with none, so a pair also needs o such items
+    on both sides. Edits of copies are mostly their own, so few pairs are left, however many members a hub has."""
     j = percent / 100
     t = (1 - j) / (1 + j)
-    ids = large.select("hub", "rep", "comp", "n").distinct().filter("hub <> rep")
+    ids = rest.filter("hub <> rep")
     x, y = texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("y"))
     deltas = ids.join(x, "rep").join(y, "hub").select("hub", "rep", "comp", "n", "x", "y").mapInArrow(_deltas(width), "hub long, rep long, comp long, n long, n_hub long, delta array<long>")
     deltas = scratch.write(deltas.withColumn("nd", F.size("delta").cast("long")), "deltas")
-    near_hub = F.col("nd") <= t * (F.col("n") + F.col("n_hub")) + 1e-9
+    near_hub = 100 * (F.col("n") + F.col("n_hub") - F.col("nd")) >= percent * (F.col("n") + F.col("n_hub") + F.col("nd"))
+    near = deltas.filter(near_hub).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     short = F.greatest(F.lit(1), F.ceil((F.col("nd") + t * (F.col("n_hub") - F.col("n"))) / 2 - 1e-6))
     long_ = F.greatest(F.lit(1), F.ceil(F.col("nd") - t * F.col("n") * (1 + 1 / j) - 1e-6))
     items = deltas.select("hub", "rep", "comp", "n", "nd", near_hub.alias("near"), short.alias("o_short"), long_.alias("o_long"), F.explode("delta").alias("item"))
@@ -268,13 +266,14 @@ def _differing(scratch: Scratch, large: DataFrame, links: DataFrame, texts: Data
     # items of one member only come first in the order and meet nothing: they only use up places of the prefix
     in_order = Window.partitionBy("hub", "rep").orderBy("df", "item")
     shared = Window.partitionBy("hub", "rep")
-    items = items.withColumn("place", F.row_number().over(in_order) + F.col("nd") - F.count(F.lit(1)).over(shared))
+    items = items.withColumn("held", F.count(F.lit(1)).over(shared)).withColumn("place", F.row_number().over(in_order) + F.col("nd") - F.col("held"))
     items = items.withColumn("is_short", F.col("place") <= F.col("nd") - F.col("o_short") + 1).filter("is_short OR (NOT near AND place <= nd - o_long + 1)")
-    items = scratch.write(items.select("hub", "item", "rep", "comp", "n", "near", "is_short"), "prefixes")
-    one = items.filter("NOT near").select("hub", "item", F.col("rep").alias("a"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("is_short").alias("s"))
-    two = items.filter("is_short").select("hub", "item", F.col("rep").alias("b"), F.col("comp").alias("d"), "n", "near")
-    pairs = one.join(two, ["hub", "item"]).filter(f"c <> d AND (near OR (s AND a < b)) AND least(m, n) * 100 >= greatest(m, n) * {percent}")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    items = scratch.write(items.select("hub", "item", "rep", "comp", "n", "nd", "held", "near", "is_short"), "prefixes")
+    one = items.filter("NOT near").select("hub", "item", F.col("rep").alias("a"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("nd").alias("md"), F.col("held").alias("mh"), F.col("is_short").alias("s"))
+    two = items.filter("is_short").select("hub", "item", F.col("rep").alias("b"), F.col("comp").alias("d"), "n", "nd", "held", "near")
+    enough = f"2 * least(mh, held) >= md + nd - {t!r}D * (m + n) - 1e-6"
+    pairs = one.join(two, ["hub", "item"]).filter(f"c <> d AND (near OR (s AND a < b)) AND least(m, n) * 100 >= greatest(m, n) * {percent} AND {enough}")
+    return near, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -111,9 +111,8 @@ def test_components_match_brute_force(spark, sf_dir):
     assert (got.kept == (got.doc_id == got.component_id)).all()
 
 
-def test_families_near_the_threshold(spark, monkeypatch):
-    """Chains of edited copies, all buckets taken as large: what differs from the hub decides."""
-    monkeypatch.setattr(near_dedup, "SMALL", 1)
+def test_families_near_the_threshold(spark):
+    """Chains of edited copies: what differs from the hub decides."""
     rng = np.random.default_rng(5)
     words, texts = [f"w{i}" for i in range(3000)], []
     for size in (60, 150):
