@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import as_number, range_bounds, range_place
+
 
 def metrics(results: DataFrame, *by: str, seq: str = "seq") -> DataFrame:
     """results: actual, predicted, seq, and checkpoint columns `by`. Adds n, accuracy, kappa = (p0 - pc) / (1 - pc) and kappa_temporal = (p0 - pn) / (1 - pn).
 
     pc is chance agreement from the margins; pn the accuracy of repeating the label before, in the stream's order."""
     one = [F.lit(0).alias("_all")] if not by else []
-    rows = results.select(*by, *one, "actual", "predicted", seq)
     keys = list(by) or ["_all"]
-    before = F.lag("actual").over(Window.partitionBy(*keys).orderBy(seq))
-    rows = rows.withColumn("same", (before == F.col("actual")).cast("int"))
+    rows = results.select(*by, *one, "actual", "predicted", seq)
+    # the label before is looked up within ranges of the order, and for the first row of a range in the last ones of the ranges before
+    number = as_number(rows, seq)
+    rows = rows.withColumn("_range", range_place(number, range_bounds(rows, number)))
+    lasts = rows.groupBy(*keys, "_range").agg(F.max_by("actual", seq).alias("last"))
+    lasts = lasts.withColumn("came", F.lag("last").over(Window.partitionBy(*keys).orderBy("_range"))).drop("last")  # a row a key and range
+    before = F.coalesce(F.lag("actual").over(Window.partitionBy(*keys, "_range").orderBy(seq)), F.col("came"))
+    rows = rows.join(lasts, [*keys, "_range"]).withColumn("same", (before == F.col("actual")).cast("int"))
     base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("actual") == F.col("predicted")).cast("double")).alias("accuracy"), F.sum(F.coalesce("same", F.lit(0))).alias("repeats"))
     actual = rows.groupBy(*keys, F.col("actual").alias("c")).agg(F.count(F.lit(1)).alias("a"))
     guess = rows.groupBy(*keys, F.col("predicted").alias("c")).agg(F.count(F.lit(1)).alias("g"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..schema import Header
+from .blocked import Metric, nearest
 from .ranges import feature_ranges, with_ranges
 from .topk import top_k
 
@@ -39,9 +42,18 @@ def distances(queries: DataFrame, window: DataFrame, header: Header, ranges: Dat
     return pairs(q, w).withColumn("distance", V.squared_distance("q", "x", header.types)).drop("q", "x")
 
 
+def known_ranges(ranges: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """low and high, computed now: two numbers a feature."""
+    low, high = ranges.select("low", "high").first()
+    return tuple(np.array([np.nan if v is None else v for v in x or []], float) for x in (low, high))
+
+
 def knn(queries: DataFrame, window: DataFrame, header: Header, k: int = 10, keep_ties: bool = False, ranges: DataFrame | None = None) -> DataFrame:
     """The k nearest rows of each query: query_id, id, label, weight, distance, place. Ties go to the smaller id."""
-    return top_k(distances(queries, window, header, ranges), k, keep_ties=keep_ties)
+    low, high = known_ranges(feature_ranges(window, header.dim) if ranges is None else ranges)
+    if not len(low):  # no row, no range
+        low, high = np.zeros(header.dim), np.zeros(header.dim)
+    return top_k(nearest(queries, window, Metric(header.types, low, high), k, keep_ties), k, keep_ties=keep_ties)
 
 
 def knn_float(queries: DataFrame, window: DataFrame, header: Header, k: int = 10) -> DataFrame:
@@ -62,10 +74,12 @@ def similarities(queries: DataFrame, window: DataFrame, header: Header, similari
     return both.withColumn("similarity", similarity(F.col("inner"), F.col("nq"), F.col("nx"))).drop("q", "x", "nq", "nx", "inner")
 
 
-def knn_cosine(queries: DataFrame, window: DataFrame, header: Header, k: int = 10, similarity: Callable[[Column, Column, Column], Column] = V.squared_norm_cosine) -> DataFrame:
-    """The k most similar rows; pairs out of the similarity's domain are left out."""
-    both = similarities(queries, window, header, similarity).filter("similarity IS NOT NULL")
-    return top_k(both, k, by="similarity", largest=True)
+def knn_cosine(queries: DataFrame, window: DataFrame, header: Header, k: int = 10, norms: str = "squared") -> DataFrame:
+    """The k most similar rows, with similarity; pairs out of the similarity's domain are left out. norms: "squared" for the angular similarity
+    whose divisor is the product of squared norms, "root" for the plain cosine."""
+    found = top_k(nearest(queries, window, Metric(header.types, norms=norms), k, rank="rank"), k, by="rank")
+    ratio = -F.col("rank")
+    return found.withColumn("similarity", 1 - F.acos(ratio) / math.pi if norms == "squared" else ratio).drop("rank")
 
 
 def refine(candidates: DataFrame, queries: DataFrame, window: DataFrame, header: Header, k: int, ranges: DataFrame) -> DataFrame:
@@ -77,13 +91,27 @@ def refine(candidates: DataFrame, queries: DataFrame, window: DataFrame, header:
     return top_k(both.withColumn("distance", V.squared_distance("q", "x", header.types)).drop("q", "x"), k)
 
 
-def best_k(rows: DataFrame, header: Header, k_max: int = 10) -> DataFrame:
-    """Leave-one-out choice of k: k, errors for 1..k_max, and best, the lowest k with the fewest. Votes are plain counts, ties to the lower class."""
-    near = top_k(distances(rows, rows, header).filter("id <> query_id"), k_max)
+def leave_one_out(rows: DataFrame, header: Header, k: int) -> DataFrame:
+    """The k nearest other rows of each row: of the k + 1 nearest, with ties of the last place, those that are not the row itself."""
+    near = knn(rows, rows, header, k + 1, keep_ties=True).filter("id <> query_id").drop("place")
+    return top_k(near, k)
+
+
+def best_k(rows: DataFrame, header: Header, k_max: int = 10, numeric: bool = False, squared: bool = False) -> DataFrame:
+    """Leave-one-out choice of k: k, errors for 1..k_max, and best, the lowest k with the least.
+
+    errors counts wrong guesses, by plain votes with ties to the lower class; with `numeric` it is the mean absolute error
+    (or with `squared` the root of the mean squared one) of the neighbours' mean label."""
+    near = leave_one_out(rows, header, k_max)
     ks = near.sparkSession.range(1, k_max + 1).select(F.col("id").cast("int").alias("k"))
-    votes = near.join(F.broadcast(ks), F.col("place") <= F.col("k")).groupBy("k", "query_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    guess = votes.groupBy("k", "query_id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("guess"))
+    near = near.join(F.broadcast(ks), F.col("place") <= F.col("k"))
     truth = rows.select(F.col("id").alias("query_id"), F.col("label").alias("truth"))
-    errors = guess.join(truth, "query_id").groupBy("k").agg(F.sum(F.when(F.col("guess") != F.col("truth"), 1).otherwise(0)).alias("errors"))
+    if numeric:
+        off = near.groupBy("k", "query_id").agg(F.avg("label").alias("guess")).join(truth, "query_id").withColumn("off", F.col("guess") - F.col("truth"))
+        errors = off.groupBy("k").agg((F.sqrt(F.avg(F.col("off") * F.col("off"))) if squared else F.avg(F.abs("off"))).alias("errors"))
+    else:
+        votes = near.groupBy("k", "query_id", "label").agg(F.count(F.lit(1)).alias("n"))
+        guess = votes.groupBy("k", "query_id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("guess"))
+        errors = guess.join(truth, "query_id").groupBy("k").agg(F.sum(F.when(F.col("guess") != F.col("truth"), 1).otherwise(0)).alias("errors"))
     by = Window.partitionBy().orderBy("errors", "k")  # k_max rows
     return errors.withColumn("best", F.row_number().over(by) == 1)

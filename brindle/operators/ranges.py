@@ -16,12 +16,12 @@ def feature_ranges(rows: DataFrame, dim: int, subset: DataFrame | None = None) -
 
 
 def grouped_ranges(rows: DataFrame, dim: int, *keys: str) -> DataFrame:
-    """keys, n, low and high, for each value of the keys (or one row)."""
+    """keys, n, low and high, for each value of the keys (or one row). Missing values do not count."""
     if dim <= 8:
-        x = F.col("features")
+        x = [F.nanvl(F.col("features")[i], F.lit(None).cast("double")) for i in range(dim)]
         out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.min(x[i]).alias(f"l{i}") for i in range(dim)], *[F.max(x[i]).alias(f"h{i}") for i in range(dim)])
         return out.select(*keys, "n", F.array(*[f"l{i}" for i in range(dim)]).alias("low"), F.array(*[f"h{i}" for i in range(dim)]).alias("high"))
-    long = rows.select(*keys, F.posexplode("features").alias("attr", "x")).groupBy(*keys, "attr").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("l"), F.max("x").alias("h"))
+    long = rows.select(*keys, F.posexplode("features").alias("attr", "x")).withColumn("x", F.nanvl("x", F.lit(None).cast("double"))).groupBy(*keys, "attr").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("l"), F.max("x").alias("h"))
     out = long.groupBy(*keys).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("attr", "l", "h"))).alias("all_"))
     return out.select(*keys, "n", F.col("all_.l").alias("low"), F.col("all_.h").alias("high"))
 

@@ -6,7 +6,8 @@ synchronous and in a fixed order, so results do not depend on timing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocked import matrix
+
 BIAS = -1
 
 
@@ -97,44 +100,139 @@ def tau_update(errors: DataFrame, *keys: str) -> DataFrame:
     return errors.groupBy(*keys).agg(((F.avg(F.col("tau") + F.abs("el")) - F.avg(F.abs("es"))) / 2).alias("tau"))
 
 
-def train(rows: DataFrame, dim: int, n_classes: int, batches: list[int], workers: int = 1, rate: float = 1e-4, one_bit: bool = False, tau: float = 1.0, stagger: int = 10, start: np.ndarray | None = None) -> np.ndarray:
-    """Synchronous rounds over rows (features, label, batch, worker): weights, classes x (dim + 1), bias last.
+class Gradient(Protocol):
+    """A loss: sums of a mini-batch's gradient."""
 
-    Each round every worker sums the gradient of its own mini-batch in Arrow batches; sums of fixed size come back and
-    are applied in the order of workers. With one_bit each worker sends signs beyond tau and keeps the rest; tau is
-    renewed every `stagger` rounds."""
-    w = np.zeros((n_classes, dim + 1)) if start is None else start
-    es, el, taus = (np.zeros((workers, *w.shape)) for _ in range(3))
-    taus += tau
-    for turn, number in enumerate(batches):
-        def partial(parts: Iterator[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}
-            for part in parts:
-                if not part.num_rows:
-                    continue
-                x = np.hstack([np.array(part.column("features").to_pylist(), float), np.ones((part.num_rows, 1))])
-                y = np.where(part.column("label").to_numpy()[:, None] == np.arange(n_classes), 1.0, -1.0)
-                up, own = np.where(y * (x @ w.T) < 1, y, 0.0), part.column("worker").to_numpy()
-                for k in np.unique(own):
-                    g, n = sums.get(int(k), (np.zeros_like(w), 0))
-                    sums[int(k)] = (g + up[own == k].T @ x[own == k], n + int((own == k).sum()))
-            if sums:
-                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([g.ravel() for g, _ in sums.values()], pa.list_(pa.float64())), pa.array([n for _, n in sums.values()], pa.int64())], names=["worker", "g", "n"])
-
-        got = rows.filter(F.col("batch") == number).select("features", "label", F.col("worker").cast("int").alias("worker")).mapInArrow(partial, "worker int, g array<double>, n long").toPandas()
-        for k, own in sorted(got.groupby("worker")):
-            g = np.sum(own["g"].to_list(), axis=0).reshape(w.shape) / own["n"].sum()
-            if not one_bit:
-                w = w + rate * g
+    def sums(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """x: rows with the bias input last; y: rows x classes, 1 or -1; w: classes x inputs. Returns the sum over rows, of the shape of w."""
+
+
+class Updater(Protocol):
+    """What becomes of a worker's mean gradient."""
+
+    weights: np.ndarray
+
+    def apply(self, gradient: np.ndarray, worker: int) -> None: ...
+
+    def end_of_round(self, turn: int) -> None: ...
+
+
+class HingeGradient:
+    """One-vs-all hinge loss."""
+
+    def sums(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.where(y * (x @ w.T) < 1, y, 0.0).T @ x
+
+
+class DirectUpdater:
+    """Weights move by the rate times the gradient."""
+
+    def __init__(self, weights: np.ndarray, rate: float = 1e-4):
+        self.weights, self.rate = weights, rate
+
+    def apply(self, gradient: np.ndarray, worker: int) -> None:
+        self.weights = self.weights + self.rate * gradient
+
+    def end_of_round(self, turn: int) -> None:
+        return
+
+
+class OneBitUpdater:
+    """Each worker sends signs of what is beyond its tau and keeps the rest as error; tau is renewed every `stagger` rounds."""
+
+    def __init__(self, weights: np.ndarray, rate: float = 1e-4, workers: int = 1, tau: float = 1.0, stagger: int = 10):
+        self.weights, self.rate, self.stagger = weights, rate, stagger
+        self.es, self.el = np.zeros((workers, *weights.shape)), np.zeros((workers, *weights.shape))
+        self.tau = np.full((workers, *weights.shape), float(tau))
+
+    def apply(self, gradient: np.ndarray, worker: int) -> None:
+        s, tau = gradient + self.es[worker] + self.el[worker], self.tau[worker]
+        sent, sign = np.abs(s) + 1e-12 >= tau, np.where(s < 0, -1.0, 1.0)
+        self.weights = self.weights + self.rate * tau * np.where(sent, sign, 0.0)
+        self.el[worker], self.es[worker] = np.where(sent, sign * (np.abs(s) - tau), 0.0), np.where(sent, 0.0, s)
+
+    def end_of_round(self, turn: int) -> None:
+        if (turn + 1) % self.stagger == 0:
+            self.tau[:] = np.maximum(1e-12, ((self.tau + np.abs(self.el)).mean(0) - np.abs(self.es).mean(0)) / 2)
+
+
+#: Losses and updaters by their option names; an updater is made from (weights, rate, workers, tau, stagger).
+GRADIENTS: dict[str, Callable[[], Gradient]] = {"Hinge": HingeGradient}
+UPDATERS: dict[str, Callable[..., Updater]] = {
+    "DirectUpdater": lambda weights, rate, workers, tau, stagger: DirectUpdater(weights, rate),
+    "OneBitUpdater": OneBitUpdater,
+}
+#: Bytes of mini-batches that one job brings at most; a mini-batch that is larger is summed where it lies.
+MOST_BYTES = 32 << 20
+
+
+def _signs(label: np.ndarray, n_classes: int) -> np.ndarray:
+    return np.where(label[:, None] == np.arange(n_classes), 1.0, -1.0)
+
+
+def _summed(rows: DataFrame, gradient: Gradient, w: np.ndarray) -> dict[int, tuple[np.ndarray, int]]:
+    """Of each worker of one large mini-batch: the gradient's sum and the rows, summed in each task first."""
+    n_classes, width = w.shape
+
+    def partial(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for part in parts:
+            if not part.num_rows:
                 continue
-            s = g + es[k] + el[k]
-            sent = np.abs(s) + 1e-12 >= taus[k]
-            sign = np.where(s < 0, -1.0, 1.0)
-            w = w + rate * taus[k] * np.where(sent, sign, 0.0)
-            el[k], es[k] = np.where(sent, sign * (np.abs(s) - taus[k]), 0.0), np.where(sent, 0.0, s)
-        if one_bit and (turn + 1) % stagger == 0:
-            taus[:] = np.maximum(1e-12, ((taus + np.abs(el)).mean(0) - np.abs(es).mean(0)) / 2)
-    return w
+            x = np.hstack([matrix(part.column("features"), width - 1), np.ones((part.num_rows, 1))])
+            y, own = _signs(part.column("label").to_numpy(), n_classes), part.column("worker").to_numpy()
+            for k in np.unique(own).tolist():
+                g, n = sums.get(k, (np.zeros_like(w), 0))
+                sums[k] = (g + gradient.sums(x[own == k], y[own == k], w), n + int((own == k).sum()))
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([g.ravel() for g, _ in sums.values()], pa.list_(pa.float64())), pa.array([n for _, n in sums.values()], pa.int64())], names=["worker", "g", "n"])
+
+    got = rows.select("features", "label", F.col("worker").cast("int").alias("worker")).mapInArrow(partial, "worker int, g array<double>, n long").toPandas()
+    return {int(k): (np.sum(own["g"].to_list(), axis=0).reshape(w.shape), int(own["n"].sum())) for k, own in got.groupby("worker")}
+
+
+def train(
+    rows: DataFrame, dim: int, n_classes: int, batches: list[int], workers: int = 1, rate: float = 1e-4, one_bit: bool = False, tau: float = 1.0, stagger: int = 10, start: np.ndarray | None = None,
+    gradient: Gradient | None = None, updater: Updater | None = None, most_bytes: int = MOST_BYTES,
+) -> np.ndarray:
+    """Synchronous rounds over rows (features, label, batch, worker, and id or seq if they are to be in order): weights, classes x (dim + 1), bias last.
+
+    Each round the mean gradients of the workers' mini-batches are applied in the order of workers. The rounds follow one
+    another, so small mini-batches come many at a time, `most_bytes` in a job; those that are larger are summed by tasks,
+    and only sums of fixed size come back."""
+    w = np.zeros((n_classes, dim + 1)) if start is None else start
+    gradient = gradient or HingeGradient()
+    updater = updater or UPDATERS["OneBitUpdater" if one_bit else "DirectUpdater"](w, rate, workers, tau, stagger)
+    if not batches:
+        return updater.weights
+    sizes = {r["batch"]: r["count"] for r in rows.groupBy("batch").count().collect()} if len(batches) > 1 else {batches[0]: 0}  # a row a mini-batch
+    order = [c for c in ("batch", "worker", "seq", "id") if c in rows.columns]
+
+    def finish(found: dict[int, tuple[np.ndarray, int]], turn: int) -> None:
+        for k in sorted(found):
+            total, n = found[k]
+            updater.apply(total / n, k)
+        updater.end_of_round(turn)
+
+    turn = 0
+    while turn < len(batches):
+        together, held = 1, sizes.get(batches[turn], 0)
+        while turn + together < len(batches) and (held + sizes.get(batches[turn + together], 0)) * (dim + 2) * 8 <= most_bytes:
+            held += sizes.get(batches[turn + together], 0)
+            together += 1
+        own = batches[turn : turn + together]
+        if together == 1:
+            finish(_summed(rows.filter(F.col("batch") == own[0]), gradient, updater.weights), turn)
+        else:
+            part = rows.filter(F.col("batch").between(min(own), max(own))).select(*order, "features", "label").toArrow().sort_by([(c, "ascending") for c in order])
+            x, label = np.hstack([matrix(part["features"], dim), np.ones((part.num_rows, 1))]), part["label"].to_numpy()
+            batch, worker = part["batch"].to_numpy(), part["worker"].to_numpy()
+            for step, number in enumerate(own):
+                begin, end = np.searchsorted(batch, [number, number + 1])
+                y, of = _signs(label[begin:end], n_classes), worker[begin:end]
+                finish({int(k): (gradient.sums(x[begin:end][of == k], y[of == k], updater.weights), int((of == k).sum())) for k in np.unique(of)}, turn + step)
+        turn += together
+    return updater.weights
 
 
 def sequential(rows: DataFrame, dim: int, n_classes: int, rate: float = 1e-4, decay: float = 0.0, key: str = "worker", seq: str = "seq") -> DataFrame:

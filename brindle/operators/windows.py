@@ -6,25 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_sequence(rows: DataFrame, *order: str, out: str = "seq") -> DataFrame:
-    """Adds the place in the stream, from 0. Places are counted within ranges of the order and offset by the ranges before, so no task holds the stream.
-
-    The rows are dealt into ranges by quantiles of the first order column, taken once."""
-    first = order[0]
-    kind = dict(rows.dtypes)[first]
-    number = (F.col(first).cast("timestamp") if kind.startswith("timestamp") else F.col(first)).cast("double")
+def range_bounds(rows: DataFrame, number: Column) -> list[float]:
+    """Quantiles of a number that part the rows into as many ranges as there are shuffle partitions."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     steps = [(i + 1) / n for i in range(n - 1)]
-    bounds = sorted(set(rows.agg(F.percentile_approx(number, F.array(*map(F.lit, steps)))).first()[0] or [])) if steps else []  # n - 1 numbers
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < number)) if bounds else F.lit(0)
-    dealt = rows.withColumn("_range", place)
-    sizes = {r["_range"]: r["count"] for r in dealt.groupBy("_range").count().collect()}  # n rows
+    return sorted(set(rows.agg(F.percentile_approx(number, F.array(*map(F.lit, steps)))).first()[0] or [])) if steps else []  # n - 1 numbers
+
+
+def range_place(number: Column, bounds: list[float]) -> Column:
+    """The range that a number falls in, from 0."""
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < number)) if bounds else F.lit(0)
+
+
+def offsets(counts: DataFrame, place: str, count: str, n_ranges: int) -> Column:
+    """Of a range, the sum of counts of the ranges before; counts: one row a range, at most n_ranges."""
+    sizes = {r[place]: r[count] for r in counts.collect()}
     total, starts = 0, []
-    for k in range(len(bounds) + 1):
+    for k in range(n_ranges):
         starts.append(total)
-        total += sizes.get(k, 0)
+        total += sizes.get(k) or 0
+    return F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col(place))
+
+
+def as_number(rows: DataFrame, column: str) -> Column:
+    kind = dict(rows.dtypes)[column]
+    return (F.col(column).cast("timestamp") if kind.startswith("timestamp") else F.col(column)).cast("double")
+
+
+def with_sequence(rows: DataFrame, *order: str, out: str = "seq") -> DataFrame:
+    """Adds the place in the stream, from 0. Places are counted within ranges of the order and offset by the ranges before, so no task holds the stream.
+
+    The rows are dealt into ranges by quantiles of the first order column, taken once."""
+    number = as_number(rows, order[0])
+    bounds = range_bounds(rows, number)
+    dealt = rows.withColumn("_range", range_place(number, bounds))
+    before = offsets(dealt.groupBy("_range").count(), "_range", "count", len(bounds) + 1)
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    before = F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("_range"))
     return dealt.withColumn(out, (inside + before).cast("long")).drop("_range")
 
 

@@ -8,7 +8,7 @@ half a window around it, found by an equi-join on blocks of positions, never by
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import curves as C
@@ -17,6 +17,7 @@ from ..schema import Header
 from .knn import refine
 from .projections import project, sign_matrix
 from .ranges import feature_ranges, with_ranges
+from .windows import offsets, range_bounds, range_place, with_sequence
 
 
 def codes(rows: DataFrame, ranges: DataFrame, header: Header, shifts: list[int] | None = None, bits: int = 21) -> DataFrame:
@@ -39,26 +40,29 @@ def curve_shifts(n_curves: int, dim: int, seed: int = 1, most: int = 1_000_000)
     return [[0] * dim] + [rng.integers(0, most, dim).tolist() for _ in range(n_curves - 1)]
 
 
-def positions(coded: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Adds position from 0 in the order of (code, id). Rows are counted in buckets of the code's leading bits, whose counts are summed over, then in each."""
-    lead = F.substring("code", 1, buckets or 12)
-    by = coded.withColumn("lead", lead)
-    before = Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)
-    counts = by.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).select("lead", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # 2^12 rows
-    inside = F.row_number().over(Window.partitionBy("lead").orderBy("code", "id")) - 1
-    return by.withColumn("inside", inside).join(counts, "lead").select("id", "code", (F.col("inside") + F.col("before")).cast("long").alias("position"))
+def code_number(code: str = "code") -> Column:
+    """A double that does not decrease along the curve: the leading 208 bits, of which it keeps the first 53 that are not all 0."""
+    wide, out = F.rpad(code, 208, "0"), None
+    for part in reversed(range(4)):
+        bits = F.conv(F.substring(wide, 52 * part + 1, 52), 2, 10).cast("double")
+        out = bits if out is None else bits + out / float(2**52)
+    return out
 
 
-def query_positions(coded: DataFrame, queries: DataFrame, buckets: int | None = None) -> DataFrame:
-    """query_id and position: how many codes of the curve are below the query's (its lower bound). An as-of search: both are merged in buckets of leading bits."""
-    n = buckets or 12
+def positions(coded: DataFrame) -> DataFrame:
+    """Adds position from 0 in the order of (code, id). Rows are counted in ranges of the code, by its quantiles, and offset by the ranges before."""
+    return with_sequence(coded.withColumn("_number", code_number()), "_number", "code", "id", out="position").select("id", "code", "position")
+
+
+def query_positions(coded: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id and position: how many codes of the curve are below the query's (its lower bound). An as-of search: both are merged in ranges of the code."""
     both = coded.select(F.lit(None).cast("long").alias("query_id"), "code", F.lit(1).alias("one")).unionByName(queries.select(F.col("id").alias("query_id"), "code", F.lit(0).alias("one")))
-    both = both.withColumn("lead", F.substring("code", 1, n))
-    before = Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)
-    counts = both.groupBy("lead").agg(F.sum("one").alias("n")).select("lead", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # 2^12 rows
+    bounds = range_bounds(coded, code_number())
+    both = both.withColumn("lead", range_place(code_number(), bounds))
+    before = offsets(both.groupBy("lead").agg(F.sum("one").alias("n")), "lead", "n", len(bounds) + 1)
     below = Window.partitionBy("lead").orderBy("code", "one").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("below", F.sum("one").over(below)).filter("query_id IS NOT NULL")
-    return found.join(counts, "lead").select("query_id", (F.col("below") + F.col("before")).cast("long").alias("position"))
+    return found.select("query_id", (F.col("below") + before).cast("long").alias("position"))
 
 
 def candidates(curve: DataFrame, at: DataFrame, half: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """One registered query for each operator, on the shared tables, with the SQL that gives the same rows.
 
-Shared views: `emb`, instances of the embeddings table; queries are its ids below 20, the window the other rows. `mixed`,
+Shared views: `emb`, instances of the embeddings table; queries are its rows whose id is divisible by 50, the window all rows. `mixed`,
 instances of the part table with two numeric and two nominal features. `events`, the stream, in the order of ts.
 """
 
@@ -16,6 +16,7 @@ from ..functions import curves as C
 from ..functions import vectors as V
 from ..operators import evaluation, kdtree, projections, rptree, sgd, sparse, votes, windows, zorder
 from ..operators import knn as K
+from ..operators.blocked import Metric
 from ..operators.ranges import feature_ranges, widen, with_ranges
 from ..operators.topk import top_k
 from ..schema import Header, dense_index, instances
@@ -26,6 +27,8 @@ ORACLE: dict[str, str] = {}
 DIM, CLASSES = 64, 10
 EMB, MIX = Header.numeric(DIM, CLASSES), Header((0, 0, 1, 1))
 CURVE = Header.numeric(4)
+#: The stated set of queries of a search.
+ASKED = "id % 50 = 0"
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -50,7 +53,7 @@ def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Queries and window."""
     rows = emb(spark, sf_dir)
-    return rows.filter("id < 20"), rows.filter("id >= 20")
+    return rows.filter(ASKED), rows
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +94,8 @@ def s_sum(term: str, count: str = R64) -> str:
     return f"list_reduce(list_prepend(0::DOUBLE, list_transform({count}, lambda i: {term})), lambda s, v: s + v)"
 
 
-S_NORM = f"{S_EMB}, {s_ranges('e', 'id >= 20')}, n AS (SELECT id, label, f, {s_scaled()} AS x FROM e, r)"
-S_DIST = f"{S_NORM}, d AS (SELECT q.id AS query_id, w.id AS id, w.label, {s_sum('(q.x[i] - w.x[i]) * (q.x[i] - w.x[i])')} AS distance FROM n q, n w WHERE q.id < 20 AND w.id >= 20)"
+S_NORM = f"{S_EMB}, {s_ranges('e')}, n AS (SELECT id, label, f, {s_scaled()} AS x FROM e, r)"
+S_DIST = f"{S_NORM}, d AS (SELECT q.id AS query_id, w.id AS id, w.label, {s_sum('(q.x[i] - w.x[i]) * (q.x[i] - w.x[i])')} AS distance FROM n q, n w WHERE q.id % 50 = 0)"
 S_KNN = f"{S_DIST}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM d QUALIFY place <= 10)"
 
 
@@ -119,10 +122,10 @@ def minmax_subset(spark, sf_dir):
     return _bounds(feature_ranges(rows, DIM, rows.filter("id % 2 = 0").select("id")))
 
 
-@query(f"WITH {S_EMB}, {s_ranges('e', 'id >= 20 OR id = 3')} {S_BOUNDS}")
+@query(f"WITH {S_EMB}, {s_ranges('e')} {S_BOUNDS}")
 def minmax_update(spark, sf_dir):
     rows = emb(spark, sf_dir)
-    return _bounds(widen(feature_ranges(rows.filter("id >= 20"), DIM), rows.filter("id = 3")))
+    return _bounds(widen(feature_ranges(rows.filter("id <> 3"), DIM), rows.filter("id = 3")))
 
 
 @query("SELECT min(l_quantity) AS low_quantity, max(l_quantity) AS high_quantity, min(l_extendedprice) AS low_price, max(l_extendedprice) AS high_price, min(l_discount) AS low_discount, max(l_discount) AS high_discount, min(l_tax) AS low_tax, max(l_tax) AS high_tax FROM lineitem")
@@ -220,13 +223,13 @@ def euclidean(spark, sf_dir):
     return K.distances(*sides(spark, sf_dir), EMB).select("query_id", "id", F.sqrt("distance").alias("distance"))
 
 
-S_MIXD = f"""{S_MIXN}, d AS (SELECT q.id AS query_id, w.id, {s_sum('CASE WHEN i >= 3 THEN CASE WHEN trunc(q.x[i])::INT <> trunc(w.x[i])::INT THEN 1 ELSE 0 END ELSE (q.x[i] - w.x[i]) * (q.x[i] - w.x[i]) END', R4)} AS distance FROM x q, x w WHERE q.id <= 5)"""
+S_MIXD = f"""{S_MIXN}, d AS (SELECT q.id AS query_id, w.id, {s_sum('CASE WHEN i >= 3 THEN CASE WHEN trunc(q.x[i])::INT <> trunc(w.x[i])::INT THEN 1 ELSE 0 END ELSE (q.x[i] - w.x[i]) * (q.x[i] - w.x[i]) END', R4)} AS distance FROM x q, x w WHERE q.id % 50 = 0)"""
 
 
 @query(f"WITH {S_MIXD} SELECT * FROM d")
 def sqdist_mixed(spark, sf_dir):
     rows = mixed(spark, sf_dir)
-    return K.distances(rows.filter("id <= 5"), rows, MIX).select("query_id", "id", "distance")
+    return K.distances(rows.filter(ASKED), rows, MIX).select("query_id", "id", "distance")
 
 
 @query(f"WITH {S_DIST} SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM d WHERE id % 7 = query_id % 7 QUALIFY place <= 5")
@@ -238,7 +241,7 @@ def sqdist_candidates(spark, sf_dir):
 
 def _cosine_sql(value: str) -> str:
     return f"""WITH {S_NORM}, p AS (SELECT q.id AS query_id, w.id, {s_sum('q.f[i] * w.f[i]')} AS dot, {s_sum('q.x[i] * w.x[i]')} AS ndot, {s_sum('q.f[i] * q.f[i]')} AS a, {s_sum('w.f[i] * w.f[i]')} AS b
-FROM n q, n w WHERE q.id < 20 AND w.id >= 20) SELECT query_id, id, round({value}, 9) AS similarity FROM p"""
+FROM n q, n w WHERE q.id % 50 = 0) SELECT query_id, id, round({value}, 9) AS similarity FROM p"""
 
 
 def _cosine(spark, sf_dir, similarity, scaled: bool = False) -> DataFrame:
@@ -278,17 +281,17 @@ def knn_cosine(spark, sf_dir):
     return K.knn_cosine(*sides(spark, sf_dir), EMB).select("query_id", "id", F.round("similarity", 9).alias("similarity"), F.col("place").cast("long").alias("place"))
 
 
-S_TIES = f"{S_MIX}, {s_ranges('m')}, x AS (SELECT id, [(f[1]), f[3]] AS x FROM m), d AS (SELECT q.id AS query_id, w.id, (CASE WHEN q.x[1] <> w.x[1] THEN 1 ELSE 0 END + CASE WHEN q.x[2] <> w.x[2] THEN 1 ELSE 0 END)::DOUBLE AS distance FROM x q, x w WHERE q.id <= 5)"
+S_TIES = f"{S_MIX}, {s_ranges('m')}, x AS (SELECT id, [(f[1]), f[3]] AS x FROM m), d AS (SELECT q.id AS query_id, w.id, (CASE WHEN q.x[1] <> w.x[1] THEN 1 ELSE 0 END + CASE WHEN q.x[2] <> w.x[2] THEN 1 ELSE 0 END)::DOUBLE AS distance FROM x q, x w WHERE q.id % 50 = 0)"
 
 
 @query(f"WITH {S_TIES} SELECT query_id, id, distance, rank() OVER (PARTITION BY query_id ORDER BY distance) AS place FROM d QUALIFY place <= 3")
 def knn_ties(spark, sf_dir):
     rows = mixed(spark, sf_dir).withColumn("features", F.array(F.col("features")[0], F.col("features")[2]))
-    return K.knn(rows.filter("id <= 5"), rows, Header((1, 1)), 3, keep_ties=True).select("query_id", "id", "distance", F.col("place").cast("long").alias("place"))
+    return K.knn(rows.filter(ASKED), rows, Header((1, 1)), 3, keep_ties=True).select("query_id", "id", "distance", F.col("place").cast("long").alias("place"))
 
 
 def _votes_sql(weight: str) -> str:
-    return f"""WITH {S_KNN}, c AS (SELECT unnest(range(10))::INT AS class), nw AS (SELECT count(*) AS n FROM e WHERE id >= 20), w AS (SELECT query_id, label, {weight} AS w FROM k),
+    return f"""WITH {S_KNN}, c AS (SELECT unnest(range(10))::INT AS class), nw AS (SELECT count(*) AS n FROM e), w AS (SELECT query_id, label, {weight} AS w FROM k),
 t AS (SELECT query_id, sum(w) AS total FROM w GROUP BY query_id), v AS (SELECT query_id, label, sum(w) AS w FROM w GROUP BY ALL)
 SELECT t.query_id, c.class, round((coalesce(v.w, 0) + 1.0::DOUBLE / n) / (t.total + 10.0::DOUBLE / n), 9) AS p FROM t CROSS JOIN c CROSS JOIN nw LEFT JOIN v ON v.query_id = t.query_id AND v.label = c.class"""
 
@@ -336,6 +339,29 @@ def loo_cv_k(spark, sf_dir):
     return K.best_k(emb(spark, sf_dir), EMB, 10)
 
 
+def _loo_numeric_sql(error: str) -> str:
+    return f"""WITH {S_MIX}, t AS (SELECT id, f[1:1] || f[3:4] AS f, f[2] AS label FROM m), {s_ranges('t')}, n AS (SELECT id, label, {s_scaled('f', 'range(1, 4)', 2)} AS x FROM t, r),
+d AS (SELECT q.id AS q, w.label, q.label AS truth, row_number() OVER (PARTITION BY q.id ORDER BY {s_sum('CASE WHEN i >= 2 THEN CASE WHEN trunc(q.x[i])::INT <> trunc(w.x[i])::INT THEN 1 ELSE 0 END ELSE (q.x[i] - w.x[i]) * (q.x[i] - w.x[i]) END', 'range(1, 4)')}, w.id) AS place FROM n q, n w WHERE q.id <> w.id),
+g AS (SELECT k, q, any_value(truth) AS truth, avg(label) AS guess FROM d, (SELECT unnest(range(1, 6))::INT AS k) WHERE place <= k GROUP BY k, q), s AS (SELECT k, {error} AS errors FROM g GROUP BY k)
+SELECT k, round(errors, 9) AS errors, row_number() OVER (ORDER BY errors, k) = 1 AS best FROM s"""
+
+
+def _loo_numeric(spark, sf_dir, squared: bool) -> DataFrame:
+    """The retail price as a numeric class, from the size and two nominal features."""
+    rows = mixed(spark, sf_dir).withColumn("label", F.col("features")[1]).withColumn("features", F.array(F.col("features")[0], F.col("features")[2], F.col("features")[3]))
+    return K.best_k(rows, Header((0, 1, 1)), 5, numeric=True, squared=squared).withColumn("errors", F.round("errors", 9))
+
+
+@query(_loo_numeric_sql("avg(abs(guess - truth))"))
+def loo_cv_mae(spark, sf_dir):
+    return _loo_numeric(spark, sf_dir, False)
+
+
+@query(_loo_numeric_sql("sqrt(avg((guess - truth) * (guess - truth)))"))
+def loo_cv_rmse(spark, sf_dir):
+    return _loo_numeric(spark, sf_dir, True)
+
+
 # ---------------------------------------------------------------- windows
 @query(f"WITH {S_STREAM} SELECT seq, seq % 1000 AS slot, event_id FROM s WHERE seq > (SELECT max(seq) FROM s) - 1000")
 def window_ring(spark, sf_dir):
@@ -363,8 +389,8 @@ def s_curve(tag: str, source: str, dims: list[int], shifts: list[int]) -> str:
     bits = " || ".join(f"substr(b[{d + 1}], {b + 1}, 1)" for b in range(21) for d in reversed(range(n)))
     return f"""b_{tag} AS (SELECT id, list_transform([{q}], lambda v: lpad(bin(v), 21, '0')) AS b FROM {source}),
 c_{tag} AS (SELECT id, {bits} AS code FROM b_{tag}),
-p_{tag} AS (SELECT id, code, row_number() OVER (ORDER BY code, id) - 1 AS position FROM c_{tag} WHERE id >= 20),
-q_{tag} AS (SELECT q.id AS query_id, (SELECT count(*) FROM p_{tag} w WHERE w.code < q.code) AS position FROM c_{tag} q WHERE q.id < 20)"""
+p_{tag} AS (SELECT id, code, row_number() OVER (ORDER BY code, id) - 1 AS position FROM c_{tag}),
+q_{tag} AS (SELECT q.id AS query_id, (SELECT count(*) FROM p_{tag} w WHERE w.code < q.code) AS position FROM c_{tag} q WHERE q.id % 50 = 0)"""
 
 
 def s_near(tag: str, half: int) -> str:
@@ -400,14 +426,12 @@ def zorder_sort(spark, sf_dir):
 c AS (SELECT id, array_to_string(list_transform(range(1, 9), lambda k: b[2][k] || b[1][k]), '') AS code FROM b)
 SELECT id, row_number() OVER (ORDER BY code, id) - 1 AS place, row_number() OVER (ORDER BY substr(code, 9, 8) || substr(code, 1, 8), id) - 1 AS reversed_place FROM c""")
 def sort_bytes(spark, sf_dir):
-    """Byte keys in both orders of significance."""
-    from pyspark.sql import Window
-
+    """Byte keys in both orders of significance. Places are counted in ranges of the key."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("long"), F.col("p_partkey") % 16).alias("q"))
-    key = part.select("id", C.morton_bytes("q", 2, 8).alias("key"), F.lit(0).alias("one"))
+    key = part.select("id", C.morton_bytes("q", 2, 8).alias("key"))
     back = F.concat(F.substring("key", 2, 1), F.substring("key", 1, 1))
-    place = lambda k: (F.row_number().over(Window.partitionBy("one").orderBy(k, "id")) - 1).cast("long")
-    return key.select("id", place(F.col("key")).alias("place"), place(back).alias("reversed_place"))
+    placed_ = lambda k, out: windows.with_sequence(key.select("id", F.conv(F.hex(k), 16, 10).cast("long").alias("k")), "k", "id", out=out).select("id", out)
+    return placed_(F.col("key"), "place").join(placed_(back, "reversed_place"), "id")
 
 
 @query(f"WITH {S_FOUR}, {S_C1} SELECT query_id, position FROM q_a")
@@ -446,7 +470,7 @@ def knn_zorder_multi(spark, sf_dir):
     return placed(_zorder(spark, sf_dir, 2))
 
 
-@query(f"""WITH {S_MULTI}, ex AS (SELECT q.id AS query_id, {s_sum('(q.x[i] - w.x[i]) * (q.x[i] - w.x[i])')} AS distance FROM na q, na w WHERE q.id < 20 AND w.id >= 20),
+@query(f"""WITH {S_MULTI}, ex AS (SELECT q.id AS query_id, {s_sum('(q.x[i] - w.x[i]) * (q.x[i] - w.x[i])')} AS distance FROM na q, na w WHERE q.id % 50 = 0),
 ek AS (SELECT query_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance) AS place FROM ex QUALIFY place = 10)
 SELECT round(avg(CASE WHEN ek.distance > 0 THEN sqrt(kk.distance) / sqrt(ek.distance) WHEN kk.distance = 0 THEN 1 END), 9) AS epsilon, count(*) AS n FROM ek JOIN kk USING (query_id) WHERE kk.place = 10""")
 def eps_error(spark, sf_dir):
@@ -518,6 +542,12 @@ def fjlt(spark, sf_dir):
     return each(rows, "projected", "id").select("id", "attr", F.round("value", 9).alias("value"))
 
 
+@query(_fjlt_sql().replace("round(v, 9)", "round(v::FLOAT::DOUBLE, 4)"))
+def fjlt_float(spark, sf_dir):
+    rows = projections.fjlt(emb(spark, sf_dir), DIM, 8, single=True)
+    return each(rows, "projected", "id").select("id", "attr", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
 # ---------------------------------------------------------------- sparse algebra
 S_ENT = f"{S_EMB}, t AS (SELECT row_id, col, val FROM (SELECT id AS row_id, (generate_subscripts(f, 1) - 1)::INT AS col, unnest(f) AS val FROM e) WHERE abs(val) > 0.1)"
 S_W = "wt AS (SELECT c::INT AS class, j::INT AS col, ((c * 64 + j) * 37 % 101 - 50) / 100.0::DOUBLE AS w FROM (SELECT unnest(range(10)) AS c), (SELECT unnest(range(64)) AS j)), bt AS (SELECT c::INT AS class, (c * 31 % 11 - 5) / 10.0::DOUBLE AS bias FROM (SELECT unnest(range(10)) AS c))"
@@ -650,16 +680,22 @@ def _weight_rows(spark, w) -> DataFrame:
     return spark.createDataFrame([(c, a if a < dim else sgd.BIAS, float(w[c, a])) for c in range(len(w)) for a in range(dim + 1)], "class int, attr int, w double")
 
 
+def _trained(spark, sf_dir, **options) -> DataFrame:
+    rows = _training(spark, sf_dir, 64, 2).withColumn("batch", F.col("batch").cast("int")).persist()
+    try:
+        return _weight_rows(spark, sgd.train(rows, DIM, CLASSES, _full_batches(rows), workers=2, rate=0.01, **options))
+    finally:
+        rows.unpersist()
+
+
 @query()
 def sgd_train(spark, sf_dir):
-    rows = _training(spark, sf_dir, 64, 2).withColumn("batch", F.col("batch").cast("int")).persist()
-    return _weight_rows(spark, sgd.train(rows, DIM, CLASSES, _full_batches(rows), workers=2, rate=0.01))
+    return _trained(spark, sf_dir)
 
 
 @query()
 def sgd_onebit(spark, sf_dir):
-    rows = _training(spark, sf_dir, 64, 2).withColumn("batch", F.col("batch").cast("int")).persist()
-    return _weight_rows(spark, sgd.train(rows, DIM, CLASSES, _full_batches(rows), workers=2, rate=0.01, one_bit=True, tau=0.05, stagger=2))
+    return _trained(spark, sf_dir, one_bit=True, tau=0.05, stagger=2)
 
 
 @query()
@@ -673,7 +709,7 @@ a1 AS (SELECT id, f, CASE WHEN f[d + 1] > mid THEN 2 ELSE 1 END AS node FROM a0,
 c1 AS (SELECT node, count(*) AS n FROM a1 GROUP BY node), sh1 AS (SELECT node, i - 1 AS d, (l + h) / 2 AS mid, row_number() OVER (PARTITION BY node ORDER BY (h - l) / (hi[i] - lo[i]) DESC, i) AS place FROM b1, r QUALIFY place = 1)
 SELECT 0::BIGINT AS node, d::INT AS split_dim, mid AS split_val FROM sh0 UNION ALL SELECT node, d::INT, mid FROM sh1 JOIN c1 USING (node) WHERE n > 50""")
 def kd_level_split(spark, sf_dir):
-    return kdtree.build(emb(spark, sf_dir), DIM, leaf=50, depth=2)[1].select("node", "split_dim", "split_val")
+    return kdtree.split_table(spark, kdtree.build(emb(spark, sf_dir), Metric((0,) * DIM), leaf=50, depth=2))
 
 
 @query(ORACLE["knn_linear"])
@@ -681,7 +717,7 @@ def knn_kdtree(spark, sf_dir):
     return placed(kdtree.knn_kdtree(*sides(spark, sf_dir), EMB, leaf=64))
 
 
-S_PLAIN = f"{S_EMB}, d AS (SELECT q.id AS query_id, w.id, w.label, {s_sum('(q.f[i] - w.f[i]) * (q.f[i] - w.f[i])')} AS distance FROM e q, e w WHERE q.id < 20 AND w.id >= 20)"
+S_PLAIN = f"{S_EMB}, d AS (SELECT q.id AS query_id, w.id, w.label, {s_sum('(q.f[i] - w.f[i]) * (q.f[i] - w.f[i])')} AS distance FROM e q, e w WHERE q.id % 50 = 0)"
 
 
 @query(f"WITH {S_PLAIN} SELECT query_id, id, label, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM d QUALIFY place <= 5")
@@ -698,6 +734,20 @@ def knn_rptree_defeatist(spark, sf_dir):
     return placed(rptree.knn_rptree(q, w, tree, DIM, defeatist=True))
 
 
+@query()
+def kd_work(spark, sf_dir):
+    """What the exact search by boxes does for each query."""
+    return kdtree.work_log(*sides(spark, sf_dir), EMB, leaf=64)
+
+
+@query()
+def rptree_work(spark, sf_dir):
+    """Means over the log of the exact search in the leaves of a random-projection tree."""
+    q, w = sides(spark, sf_dir)
+    tree = rptree.fit(w.withColumn("seq", F.col("id")), DIM)
+    return evaluation.work_statistics(rptree.work_log(q, w, tree, DIM))
+
+
 # ---------------------------------------------------------------- evaluation
 @query(f"""WITH {S_STREAM}, p AS (SELECT seq // 2500 AS checkpoint, seq, class AS actual, (event_id * 7 % 5)::INT AS predicted FROM s), l AS (SELECT *, lag(actual) OVER (PARTITION BY checkpoint ORDER BY seq) AS before FROM p),
 b AS (SELECT checkpoint, count(*) AS n, avg((actual = predicted)::INT) AS accuracy, count(*) FILTER (before = actual) AS repeats FROM l GROUP BY ALL),
@@ -718,19 +768,16 @@ def hold_out_cached(spark, sf_dir):
     return evaluation.hold_out(stream(spark, sf_dir), 1000, 300, cached=True).groupBy("checkpoint", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {S_KNN.replace('w.id >= 20)', 'w.id >= 20 AND w.id < (SELECT max(id) FROM e) - 100)').replace("WHERE id >= 20)", "WHERE id >= 20 AND id < (SELECT max(id) FROM e) - 100)").replace('id < 20 AND w.id >= 20', 'id < 20 AND w.id >= 20')},
-v AS (SELECT query_id, label, count(*) AS n FROM k GROUP BY ALL), g AS (SELECT query_id, arg_max(label, n * 100 - label) AS guess FROM v GROUP BY ALL)
+@query(f"""WITH {S_KNN}, v AS (SELECT query_id, label, count(*) AS n FROM k GROUP BY ALL), g AS (SELECT query_id, arg_max(label, n * 100 - label) AS guess FROM v GROUP BY ALL)
 SELECT count(*) AS n, round(avg((guess = label)::INT), 9) AS accuracy FROM g JOIN e ON e.id = g.query_id""")
 def eval_knn(spark, sf_dir):
     """The evaluated learner end to end: window, neighbours, votes, accuracy."""
     q, w = sides(spark, sf_dir)
-    top = emb(spark, sf_dir).agg(F.max("id").alias("top"))
-    w = w.crossJoin(F.broadcast(top)).filter(F.col("id") < F.col("top") - 100).drop("top")
     got = votes.predicted(votes.class_votes(K.knn(q, w, EMB), CLASSES, w.count(), DIM + 1)).join(q.select(F.col("id").alias("query_id"), F.col("label").alias("actual")), "query_id")
     return evaluation.metrics(got.withColumn("seq", F.col("query_id"))).select("n", F.round("accuracy", 9).alias("accuracy"))
 
 
-@query(f"WITH {S_EMB}, c AS (SELECT q.id AS query_id, count(*) AS compared FROM e q JOIN e w ON q.id % 7 = w.id % 7 WHERE q.id < 20 AND w.id >= 20 GROUP BY ALL) SELECT round(avg(compared), 9) AS avg_compared, round(avg(compared), 9) AS avg_leaf_size, 1.0::DOUBLE AS avg_leaves FROM c")
+@query(f"WITH {S_EMB}, c AS (SELECT q.id AS query_id, count(*) AS compared FROM e q JOIN e w ON q.id % 7 = w.id % 7 WHERE q.id % 50 = 0 GROUP BY ALL) SELECT round(avg(compared), 9) AS avg_compared, round(avg(compared), 9) AS avg_leaf_size, 1.0::DOUBLE AS avg_leaves FROM c")
 def work_statistics(spark, sf_dir):
     q, w = sides(spark, sf_dir)
     sizes = w.groupBy((F.col("id") % 7).alias("leaf")).agg(F.count(F.lit(1)).alias("compared"))
@@ -758,14 +805,42 @@ def random_tree_features(spark, sf_dir):
     return each(generators.random_tree(spark, 1000), "features", "id")
 
 
-@query()
+S_TREE = f"x AS (SELECT id, [{', '.join([*[f'floor({s_uniform("id", i)} * 5)' for i in range(5)], *[s_uniform('id', 5 + i) for i in range(5)]])}] AS x FROM (SELECT unnest(range(1000)) AS id))"
+
+
+@query(f"WITH {S_TREE}, l AS (SELECT id, {generators.tree_sql()} AS label FROM x) SELECT label, count(*) AS n FROM l GROUP BY label")
 def random_tree(spark, sf_dir):
     return generators.random_tree(spark, 1000).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _radial_sql() -> str:
+    at, spread, label, edge = generators.centres(10, 50, 2)
+    table_ = ", ".join(f"({c}, {[float(v) for v in at[c]]}::DOUBLE[], {float(spread[c])!r}::DOUBLE, {int(label[c])})" for c in range(len(at)))
+    pick = "CASE " + " ".join(f"WHEN u < {float(e)!r}::DOUBLE THEN {c}" for c, e in enumerate(edge[:-1])) + f" ELSE {len(edge) - 1} END"
+    direction = ", ".join(f"{s_uniform('id', 1 + i)} * 2 - 1" for i in range(10))
+    return f"""WITH c(c, centre, spread, label) AS (VALUES {table_}), u AS (SELECT id, {s_uniform('id', 0)} AS u, [{direction}] AS d, sqrt(-2 * ln(1 - {s_uniform('id', 500)})) * cos(2 * pi() * {s_uniform('id', 501)}) AS z FROM (SELECT unnest(range(1000)) AS id)),
+x AS (SELECT u.id, c.label, list_transform(range(1, 11), lambda i: centre[i] + d[i] / sqrt(list_sum(list_transform(d, lambda v: v * v))) * z * spread) AS x FROM (SELECT *, {pick} AS c FROM u) u JOIN c USING (c))
+SELECT id, label, (i - 1)::INT AS attr, round(x[i], 9) AS value FROM (SELECT *, unnest(range(1, 11)) AS i FROM x)"""
+
+
+@query(_radial_sql())
 def radial_basis(spark, sf_dir):
-    return generators.radial_basis(spark, 1000).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return each(generators.radial_basis(spark, 1000), "features", "id", "label").withColumn("value", F.round("value", 9))
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS balance, (dense_rank() OVER (ORDER BY c_nationkey) - 1)::DOUBLE AS nation, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::DOUBLE AS label FROM customer")
+def arff_file(spark, sf_dir):
+    """Customers written as an ARFF file, with a nominal feature and a nominal class, and read again."""
+    from ..session import scratch_path
+
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal", "c_nationkey", "c_mktsegment")
+    nations, segments = ([str(r[0]) for r in rows.select(c).distinct().orderBy(c).collect()] for c in ("c_nationkey", "c_mktsegment"))  # 25 and 5 values
+    index = lambda c, values: (F.array_position(F.array(*map(F.lit, values)), F.col(c).cast("string")) - 1).cast("double")
+    made = rows.select("id", F.array(F.col("id").cast("double"), "c_acctbal", index("c_nationkey", nations)).alias("features"), index("c_mktsegment", segments).alias("label"))
+    path = f"{scratch_path(spark)}/customer.arff"
+    arff.write_arff(made, path, "customer", [("id", None), ("balance", None), ("nation", nations), ("digit", segments)])
+    f = F.col("features")
+    return arff.read_arff(spark, path)[0].select(f[0].cast("long").alias("id"), f[1].alias("balance"), f[2].alias("nation"), "label")
 
 
 @query(f"""WITH c AS (SELECT id, floor({s_uniform('id', 1000)} * 2)::INT AS label, floor({s_uniform('id', 2000)} * 10)::INT AS mapping FROM (SELECT unnest(range(500)) AS id)), x AS (SELECT id, label, mapping, [{', '.join(f'label + {s_uniform("id", i)} / 10' for i in range(7))}] AS x FROM c),

@@ -13,23 +13,39 @@ def uniform(row: Column, place: int, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / float(2**52)
 
 
+def tree_nodes(nominals: int = 5, values: int = 5, numerics: int = 5, classes: int = 2, depth: int = 5, seed: int = 1) -> tuple | int:
+    """A random tree: (feature, value, below, above) or the class of a leaf."""
+    rng = np.random.default_rng(seed)
+
+    def node(level: int) -> tuple | int:
+        if level == depth:
+            return int(rng.integers(classes))
+        i = int(rng.integers(nominals + numerics))
+        at = float(rng.integers(1, values)) if i < nominals else float(rng.random())
+        return i, at, node(level + 1), node(level + 1)
+
+    return node(0)
+
+
+def tree_sql(**options) -> str:
+    """The label of features x (from 1) by the same tree."""
+    def text(node: tuple | int) -> str:
+        return str(node) if isinstance(node, int) else f"CASE WHEN x[{node[0] + 1}] < {node[1]!r}::DOUBLE THEN {text(node[2])} ELSE {text(node[3])} END"
+
+    return text(tree_nodes(**options))
+
+
 def random_tree(spark: SparkSession, n: int, nominals: int = 5, values: int = 5, numerics: int = 5, classes: int = 2, depth: int = 5, seed: int = 1) -> DataFrame:
     """Nominal features first, then numeric ones in [0, 1); the label is that of the leaf of a random tree. id, features, label."""
     row = F.col("id")
     x = [F.floor(uniform(row, i, seed) * values).cast("double") for i in range(nominals)] + [uniform(row, nominals + i, seed) for i in range(numerics)]
-    rng = np.random.default_rng(seed)
-
-    def leaf() -> Column:
-        return F.lit(int(rng.integers(classes)))
 
-    def node(level: int) -> Column:
-        if level == depth:
-            return leaf()
-        i = int(rng.integers(nominals + numerics))
-        f = F.col("features")[i]
-        return F.when(f < (float(rng.integers(1, values)) if i < nominals else float(rng.random())), node(level + 1)).otherwise(node(level + 1))
+    def label(node: tuple | int) -> Column:
+        if isinstance(node, int):
+            return F.lit(node)
+        return F.when(F.col("features")[node[0]] < node[1], label(node[2])).otherwise(label(node[3]))
 
-    return spark.range(n).select("id", F.array(*x).alias("features")).withColumn("label", node(0))
+    return spark.range(n).select("id", F.array(*x).alias("features")).withColumn("label", label(tree_nodes(nominals, values, numerics, classes, depth, seed)))
 
 
 def two_clusters(spark: SparkSession, n: int, dim: int = 7, seed: int = 1) -> DataFrame:
@@ -55,17 +71,22 @@ def sparse_mapped(rows: DataFrame, base: int, width: int = 1024, n_mappings: int
     return rows.withColumn("mapping", pick).select("id", "label", "mapping", entries.alias("entries"))
 
 
-def radial_basis(spark: SparkSession, n: int, dim: int = 10, centres: int = 50, classes: int = 2, seed: int = 1) -> DataFrame:
-    """Random radial basis functions: a weighted random centre, a random direction, a normal distance of the centre's own deviation."""
+def centres(dim: int, n: int, classes: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, deviations, classes and cumulated weights of random centres."""
     rng = np.random.default_rng(seed)
-    at, spread, label, weight = rng.random((centres, dim)), rng.random(centres), rng.integers(classes, size=centres), rng.random(centres)
-    edge = np.cumsum(weight) / weight.sum()
+    at, spread, label, weight = rng.random((n, dim)), rng.random(n), rng.integers(classes, size=n), rng.random(n)
+    return at, spread, label, np.cumsum(weight) / weight.sum()
+
+
+def radial_basis(spark: SparkSession, n: int, dim: int = 10, n_centres: int = 50, classes: int = 2, seed: int = 1) -> DataFrame:
+    """Random radial basis functions: a weighted random centre, a random direction, a normal distance of the centre's own deviation."""
+    at, spread, label, edge = centres(dim, n_centres, classes, seed)
     row = F.col("id")
     u = uniform(row, 0, seed)
-    pick = F.lit(centres - 1)
-    for c in reversed(range(centres - 1)):
+    pick = F.lit(n_centres - 1)
+    for c in reversed(range(n_centres - 1)):
         pick = F.when(u < float(edge[c]), F.lit(c)).otherwise(pick)
-    arrays = spark.createDataFrame([(c, at[c].tolist(), float(spread[c]), int(label[c])) for c in range(centres)], "c int, centre array<double>, spread double, label int")
+    arrays = spark.createDataFrame([(c, at[c].tolist(), float(spread[c]), int(label[c])) for c in range(n_centres)], "c int, centre array<double>, spread double, label int")
     direction = F.array(*[uniform(row, 1 + i, seed) * 2 - 1 for i in range(dim)])
     normal = F.sqrt(-2 * F.log(1 - uniform(row, 500, seed))) * F.cos(2 * np.pi * uniform(row, 501, seed))
     rows = spark.range(n).select("id", pick.alias("c"), direction.alias("direction"), normal.alias("normal")).join(F.broadcast(arrays), "c")

@@ -47,17 +47,29 @@ class OnlineSgd:
 
 
 def evaluate_stream(stream: DataFrame, path: str, checkpoint: str, every: int, window: int, header, k: int = 10):
-    """Test-then-train over a file stream: each micro-batch is tested against the ring of rows before it, then added. Appends one result line a batch."""
+    """Test-then-train over a file stream, `every` rows at a time in the order of seq: rows are tested against the ring of rows before
+    them, then added. A micro-batch of more rows is taken in so many steps; none is left out. Appends one result line a step."""
     from ..operators.evaluation import metrics
     from ..operators.knn import knn
     from ..operators.votes import class_votes, predicted
+    from ..operators.windows import with_sequence
     from ..sources.sinks import append_results
 
     held: dict[str, DataFrame] = {}
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = spark.createDataFrame(batch.limit(every).toPandas(), batch.schema)  # a micro-batch of at most `every` rows
+    steps = 0
+
+    def step(batch: DataFrame, _: int) -> None:
+        nonlocal steps
+        placed = with_sequence(batch, "seq", out="_at").persist()
+        try:
+            for begin in range(0, placed.count(), every):
+                one(batch.sparkSession, placed.filter((F.col("_at") >= begin) & (F.col("_at") < begin + every)).drop("_at"), steps)
+                steps += 1
+        finally:
+            placed.unpersist()
+
+    def one(spark, part: DataFrame, number: int) -> None:
+        rows = spark.createDataFrame(part.toPandas(), part.schema)  # at most `every` rows
         if "window" in held:
             near = knn(rows, held["window"], header, k)
             votes = class_votes(near, header.n_classes, held["window"].count(), header.dim + 1, missing=rows.select(F.col("id").alias("query_id")))

@@ -161,7 +161,7 @@ def recall(spark, sf_dir, found):
     """Share of the ten true neighbours by numpy, ranges with the queries, that were found; ids from 0 without gaps."""
     x = np.array([r["embedding"] for r in sorted(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect())], float)
     x = (x - x.min(0)) / (x.max(0) - x.min(0))
-    true = {(q, int(i) + 20) for q in range(20) for i in np.argsort(((x[20:] - x[q]) ** 2).sum(1), kind="stable")[:10]}
+    true = {(q, int(i)) for q in range(0, len(x), 50) for i in np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[:10]}
     return len(true & {(r["query_id"], r["id"]) for r in found.select("query_id", "id").collect()}) / len(true)
 
 
@@ -176,12 +176,12 @@ def test_an_eighth_on_each_side_is_enough(spark, search):
     """Windows that do not hold the whole table."""
     sf = "/root/testdata/sf0.1"
     q, w = queries.sides(spark, sf)
-    assert zorder.wide_half(w, 1) == 248 and recall(spark, sf, search(q, w, queries.EMB, half=248)) >= 0.9
+    assert zorder.wide_half(w, 1) == 250 and recall(spark, sf, search(q, w, queries.EMB, half=250)) >= 0.9
 
 
 def test_error_of_wide_curves(spark):
     got = QUERIES["eps_error_wide"](spark, "/root/testdata/sf0.1").first()
-    assert 1 <= got["epsilon"] < 1.01 and got["n"] == 20
+    assert 1 <= got["epsilon"] < 1.01 and got["n"] == 40
 
 
 def test_empty_tables(spark):

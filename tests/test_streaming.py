@@ -18,3 +18,11 @@ def test_online_sgd_and_evaluation(spark, tmp_path):
     run.awaitTermination()
     got = read_results(spark, str(tmp_path / "out")).collect()
     assert len(got) == 2 and all(r["accuracy"] == 1.0 for r in got)
+
+
+def test_large_micro_batches_lose_no_row(spark, tmp_path):
+    """Batches of 40 rows, ten at a time: 12 steps, of which the first has no window."""
+    run = evaluate_stream(source(spark, tmp_path), str(tmp_path / "out"), str(tmp_path / "c"), 10, 1000, Header.numeric(2, 2), k=3).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = read_results(spark, str(tmp_path / "out")).orderBy("checkpoint").collect()
+    assert [r["checkpoint"] for r in got] == list(range(1, 12)) and sum(r["n"] for r in got) == 110
