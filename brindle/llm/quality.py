@@ -10,7 +10,7 @@ covers every whole text, in Arrow batches, with weights of fixed size. Features:
 classes, word lengths and endings, and shares of distinct words and four-word runs.
 
 Edge cases: null texts count as empty and get a score like any other; rows with a null doc_id are scored and never
-learnt from; without labels of both kinds all scores are 0.5; repeated rows score alike; an empty table gives an empty
+learnt from; of labels that repeat a doc_id the lowest counts; without labels of both kinds all scores are 0.5; repeated rows score alike; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -110,7 +110,7 @@ def held_out(id_col: str):
 
 def train(docs: DataFrame, labels: DataFrame, most_per_label: int = 4000, cut: float = 0.3) -> Model | None:
     """None without labels of both kinds. docs: doc_id, text; labels: doc_id, quality."""
-    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").alias("of"), "quality").dropDuplicates(["of"]).filter(~held_out("of"))
+    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").alias("of"), "quality").groupBy("of").agg(F.min("quality").alias("quality")).filter(~held_out("of"))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}  # two rows
     if len(counts) < 2:
         return None
