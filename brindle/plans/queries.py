@@ -393,7 +393,7 @@ p_{tag} AS (SELECT id, code, row_number() OVER (ORDER BY code, id) - 1 AS positi
 q_{tag} AS (SELECT q.id AS query_id, (SELECT count(*) FROM p_{tag} w WHERE w.code < q.code) AS position FROM c_{tag} q WHERE q.id % 50 = 0)"""
 
 
-def s_near(tag: str, half: int) -> str:
+def s_near(tag: str, half: int | str) -> str:
     return f"SELECT query_id, id FROM q_{tag} q, p_{tag} p WHERE p.position BETWEEN q.position - {half} AND q.position + {half} - 1"
 
 
@@ -484,13 +484,26 @@ def _zorder_wide(spark, sf_dir) -> DataFrame:
     return zorder.knn_zorder(q, w, EMB, half=zorder.wide_half(w))
 
 
-@query()
+S_HALF = "half AS (SELECT greatest(512, (count(*) + 7) // 8) AS half FROM e)"
+WIDE_SHIFTS = zorder.curve_shifts(10, DIM)
+S_WIDE = f"""{S_EMB}, {s_ranges('e')}, {S_HALF}, z AS (SELECT id, list_transform({s_scaled()}, lambda v: trunc(greatest(v, 0) * 1000000)::BIGINT & 4294967295) AS z FROM e, r),
+sh(curve, s) AS (VALUES {", ".join(f"({i}, {shifts})" for i, shifts in enumerate(WIDE_SHIFTS))}),
+bt AS (SELECT curve, id, list_transform({R64}, lambda i: lpad(bin((z[i] + s[i]) & 4294967295), 21, '0')) AS b FROM z, sh),
+cw AS (SELECT curve, id, array_to_string(list_transform(range(1, 22), lambda k: array_to_string(list_transform(range(64, 0, -1), lambda d: substr(b[d], k, 1)), '')), '') AS code FROM bt),
+pw AS (SELECT curve, id, row_number() OVER (PARTITION BY curve ORDER BY code, id) - 1 AS position FROM cw),
+qw AS (SELECT q.curve, q.id AS query_id, (SELECT count(*) FROM cw w WHERE w.curve = q.curve AND w.code < q.code) AS position FROM cw q WHERE q.id % 50 = 0),
+cand AS (SELECT DISTINCT query_id, pw.id FROM qw JOIN pw USING (curve), half WHERE pw.position BETWEEN qw.position - half AND qw.position + half - 1), {S_REFINE}"""
+
+
+@query(f"WITH {S_WIDE} SELECT query_id, id, label, distance, place FROM kk")
 def knn_zorder_wide(spark, sf_dir):
     """Ten curves over all features, with a window that grows with the table; the queries above hold the operator against SQL on thin windows."""
     return placed(_zorder_wide(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {S_WIDE}, ex AS (SELECT q.id AS query_id, {s_sum('(q.x[i] - w.x[i]) * (q.x[i] - w.x[i])')} AS distance FROM na q, na w WHERE q.id % 50 = 0),
+ek AS (SELECT query_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance) AS place FROM ex QUALIFY place = 10)
+SELECT round(avg(CASE WHEN ek.distance > 0 THEN sqrt(kk.distance) / sqrt(ek.distance) WHEN kk.distance = 0 THEN 1 END), 9) AS epsilon, count(*) AS n FROM ek JOIN kk USING (query_id) WHERE kk.place = 10""")
 def eps_error_wide(spark, sf_dir):
     q, w = sides(spark, sf_dir)
     exact = K.knn(q, w, EMB, 10, ranges=feature_ranges(w.unionByName(q), DIM))
@@ -510,19 +523,19 @@ def project(spark, sf_dir):
     return each(projections.project(emb(spark, sf_dir), MATRICES[0]), "projected", "id")
 
 
-def _projected_sql() -> str:
-    parts = [S_EMB]
-    for tag, matrix in zip("ab", MATRICES):
+def _projected_sql(matrices: list, half: int | str, *more: str) -> str:
+    parts, tags = [S_EMB, *more], "abcdefghij"[: len(matrices)]
+    for tag, matrix in zip(tags, matrices):
         parts += [f"g{tag} AS (SELECT id, {s_matrix(matrix)} AS f FROM e)", s_ranges(f"g{tag}", "true", f"r{tag}_"), f"h{tag} AS (SELECT id, f, lo, hi FROM g{tag}, r{tag}_)", s_curve(tag, f"h{tag}", [1, 2, 3, 4], [0] * 4)]
-    return f"WITH {', '.join(parts)}, cand AS ({s_near('a', 64)} UNION {s_near('b', 64)}), {S_REFINE} SELECT query_id, id, label, distance, place FROM kk"
+    return f"WITH {', '.join(parts)}, cand AS ({' UNION '.join(s_near(tag, half) for tag in tags)}), {S_REFINE} SELECT query_id, id, label, distance, place FROM kk"
 
 
-@query(_projected_sql())
+@query(_projected_sql(MATRICES, 64))
 def knn_projected(spark, sf_dir):
     return placed(zorder.knn_projected(*sides(spark, sf_dir), EMB, n_curves=2, half=64))
 
 
-@query()
+@query(_projected_sql([projections.sign_matrix(4, DIM, 1 + c) for c in range(10)], "(SELECT half FROM half)", S_HALF))
 def knn_projected_wide(spark, sf_dir):
     """Ten curves, with a window that grows with the table."""
     q, w = sides(spark, sf_dir)
@@ -688,9 +701,27 @@ def _trained(spark, sf_dir, **options) -> DataFrame:
         rows.unpersist()
 
 
-@query()
+# Rounds in SQL: one row a step, whose weights are lists by class, the bias last.
+_X, _ZERO = "list_append(embedding::DOUBLE[], 1.0::DOUBLE)", f"list_transform(range({CLASSES}), lambda k: list_transform(range({DIM + 1}), lambda a: 0.0::DOUBLE))"
+_SIGN = "CASE WHEN t.label = c.class THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"
+_UPDATE = f"CASE WHEN ({_SIGN}) * list_dot_product(r.w[c.class + 1], t.x) < 1 THEN ({_SIGN}) ELSE 0.0::DOUBLE END"
+S_SGD = f"""t AS (SELECT *, seq // 64 AS batch, (seq % 2)::INT AS worker FROM (SELECT {_X} AS x, label, row_number() OVER (ORDER BY vec_id) - 1 AS seq FROM embeddings)),
+kept AS (SELECT * FROM t WHERE batch < (SELECT (max(seq) + 1) // 64 FROM t)), c AS (SELECT unnest(range({CLASSES}))::INT AS class)"""
+
+
+def s_weights(of: str, keys: str = "") -> str:
+    return f"SELECT {keys}class::INT AS class, CASE WHEN a = {DIM} THEN -1 ELSE a::INT END AS attr, round(w[class + 1][a + 1], 9) AS w FROM {of}, (SELECT unnest(range({CLASSES})) AS class), (SELECT unnest(range({DIM + 1})) AS a)"
+
+
+_GRADIENT = "[" + ", ".join(f"sum(u * x[{i + 1}])" for i in range(DIM + 1)) + "]"
+
+
+@query(f"""WITH RECURSIVE {S_SGD}, rec(step, w) AS (SELECT 0::BIGINT, {_ZERO} UNION ALL SELECT r.step + 1, n.w FROM (SELECT * FROM rec WHERE step <= (SELECT max(batch) FROM kept)) r, LATERAL (
+  SELECT list(v ORDER BY class) AS w FROM (SELECT class, list_transform(range(1, {DIM + 2}), lambda a: r.w[class + 1][a] + 0.01::DOUBLE * g[a] / 32.0::DOUBLE) AS v FROM (
+    SELECT class, {_GRADIENT} AS g FROM (SELECT c.class, t.x, {_UPDATE} AS u FROM kept t, c WHERE t.batch = r.step) GROUP BY class))) n)
+{s_weights("(SELECT w FROM rec ORDER BY step DESC LIMIT 1)")}""")
 def sgd_train(spark, sf_dir):
-    return _trained(spark, sf_dir)
+    return _trained(spark, sf_dir).withColumn("w", F.round("w", 9))
 
 
 @query()
@@ -698,9 +729,13 @@ def sgd_onebit(spark, sf_dir):
     return _trained(spark, sf_dir, one_bit=True, tau=0.05, stagger=2)
 
 
-@query()
+@query(f"""WITH RECURSIVE {S_SGD}, o AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY seq) - 1 AS turn FROM kept),
+rec(worker, step, w) AS (SELECT worker, 0::BIGINT, {_ZERO} FROM (SELECT DISTINCT worker FROM o) UNION ALL SELECT r.worker, r.step + 1, n.w FROM rec r, LATERAL (
+  SELECT list(v ORDER BY class) AS w FROM (SELECT class, list_transform(range(1, {DIM + 2}), lambda a: r.w[class + 1][a] + 0.01::DOUBLE * u * x[a]) AS v FROM (
+    SELECT c.class, t.x, {_UPDATE} AS u FROM o t, c WHERE t.turn = r.step AND t.worker = r.worker))) n WHERE n.w IS NOT NULL)
+{s_weights("(SELECT worker, arg_max(w, step) AS w FROM rec GROUP BY worker)", "worker, ")}""")
 def sgd_sequential(spark, sf_dir):
-    return sgd.sequential(_training(spark, sf_dir, 64, 2), DIM, CLASSES, rate=0.01)
+    return sgd.sequential(_training(spark, sf_dir, 64, 2), DIM, CLASSES, rate=0.01).withColumn("w", F.round("w", 9))
 
 
 # ---------------------------------------------------------------- trees
