@@ -26,6 +26,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,12 +110,13 @@ def record_id(*parts) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(map(str, parts)))}>"
 
 
-def warc_record(fields: dict[str, str], body: bytes, truncated: bool = False, key: object = "", refers_to: tuple | None = None) -> bytes:
-    """The equivalent WARC record, without the CRLF CRLF that ends it. refers_to: (key, url) of the record whose payload is the same; then the payload is left out."""
+def warc_record(fields: dict[str, str], body: bytes, truncated: bool = False, key: object = "", refers_to: tuple | None = None, place: object = "") -> bytes:
+    """The equivalent WARC record, without the CRLF CRLF that ends it. refers_to: (key, url) of the record whose payload is the same; then the
+    payload is left out, and the record is named by its target and time. place: where the row is, so that repeated rows have identifiers of their own."""
     head, payload = split_http(body)
     kind = "warcinfo" if fields["URL"].startswith("filedesc:") else "response" if head else "resource"
     url, when, mark = fields["URL"], w3c_time(fields["Archive-date"]), digest_name(payload)
-    lines = {"WARC-Type": kind, "WARC-Record-ID": record_id(url, when, mark, key), "WARC-Date": when}
+    lines = {"WARC-Type": kind, "WARC-Record-ID": record_id(url, when, mark, key, place), "WARC-Date": when}
     if kind == "warcinfo":
         lines["WARC-Filename"] = url.removeprefix("filedesc://")
     else:
@@ -124,7 +126,7 @@ def warc_record(fields: dict[str, str], body: bytes, truncated: bool = False, ke
     block = body
     if refers_to is not None:
         block = head
-        lines |= {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "WARC-Refers-To": record_id(*refers_to[1:], when, mark, refers_to[0]), "X-Refers-To-Key": str(refers_to[0])}
+        lines |= {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "WARC-Refers-To-Target-URI": refers_to[1], "WARC-Refers-To-Date": when, "X-Refers-To-Key": str(refers_to[0])}
     if kind != "warcinfo":
         lines["WARC-Payload-Digest"] = mark
     lines["WARC-Block-Digest"] = digest_name(block)
@@ -150,18 +152,33 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size + 4
 
 
-def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, url, payload, other key, other url -> an ARC archive of one record -> WARC record."""
-    for batch in batches:
-        out = []
-        for key, url, payload, other, other_url in zip(*(c.to_pylist() for c in batch.columns)):
-            body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
-            version = 1 + (key or 0) % 2
-            archive = arc_header(version) + arc_record(version, quoted(url), body)
-            for fields, data, cut in read_arc(archive):
-                if not fields["URL"].startswith("filedesc:"):
-                    out.append(warc_record(fields, data, cut, "" if key is None else key, None if other is None else (other, quoted(other_url))))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
+def _convert(most: int, most_bytes: int):
+    """key, url, payload, other key, other url -> an ARC archive of one record -> WARC record. A row of the result is up to `most` records and about `most_bytes`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, row, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def joined() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([(CRLF + CRLF).join(held)], pa.binary()).cast(pa.string())], names=["value"])
+
+        for batch in batches:
+            for key, url, payload, other, other_url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                payload = payload.as_py()
+                body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+                version = 1 + (key or 0) % 2
+                archive = arc_header(version) + arc_record(version, quoted(url), body)
+                for fields, data, cut in read_arc(archive):
+                    if not fields["URL"].startswith("filedesc:"):
+                        held.append(warc_record(fields, data, cut, "" if key is None else key, None if other is None else (other, quoted(other_url)), f"{part}.{row}"))
+                        size += len(held[-1])
+                row += 1
+                if len(held) >= most or size >= most_bytes:
+                    yield joined()
+                    held, size = [], 0
+        if held:
+            yield joined()
+
+    return run
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +202,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * len(names), kinds)], names=names)
 
 
-def convert(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, records_per_file: int = 2000) -> None:
-    """Writes one WARC record per row under path; of equal payloads of `least` bytes or more all but the largest id are revisits."""
+def convert(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, records_per_file: int = 2000, file_bytes: int = 64 << 20) -> None:
+    """Writes one WARC record per row under path; of equal payloads of `least` bytes or more all but the largest id are revisits.
+
+    records_per_file, file_bytes: records and their bytes in a file, about; a longer record is a part of a file by itself."""
     rows = pages.select(pages[id_col].cast("long").alias("key"), pages[url_col].alias("url"), F.encode(F.coalesce(pages[html_col], F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
     same = rows.filter(F.col("n") >= least).groupBy(F.col("sha").alias("g_sha"), F.col("n").alias("g_n"))
@@ -194,7 +213,9 @@ def convert(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     rows = rows.join(same, (rows["sha"] == same["g_sha"]) & (rows["n"] == same["g_n"]), "left")
     again = ~F.coalesce(F.col("key") == F.col("other"), F.lit(False))
     rows = rows.select("key", "url", "payload", F.when(again, F.col("other")).alias("other"), F.when(again, F.col("other_url")).alias("other_url"))
-    rows.mapInArrow(_convert, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    parts = min(8, records_per_file)
+    written = rows.mapInArrow(_convert(records_per_file // parts, file_bytes // parts), "value string").write
+    written.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", parts).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
