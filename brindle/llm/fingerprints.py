@@ -1,12 +1,13 @@
 """Document fingerprints by I-Match over randomised lexicon subsets, in DataFrame functions only.
 
 Lexicon: blank-separated lower-cased terms whose document frequency, as a share of all documents, lies in a band (so in a
-band of inverse document frequency). Frequencies are counted over all documents, and kept by 20 bits of the term's md5,
-with the frequencies of terms that share them summed; the band is thus 2^20 flags, one broadcast row of 175 kB whatever
-the corpus, and terms are never shuffled with their documents. Six other bits of the md5 deal each term to one of 64 random
-subsets of the lexicon. A document's sorted distinct terms of each subset are hashed; the fingerprint is the 64 hashes.
-A document with few terms in the band is fingerprinted by all of its terms. The likeness of two fingerprints is the share
-of equal hashes among the subsets in which either has a term.
+band of inverse document frequency). Every term's frequency is counted over all documents, map-side first. At most (mean
+distinct terms of a document) / (lower end of the band) terms can reach the band, 150,000 for texts of 300 terms, however
+large the corpus or its vocabulary, so the lexicon is broadcast: an array of 64-bit hashes for each hash bucket, in which a
+term is looked up; terms are never shuffled with their documents. Six bits of a term's md5 deal it to one of 64 random
+subsets of the lexicon. A document's sorted distinct terms of each subset are hashed; the fingerprint is the 64 hashes. A document with few terms in the band is
+fingerprinted by all of its terms. The likeness of two fingerprints is the share of equal hashes among the subsets in
+which either has a term.
 
 The next document in descending doc_id comes from a window within ranges of doc_id; the first document of the range
 after is added to each, so no document is looked up by a join and no task holds more than a range.
@@ -23,11 +24,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, partitions, table, whole
+from .common import BLANK_CLASS, Scratch, partitions, table, whole
 
 NAME = "op9_imatch_fingerprints"
 SUBSETS, WIDTH, EMPTY = 64, 8, "d41d8cd9"  # EMPTY begins the md5 of nothing
-BUCKETS = 1 << 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,39 +39,40 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), BLANK_CLASS + "+"), lambda t: t != ""))
 
 
-def code(term: Column) -> Column:
-    """32 bits: the upper 20 are the term's bucket, the lower 6 its subset."""
-    return F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("long")
+def bucket(hash64: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(hash64, 64 - bits).cast("int")
 
 
-def band(docs: DataFrame, text_col: str, lower: float, upper: float) -> DataFrame:
-    """One row: `flags`, a binary of ASCII characters 64 + six flags, a flag for each bucket, set where its share of documents is in the band."""
-    text = whole(docs[text_col])
-    counts = docs.select(F.explode(terms(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    counts = counts.groupBy(F.shiftright(code(F.col("term")), 12).alias("bucket")).agg(F.sum("df").alias("df"))
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    inside = counts.crossJoin(F.broadcast(total)).filter((F.col("df") >= F.col("n") * lower) & (F.col("df") <= F.col("n") * upper))  # total is one row
-    six = inside.groupBy(F.expr("bucket div 6").alias("place")).agg(F.sum(F.expr("shiftleft(1, CAST(bucket % 6 AS INT))")).alias("set"))
-    every = docs.sparkSession.range(BUCKETS // 6 + 1).join(six, F.col("id") == F.col("place"), "left")
-    letter = F.chr(F.lit(64) + F.coalesce("set", F.lit(0)))
-    parts = every.groupBy(F.shiftright("id", 9).alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", letter.alias("letter")))).alias("own"))
-    parts = parts.select("part", F.array_join("own.letter", "").alias("flags"))
-    parts = parts.groupBy().agg(F.sort_array(F.collect_list(F.struct("part", "flags"))).alias("all"))
-    return parts.select(F.array_join("all.flags", "").cast("binary").alias("flags"))
-
+def subset(term: Column) -> Column:
+    """By the last two digits of the term's md5."""
+    return F.conv(F.substring(F.md5(term.cast("binary")), 31, 2), 16, 10).cast("int").bitwiseAND(F.lit(SUBSETS - 1))
 
-def fingerprint(text: Column, flags: Column, least: int = 8) -> Column:
-    tagged = F.transform(terms(text), lambda t: F.struct(t.alias("t"), code(t).alias("v")))
 
-    def chosen(f: Column) -> Column:
-        bucket = lambda x: F.shiftright(x["v"], 12)
-        six = lambda x: F.ascii(F.substring(f, (F.floor(bucket(x) / 6) + 1).cast("int"), F.lit(1)).cast("string")) - 64
-        flag = lambda x: F.getbit(six(x).cast("long"), (bucket(x) % 6).cast("int")) == 1
-        return let(tagged, lambda all_: let(F.filter(all_, flag), lambda some: F.array_sort(F.when(F.size(some) >= least, some).otherwise(all_))))
-
-    own = lambda s, i: F.filter(s, lambda x: x["v"].bitwiseAND(F.lit(SUBSETS - 1)) == i)
-    part = lambda s, i: F.substring(F.md5(F.array_join(F.transform(own(s, i), lambda x: x["t"]), " ").cast("binary")), 1, WIDTH)
-    return let(let(flags, chosen), lambda s: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: part(s, i)), ""))
+def lexicon(docs: DataFrame, text_col: str, lower: float, upper: float) -> tuple[DataFrame, int]:
+    """One row: `terms`, an array of 2^bits arrays, the hashes of the band's terms by bucket; and bits."""
+    scratch, spark = Scratch(docs.sparkSession), docs.sparkSession
+    counts = docs.select(F.explode(terms(whole(docs[text_col]))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = docs.agg(F.count(F.lit(1)).alias("n"))
+    inside = counts.crossJoin(F.broadcast(total)).filter((F.col("df") >= F.col("n") * lower) & (F.col("df") <= F.col("n") * upper))  # total is one row
+    inside = scratch.write(inside.select(F.xxhash64("term").alias("hash")), "inside")
+    bits = min(20, max(10, inside.count().bit_length() - 1))  # one or two terms a bucket
+    own = inside.groupBy(bucket(F.col("hash"), bits).alias("place")).agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+    every = spark.range(1 << bits).join(own, F.col("id") == F.col("place"), "left").select("id", F.coalesce("hashes", F.expr("cast(array() AS array<bigint>)")).alias("hashes"))
+    row = every.groupBy().agg(F.sort_array(F.collect_list(F.struct("id", "hashes"))).alias("all")).select(F.col("all.hashes").alias("terms"))
+    row = scratch.write(row, "lexicon")
+    scratch.keep("lexicon")
+    return row, bits
+
+
+def fingerprint(text: Column, lexicon_: Column, bits: int, least: int = 8) -> Column:
+    known = lambda t: F.array_contains(F.get(lexicon_, bucket(F.xxhash64(t), bits)), F.xxhash64(t))
+    chosen = let(terms(text), lambda all_: let(F.filter(all_, known), lambda some: F.when(F.size(some) >= least, some).otherwise(all_)))
+    # every subset begins with an empty term; in order they join to one line a subset
+    heads = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: F.struct(i.alias("i"), F.lit("").alias("t")))
+    dealt = F.concat(heads, F.transform(chosen, lambda t: F.struct(subset(t).alias("i"), t.alias("t"))))
+    lines = F.array_join(F.transform(F.sort_array(dealt), lambda x: F.when(x["t"] == "", F.lit("\n")).otherwise(F.concat(F.lit(" "), x["t"]))), "")
+    part = lambda line: F.when(line == "", F.lit(EMPTY)).otherwise(F.substring(F.md5(F.substring(line, F.lit(2), F.length(line)).cast("binary")), 1, WIDTH))
+    return F.array_join(F.transform(F.slice(F.split(lines, "\n"), 2, SUBSETS), part), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -108,17 +109,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     lower, upper: the band of document frequency, as shares of all documents."""
-    spark = docs.sparkSession
-    flags = spark.createDataFrame([(band(docs, text_col, lower, upper).first()[0],)], "flags binary")  # one row of 175 kB, whatever the corpus
+    band, bits = lexicon(docs, text_col, lower, upper)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), whole(docs[text_col]).alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
-    rows = rows.crossJoin(F.broadcast(flags)).select("doc_id", "text", "key", fingerprint(F.col("text"), F.col("flags")).alias("fingerprint"))
+    rows = rows.crossJoin(F.broadcast(band)).select("doc_id", "text", "key", fingerprint(F.col("text"), F.col("terms"), bits).alias("fingerprint"))
     rows = with_next(rows, "key", "text", "text", "fingerprint", ranges=ranges)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
-    rows = rows.crossJoin(F.broadcast(flags)).withColumn("edited_fingerprint", fingerprint(F.col("edited"), F.col("flags"))).drop("flags")
+    rows = rows.crossJoin(F.broadcast(band)).withColumn("edited_fingerprint", fingerprint(F.col("edited"), F.col("terms"), bits)).drop("terms")
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
@@ -135,9 +135,9 @@ e AS (SELECT r, doc_id, text, coalesce(lead(text) OVER (ORDER BY r), first_value
 f AS (SELECT r, doc_id, next_r, text, left(text, (length(text) - length(text) // 2)::BIGINT) || left(next_text, (length(text) // 2)::BIGINT) AS edited FROM e),
 both_ AS (SELECT r, 0 AS k, text FROM f UNION ALL SELECT r, 1, edited FROM f),
 t AS (SELECT DISTINCT r, k, unnest(regexp_extract_all(lower(text), '[^ \t-\r]+')) AS t FROM both_),
-c AS (SELECT r, k, t, ('0x' || substr(md5(t), 1, 8))::BIGINT AS v FROM t),
-lex AS (SELECT v >> 12 AS b FROM c WHERE k = 0 GROUP BY 1 HAVING count(*) >= (SELECT count(*) FROM documents) * 0.002::DOUBLE AND count(*) <= (SELECT count(*) FROM documents) * 0.008::DOUBLE),
-m AS (SELECT c.*, lex.b IS NOT NULL AS band FROM c LEFT JOIN lex ON c.v >> 12 = lex.b),
+c AS (SELECT r, k, t, ('0x' || substr(md5(t), 31, 2))::BIGINT AS v FROM t),
+lex AS (SELECT t FROM c WHERE k = 0 GROUP BY 1 HAVING count(*) >= (SELECT count(*) FROM documents) * 0.002::DOUBLE AND count(*) <= (SELECT count(*) FROM documents) * 0.008::DOUBLE),
+m AS (SELECT c.*, lex.t IS NOT NULL AS band FROM c LEFT JOIN lex ON c.t = lex.t),
 s AS (SELECT *, count(*) FILTER (band) OVER (PARTITION BY r, k) AS n_band FROM m),
 g AS (SELECT r, k, v & 63 AS i, substr(md5(string_agg(t, ' ' ORDER BY t)), 1, 8) AS h FROM s WHERE band OR n_band < 8 GROUP BY ALL),
 p AS (SELECT b.r, b.k, string_agg(coalesce(g.h, 'd41d8cd9'), '' ORDER BY q.i) AS fp FROM (SELECT r, k FROM both_) b CROSS JOIN (SELECT unnest(range(64)) AS i) q LEFT JOIN g ON g.r = b.r AND g.k = b.k AND g.i = q.i GROUP BY b.r, b.k),
