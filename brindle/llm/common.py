@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written in the shared folder, to cut lineage without local state. Removed when the driver ends, or earlier by drop()."""
+    """Tables written in the shared folder, to cut lineage without local state. Removed by keep() and drop(), with the block of
+    temporary() that they were made in, or at the latest when the driver ends."""
+
+    made: list[Scratch] | None = None  # those of the block of temporary() that runs
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}"
+        self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}", set()
+        if Scratch.made is not None:
+            Scratch.made.append(self)
         atexit.register(self.drop)
 
     def path(self, name: str) -> str:
@@ -44,6 +51,7 @@ class Scratch:
         """Writes df as Parquet and reads it again. The shuffle files that fed it go when it is written: no later plan uses them."""
         conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, "false")
         conf.set(CLEANUP, "true")
+        self.names.add(name)
         try:
             writer = df.write.mode("overwrite").option("compression", codec)
             (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
@@ -51,6 +59,12 @@ class Scratch:
             conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these, which are those that a result still reads."""
+        for name in self.names - set(names):
+            self.drop(name)
+        self.names &= set(names)
+
     def drop(self, name: str = "") -> None:
         try:
             jvm = self.spark._jvm
@@ -60,6 +74,18 @@ class Scratch:
             return
 
 
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Drops, at its end, the tables that operators wrote within: for results that have been written meanwhile."""
+    before, Scratch.made = Scratch.made, []
+    try:
+        yield
+    finally:
+        done, Scratch.made = Scratch.made, before
+        for scratch in done:
+            scratch.drop()
+
+
 def whole(text: str | Column) -> Column:
     """A text, null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

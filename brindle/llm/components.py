@@ -25,6 +25,7 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame
             jump += 1
             further = scratch.write(hooks.join(up, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), f"{tag}-hooks{step}-{jump}")
             hooks = further.select("node", "root")
+            scratch.drop(f"{tag}-hooks{step}-{jump - 1}")
             if further.filter("moved").isEmpty():
                 break
         if labels is None:
@@ -37,5 +38,7 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame
         current = current.join(low, "a").join(high, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         step += 1
         current = scratch.write(current, f"{tag}-edges{step}")
+        for done in (f"hooks{step - 1}-{jump}", f"edges{step - 1}", f"labels{step - 2}"):
+            scratch.drop(f"{tag}-{done}")
         if current.isEmpty():
             return labels

@@ -1,14 +1,19 @@
 """From raw documents to packed training sequences: five stages, each applied to all that the one before kept.
 
 STAGES are functions (spark, docs, sf_dir) -> DataFrame; run() applies them to the documents of sf_dir, each result
-written as Parquet in the shared folder and read again as the next one's docs.
+written as Parquet in the shared folder and read again as the next one's docs; what a stage wrote on its way is removed then.
+
+Edge cases: a null text counts as empty, is scored by the classifier, copies other empty texts, is near to nothing, weighs no word
+and so is in no mix; rows with a null doc_id pass as any other, the exact copies among them included; a null source is a
+source of its own; without labels of both kinds nothing is rejected; an empty table, or one of empty texts, gives an empty
+result; other columns, whatever their names, are carried up to the packing, whose columns are its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm.common import Scratch, table
+from brindle.llm.common import Scratch, table, temporary
 from brindle.llm.exact_dedup import drop_exact_copies
 from brindle.llm.mixing import take_mix
 from brindle.llm.near_dedup import keep_one
@@ -47,7 +52,9 @@ STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", nea
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with temporary():
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.keep(name)
     return docs
 
 
