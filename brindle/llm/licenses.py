@@ -4,7 +4,8 @@ A text is parted into sentences at sentence marks before a blank (not within "v.
 normalised to lower-case ASCII letters and digits with single blanks between them. A known sentence begins and ends at an end
 of a sentence or of a line, and may run over line ends, so wrapped and unwrapped texts give the same identifiers. Known
 sentences give identifiers; the others give none and are passed over. A rule is an ordered sequence of identifiers, and holds
-where the text's identifiers have it without a gap. The tables are small and fixed, so they are part of the expression: one
+where the text's identifiers have it without a gap; where a longer rule of another licence has the same sentences and more,
+the shorter one does not hold for them. The tables are small and fixed, so they are part of the expression: one
 scan, no join, no shuffle.
 
 The SQL has the first two tables (SENTENCES, RULES) and sentences within one line; the scan adds MORE_SENTENCES, NOTICES,
@@ -72,6 +73,7 @@ _APACHE = "you may not use this {} except in compliance with the license"
 _GPL = "this {} is free software you can redistribute it and or modify it under the terms of the gnu general public license {}"
 _GPL_TERMS = ("as published by the free software foundation either version {} of the license or at your option any later version", "as published by the free software foundation version {} of the license", "version {} as published by the free software foundation")
 _HOPE = "this {} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+_LESSER = "this {} is free software you can redistribute it and or modify it under the terms of the gnu {} general public license {}"
 _THINGS = ("file", "software", "program", "project", "work", "library", "package", "code", "repository", "document")
 MORE_SENTENCES = {
     _MIT: "mit-grant",
@@ -82,10 +84,18 @@ MORE_SENTENCES = {
     **{f"{SENTENCES['apache-long']} {_APACHE.format(x)}": "apache-long,apache-comply" for x in _THINGS if x != "file"},
     **{_GPL.format(x, t.format(v)): "gpl-free" for x in ("program", "file", "software", "library") for t in _GPL_TERMS for v in (2, 3)},
     **{_HOPE.format(x): "gpl-hope" for x in ("program", "file", "software", "library")},
+    **{_LESSER.format(x, "lesser", t.format(v)): "lgpl-free" for x in ("program", "library", "software") for t in _GPL_TERMS for v in ("2 1", "3")},
+    **{_LESSER.format(x, "affero", t.format(3)): "agpl-free" for x in ("program", "software") for t in _GPL_TERMS},
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "distributed under the boost software license version 1 0": "boost-notice",
+    "neither the name of the copyright owner nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
     **{f"spdx license identifier {x}": f"spdx-{k}" for k, xs in {
         "mit": ("mit",), "apache": ("apache 2 0",), "gpl2": ("gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later"), "gpl3": ("gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later"), "bsd2": ("bsd 2 clause",), "bsd3": ("bsd 3 clause",),
-        "mpl2": ("mpl 2 0",), "ccby4": ("cc by 4 0",), "ccbync4": ("cc by nc 4 0",), "ccbysa4": ("cc by sa 4 0",),
+        "isc": ("isc",), "lgpl21": ("lgpl 2 1", "lgpl 2 1 only", "lgpl 2 1 or later"), "lgpl3": ("lgpl 3 0", "lgpl 3 0 only", "lgpl 3 0 or later"), "agpl3": ("agpl 3 0", "agpl 3 0 only", "agpl 3 0 or later"),
+        "unlicense": ("unlicense",), "zlib": ("zlib",), "boost": ("bsl 1 0",), "cc0": ("cc0 1 0",), "mpl2": ("mpl 2 0",), "ccby4": ("cc by 4 0",), "ccbync4": ("cc by nc 4 0",), "ccbysa4": ("cc by sa 4 0",),
     }.items() for x in xs},
 }
 #: What follows "this file is licensed under the" and its variants.
@@ -93,12 +103,18 @@ NOTICES = {
     "mit license": "mit-notice-2", "apache license version 2 0": "apache-notice", "apache license 2 0": "apache-notice", "gnu general public license version 2": "gpl2-notice", "gnu general public license version 3": "gpl3-notice",
     "gnu general public license v 2 0": "gpl2-notice", "gnu general public license v 3 0": "gpl3-notice", "gnu general public license v2 0": "gpl2-notice", "gnu general public license v3 0": "gpl3-notice",
     "mozilla public license v 2 0": "mpl2-notice", "mozilla public license version 2 0": "mpl2-notice", "cc by nc 4 0": "ccbync4-notice", "cc by 4 0": "ccby4-notice", "cc by sa 4 0": "ccbysa4-notice",
+    "isc license": "isc-notice", "bsd 2 clause license": "bsd2-notice", "bsd 3 clause license": "bsd3-notice", "gnu lesser general public license version 2 1": "lgpl21-notice", "gnu lesser general public license version 3": "lgpl3-notice",
+    "gnu affero general public license version 3": "agpl3-notice",
 }
 MORE_RULES = {
+    "lgpl-header": ("LGPL", ("lgpl-free", "gpl-hope")), "agpl-header": ("AGPL", ("agpl-free", "gpl-hope")), "isc-text": ("ISC", ("isc-grant",)), "zlib-text": ("Zlib", ("zlib-grant",)), "unlicense-text": ("Unlicense", ("unlicense",)),
+    "boost-1.0-notice": ("BSL-1.0", ("boost-notice",)), "isc-notice": ("ISC", ("isc-notice",)), "bsd-2-clause-notice": ("BSD-2-Clause", ("bsd2-notice",)), "bsd-3-clause-notice": ("BSD-3-Clause", ("bsd3-notice",)),
+    "lgpl-2.1-notice": ("LGPL-2.1", ("lgpl21-notice",)), "lgpl-3.0-notice": ("LGPL-3.0", ("lgpl3-notice",)), "agpl-3.0-notice": ("AGPL-3.0", ("agpl3-notice",)),
     "bsd-3-clause-text": ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     **{f"{k}-spdx": (x, (f"spdx-{i}",)) for k, x, i in (
         ("mit", "MIT", "mit"), ("apache-2.0", "Apache-2.0", "apache"), ("gpl-2.0", "GPL-2.0", "gpl2"), ("gpl-3.0", "GPL-3.0", "gpl3"), ("bsd-2-clause", "BSD-2-Clause", "bsd2"), ("bsd-3-clause", "BSD-3-Clause", "bsd3"),
-        ("mpl-2.0", "MPL-2.0", "mpl2"), ("cc-by-4.0", "CC-BY-4.0", "ccby4"), ("cc-by-nc-4.0", "CC-BY-NC-4.0", "ccbync4"), ("cc-by-sa-4.0", "CC-BY-SA-4.0", "ccbysa4"),
+        ("isc", "ISC", "isc"), ("lgpl-2.1", "LGPL-2.1", "lgpl21"), ("lgpl-3.0", "LGPL-3.0", "lgpl3"), ("agpl-3.0", "AGPL-3.0", "agpl3"), ("unlicense", "Unlicense", "unlicense"), ("zlib", "Zlib", "zlib"), ("bsl-1.0", "BSL-1.0", "boost"),
+        ("cc0-1.0", "CC0-1.0", "cc0"), ("mpl-2.0", "MPL-2.0", "mpl2"), ("cc-by-4.0", "CC-BY-4.0", "ccby4"), ("cc-by-nc-4.0", "CC-BY-NC-4.0", "ccbync4"), ("cc-by-sa-4.0", "CC-BY-SA-4.0", "ccbysa4"),
     )},
 }
 _NOTICE = f"(?:(?:this|the) (?:{'|'.join(_THINGS)}) is )?(?:licensed|released|distributed|made available) under (?:the )?(?:terms of the )?"
@@ -126,8 +142,17 @@ def identifiers(text: Column, sentences: dict[str, str] = SENTENCES, more: dict[
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict = SENTENCES, rules: dict = RULES | MORE_RULES) -> DataFrame:
     """One row per row of docs: doc_id, sentence_ids, rules and licenses (comma-joined; the last two in order of rules, distinct)."""
     rows = docs.select(docs[id_col].alias("doc_id"), F.array_join(identifiers(whole(docs[text_col]), sentences), ",").alias("sentence_ids"))
-    framed = F.concat(F.lit(","), "sentence_ids", F.lit(","))
-    held = [F.when(F.contains(framed, F.lit(f",{','.join(ids)},")), F.struct(F.lit(name).alias("rule"), F.lit(license).alias("license"))) for name, (license, ids) in rules.items()]
+    # commas are doubled, so that sequences side by side share none
+    framed = F.concat(F.lit(","), F.replace("sentence_ids", F.lit(","), F.lit(",,")), F.lit(","))
+    sequence = lambda ids: f",{',,'.join(ids)},"
+    count = lambda seq: (F.length(framed) - F.length(F.replace(framed, F.lit(seq), F.lit("")))) / len(seq)
+
+    def holds(license: str, ids: tuple[str, ...]) -> Column:
+        own = sequence(ids)
+        longer = [sequence(more) for other, more in rules.values() if other != license and len(more) > len(ids) and own in sequence(more)]
+        return count(own) > sum((count(x) for x in longer), F.lit(0)) if longer else F.contains(framed, F.lit(own))
+
+    held = [F.when(holds(license, ids), F.struct(F.lit(name).alias("rule"), F.lit(license).alias("license"))) for name, (license, ids) in rules.items()]
     rows = rows.withColumn("held", F.array_compact(F.array(*held)))
     return rows.select("doc_id", "sentence_ids", F.array_join("held.rule", ",").alias("rules"), F.array_join(F.array_distinct("held.license"), ",").alias("licenses"))
 

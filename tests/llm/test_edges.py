@@ -117,12 +117,15 @@ BSD = """Redistribution and use in source and binary forms, with or without modi
 BSD3 = BSD + """
 
 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES."""
 GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
 
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
 MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"""
-CANON = [(MIT, "mit-text"), (BSD, "bsd-2-clause-text"), (BSD3, "bsd-2-clause-text,bsd-3-clause-text"), (GPL, "gpl-header"), (MPL, "mpl-2.0-notice"), (APACHE, "apache-2.0-header"), ("This file is licensed under the MIT License.", "mit-notice-2"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0-spdx")]
+CANON = [(MIT, "mit-text"), (BSD, "bsd-2-clause-text"), (BSD3, "bsd-3-clause-text"), (ISC, "isc-text"), (GPL.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"), "lgpl-header"), (GPL.replace("GNU General", "GNU Affero General"), "agpl-header"), (BSD + "\n\n" + BSD3, "bsd-2-clause-text,bsd-3-clause-text"), (GPL, "gpl-header"), (MPL, "mpl-2.0-notice"), (APACHE, "apache-2.0-header"), ("This file is licensed under the MIT License.", "mit-notice-2"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0-spdx")]
 
 
 @pytest.mark.parametrize("lead", ["", " * ", "# "])
