@@ -4,7 +4,10 @@ Building one suffix array over a corpus is what must be avoided, so only strings
 
 1. Every 50-byte window has a key, the least hash of its 27 grams of 24 bytes, so equal windows have equal keys. Windows
    of a document with one key form a run (14 windows on average). Per batch of documents distinct keys are counted, and
-   one packed entry per key and batch is exchanged; keys that more than one document has are candidates.
+   one packed entry per key and batch is exchanged; keys that more than one document has are candidates. Keys that very many
+   batches have are split: their runs are parted again by a second key, the least hash of 11 grams of 40 bytes, and dealt by
+   that, so that a phrase that a third of all documents have, each among other words, is no task's alone. There are at most
+   MOST_SPLIT such keys, as each takes its share of all entries, and every task knows them.
 2. Documents meet their candidate keys in blocks of doc_id. Of each candidate run a block sends the bytes that hold its
    windows, once for each distinct run in the block, with the smallest doc_id that has it: a passage that a third of all
    documents share is one entry a block.
@@ -37,12 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions, table
-from .shingles import chunks, ragged, string_hashes
+from .shingles import chunks, mixed, ragged, string_hashes
 
 NAME = "op1_suffix_dedup"
 WINDOW, GRAM = 50, 24
 SPAN = WINDOW - GRAM + 1
 LAST = 2**63 - 1  # stands for a null doc_id
+#: Keys that are split at most, and batches that have one at the fewest.
+MOST_SPLIT, LEAST_SPLIT = 1_000_000, 64
+LONG_GRAM = 40
 _LOW, _MANY = np.uint64((1 << 40) - 1), (1 << 24) - 1
 _rng = np.random.default_rng(19)
 _K = _rng.integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,6 +108,33 @@ def runs(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.searchsorted(begins, start, "right") - 1, start, np.diff(np.concatenate([where, [len(at)]])), key[where]
 
 
+def split_runs(data: np.ndarray, begins: np.ndarray, shards: int, split: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """text, start, number of windows, token and shard of each run, those of `split` tokens (sorted) parted by their second key."""
+    doc, start, n_windows, key = runs(data, begins)
+    t = token(key, shards)
+    shard = (t >> np.uint64(40)).astype(np.int64)
+    if not len(split) or not len(t):
+        return doc, start, n_windows, t, shard
+    own = split[np.minimum(np.searchsorted(split, t), len(split) - 1)] == t
+    if not own.any():
+        return doc, start, n_windows, t, shard
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    window, run = ragged(start[own], n_windows[own]), np.repeat(np.flatnonzero(own), n_windows[own])
+    least = np.full(len(window), 2**64 - 1, np.uint64)
+    for k in range(WINDOW - LONG_GRAM + 1):
+        gram = gram_hashes(words[window + k], words[window + k + 8], words[window + k + 16])
+        np.minimum(least, mixed(gram ^ words[window + k + 24] * _K[1] + words[window + k + 32] * _K[2]), out=least)
+    cut = np.ones(len(window), bool)
+    cut[1:] = (least[1:] != least[:-1]) | (run[1:] != run[:-1])
+    at = np.flatnonzero(cut)
+    of, rest = run[at], np.flatnonzero(~own)
+    starts, sizes = np.concatenate([start[rest], window[at]]), np.concatenate([n_windows[rest], np.diff([*at, len(window)])])
+    order = np.argsort(starts, kind="stable")
+    of = np.concatenate([rest, of])[order]
+    shard = np.concatenate([shard[rest], (mixed(least[at]) % np.uint64(shards)).astype(np.int64)])[order]
+    return doc[of], starts[order], sizes[order], t[of], shard
+
+
 def unlike(data: np.ndarray, size: np.ndarray, offset: np.ndarray, at: np.ndarray, head: np.ndarray) -> np.ndarray:
     """Whether the runs `at` differ in their bytes from the runs `head`."""
     out = size[at] != size[head]
@@ -293,24 +326,51 @@ def _keys(shards: int):
     return run
 
 
-def _candidates(group: pa.Table) -> pa.Table:
-    """Step 1, per shard: tokens for the blocks of keys that more than one batch has; tokens that have a block go through."""
-    shard = group["shard"][0].as_py()
-    if shard < 0:
-        return group.select(["block", "data"])
-    entry = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group["data"]])
-    entry = np.sort(entry)
-    key = entry >> np.uint64(24)
-    same = np.zeros(len(key), bool)
-    same[1:] = key[1:] == key[:-1]
-    same[:-1] |= same[1:].copy()
-    block = (entry & np.uint64(_MANY)).astype(np.int64)
-    same &= block != _MANY
-    key, block, rows = key[same] | np.uint64(shard << 40), block[same], []
-    for b, own in split_by(block):
-        rows.append((b, np.unique(key[own]).tobytes()))
-    columns = list(zip(*rows)) or [[], []]
-    return pa.table({"block": pa.array(columns[0], pa.int64()), "data": pa.array(columns[1], pa.binary())})
+COUNTED = "block long, data binary, entries long, batches binary"
+
+
+def _candidates(least_split: int):
+    """Step 1, per shard: tokens for the blocks of keys that more than one batch has; tokens that have a block go through. And a row
+    of block -1: how many entries there were, the tokens that `least_split` batches have, and how many batches each."""
+
+    def run(group: pa.Table) -> pa.Table:
+        shard = group["shard"][0].as_py()
+        if shard < 0:
+            return group.select(["block", "data"]).append_column("entries", pa.nulls(group.num_rows, pa.int64())).append_column("batches", pa.nulls(group.num_rows, pa.binary()))
+        entry = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group["data"]])
+        entry = np.sort(entry)
+        key = entry >> np.uint64(24)
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff([*begins, len(key)])
+        same = np.repeat(size > 1, size)
+        block = (entry & np.uint64(_MANY)).astype(np.int64)
+        same &= block != _MANY
+        often = size >= least_split
+        rows = [(-1, (key[begins[often]] | np.uint64(shard << 40)).tobytes(), len(entry), size[often].astype(np.int64).tobytes())]
+        key, block = key[same] | np.uint64(shard << 40), block[same]
+        for b, own in split_by(block):
+            rows.append((b, np.unique(key[own]).tobytes(), None, None))
+        columns = list(zip(*rows))
+        return pa.table({x.split()[0]: pa.array(c, pa.binary() if i % 2 else pa.int64()) for i, (x, c) in enumerate(zip(COUNTED.split(", "), columns))})
+
+    return run
+
+
+def split_tokens(found: DataFrame, most: int = MOST_SPLIT) -> np.ndarray:
+    """Tokens of keys that are split: all that LEAST_SPLIT batches have, and a share of 1 / most of all entries, so at most `most`."""
+    counted = found.filter("block = -1")
+    total = counted.agg(F.sum("entries")).first()[0] or 0
+    each = counted.filter(F.octet_length("data") > 0)
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for data, n in zip(batch.column(0), batch.column(1)):
+                out.append(np.frombuffer(data.as_py(), np.uint64)[np.frombuffer(n.as_py(), np.int64) * most >= total].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["data"])
+
+    rows = each.select("data", "batches").mapInArrow(enough, "data binary").filter(F.octet_length("data") > 0).toArrow()  # `most` tokens at most
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_py(), np.uint64) for x in rows["data"])]))
 
 
 SENT = "shard long, block long, places binary, docs binary, sizes binary, data binary"
@@ -321,7 +381,7 @@ def _in_order(docs: pa.Table) -> pa.Table:
     return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
-def _send(shards: int):
+def _send(shards: int, split: np.ndarray):
     """Step 2, per block: its distinct candidate runs, by shard. A run's place is its number among all runs of the block."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
@@ -333,13 +393,12 @@ def _send(shards: int):
             parts, done = [], 0
             for begin, end in chunks(texts):
                 data, begins = joined(texts[begin:end])
-                doc, start, n_windows, key = runs(data, begins)
-                t = token(key, shards)
+                doc, start, n_windows, t, shard = split_runs(data, begins, shards, split)
                 own = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, t), len(wanted) - 1)] == t)
                 if len(own):
                     start, n_windows = start[own], n_windows[own]
-                    parts.append((own + done, ids[doc[own] + begin], n_windows, (t[own] >> np.uint64(40)).astype(np.int64), data[ragged(start, n_windows + WINDOW - 1)]))
-                done += len(key)
+                    parts.append((own + done, ids[doc[own] + begin], n_windows, shard[own], data[ragged(start, n_windows + WINDOW - 1)]))
+                done += len(t)
             if parts:
                 place, doc, n_windows, shard, data = (np.concatenate(x) for x in zip(*parts))
                 size = n_windows + WINDOW - 1
@@ -402,7 +461,7 @@ def _resolve(group: pa.Table) -> pa.Table:
     return pa.table({x.split()[0]: pa.array(c, pa.binary() if i else pa.int64()) for i, (x, c) in enumerate(zip(BACK.split(", "), columns))})
 
 
-def _remove(docs: pa.Table, back: pa.Table) -> pa.Table:
+def _remove(docs: pa.Table, back: pa.Table, shards: int, split: np.ndarray) -> pa.Table:
     """Step 4, per block: what is left of each document."""
     out: list[tuple] = []
     if docs.num_rows:
@@ -411,7 +470,7 @@ def _remove(docs: pa.Table, back: pa.Table) -> pa.Table:
         parts = []
         for begin, end in chunks(texts):
             data, begins = joined(texts[begin:end])
-            doc, start, n_windows, _ = runs(data, begins)
+            doc, start, n_windows, _, _ = split_runs(data, begins, shards, split)
             parts.append((begin, end, begins, start, n_windows, ids[doc + begin], data))
         start = np.concatenate([p[3] + at for p, at in zip(parts, np.cumsum([0] + [len(p[6]) for p in parts]))])
         n_windows, doc_ids = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts])
@@ -450,10 +509,11 @@ def _remove(docs: pa.Table, back: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(c, k) for n, c, k in zip((*[x.split()[0] for x in RESULT.split(", ")], "kept_bytes"), columns, kinds)})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False, block_docs: int = 1024, block_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False, block_docs: int = 1024, block_bytes: int = 4 << 20, least_split: int = LEAST_SPLIT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_bytes also kept_bytes, what is left.
 
-    block_docs, block_bytes: documents and bytes in a block, about; blocks are what a task holds in memory."""
+    block_docs, block_bytes: documents and bytes in a block, about; blocks are what a task holds in memory. least_split: batches
+    that have a key before it is split, at the fewest."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -468,14 +528,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))), F.lit(blocks)))
     found = rows.mapInArrow(_keys(shards), "shard long, block long, data binary")
-    found = dealt(found, "shard").groupBy("shard").applyInArrow(_candidates, "block long, data binary")
+    found = scratch.write(dealt(found, "shard").groupBy("shard").applyInArrow(_candidates(least_split), COUNTED), "found")
+    split = split_tokens(found)
+    found = found.filter("block >= 0").select("block", "data")
     by_block = dealt(rows, "block").groupBy("block")
-    sent = scratch.write(by_block.cogroup(dealt(found, "block").groupBy("block")).applyInArrow(_send(shards), SENT), "sent")
+    sent = scratch.write(by_block.cogroup(dealt(found, "block").groupBy("block")).applyInArrow(_send(shards, split), SENT), "sent")
     back = dealt(sent, "shard").groupBy("shard").applyInArrow(_resolve, BACK)
     kinds = RESULT + (", kept_bytes binary" if keep_bytes else "")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = _remove(left, right)
+        out = _remove(left, right, shards, split)
         return out if keep_bytes else out.drop_columns(["kept_bytes"])
 
     return by_block.cogroup(dealt(back, "block").groupBy("block")).applyInArrow(finish, kinds)
