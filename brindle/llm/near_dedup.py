@@ -15,6 +15,10 @@ every pair that shares a key is compared, known to be in one component, or prove
 and small and large ones go the same way. A compared pair passes the ratio of set sizes, then the likelihood estimate of J
 from the two sketches (six standard errors below the threshold), then exact counts on both full sets.
 
+Where many members that are linked to no hub share differences, the pairs that the filter leaves still grow with the square
+of their number, at a small share of all pairs: in a made family without its base, half of it beyond the threshold, about
+one pair in a hundred was compared (12,594 among 1,500 members, 46,578 among 3,000).
+
 Edge cases: null texts count as empty, and empty texts are linked with nothing, not even each other; texts with fewer
 words than a shingle have one shingle; repeated rows and rows that repeat a doc_id are one document; a row with a null
 doc_id takes the component of its copies, or stays by itself with a null component, and is kept only then; an empty
@@ -164,6 +168,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = None
     else:
         labels = _link(scratch, rows, named, members, width, percent)
+        if labels is not None:
+            labels = scratch.write(labels, "labels")
+    scratch.keep("sketched", "classes", "labels")
 
     found = classes.select("n", "h1", "h2", "rep")
     if labels is not None:
