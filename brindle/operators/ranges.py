@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocked import matrix
+
 
 def feature_ranges(rows: DataFrame, dim: int, subset: DataFrame | None = None) -> DataFrame:
     """One row: low and high, arrays of each feature's least and largest value. subset: ids that count, if not all.
 
-    A few features are one aggregate each; many are exploded, and summed map-side to one row a feature and task."""
+    A few features are one aggregate each; of many each task sends one row, from its Arrow batches."""
     if subset is not None:
         rows = rows.join(subset.select("id").distinct(), "id", "left_semi")
-    return grouped_ranges(rows, dim).select("low", "high")
+    if dim <= 8:
+        return grouped_ranges(rows, dim).select("low", "high")
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full(dim, np.nan), np.full(dim, np.nan)
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(0), dim)
+                low, high = np.fmin(low, np.fmin.reduce(x)), np.fmax(high, np.fmax.reduce(x))
+        yield pa.RecordBatch.from_arrays([pa.array([low], pa.list_(pa.float64())), pa.array([high], pa.list_(pa.float64()))], names=["low", "high"])
+
+    each = rows.select("features").mapInArrow(partial, "low array<double>, high array<double>").select(F.posexplode(F.arrays_zip("low", "high")).alias("attr", "b"))
+    known = lambda c: F.nanvl(c, F.lit(None).cast("double"))
+    each = each.groupBy("attr").agg(F.min(known(F.col("b.low"))).alias("l"), F.max(known(F.col("b.high"))).alias("h"))
+    out = each.groupBy().agg(F.sort_array(F.collect_list(F.struct("attr", "l", "h"))).alias("all_"))
+    return out.select(F.col("all_.l").alias("low"), F.col("all_.h").alias("high"))
 
 
 def grouped_ranges(rows: DataFrame, dim: int, *keys: str) -> DataFrame:

@@ -156,11 +156,33 @@ class OneBitUpdater:
             self.tau[:] = np.maximum(1e-12, ((self.tau + np.abs(self.el)).mean(0) - np.abs(self.es).mean(0)) / 2)
 
 
+class FallbackUpdater(OneBitUpdater):
+    """Weights that no other worker holds move by the whole gradient, the others by what a 1-bit update sends.
+
+    held(worker, turn): which weights are held by others, of their shape; none where it is not given, as rounds are synchronous."""
+
+    def __init__(self, *args, held: Callable[[int, int], np.ndarray] | None = None, **options):
+        super().__init__(*args, **options)
+        self.held, self.turn = held or (lambda worker, turn: np.zeros(self.weights.shape, bool)), 0
+
+    def apply(self, gradient: np.ndarray, worker: int) -> None:
+        held = self.held(worker, self.turn)
+        free, es, el = self.weights + self.rate * gradient, self.es[worker].copy(), self.el[worker].copy()
+        super().apply(gradient, worker)
+        self.weights = np.where(held, self.weights, free)
+        self.es[worker], self.el[worker] = np.where(held, self.es[worker], es), np.where(held, self.el[worker], el)
+
+    def end_of_round(self, turn: int) -> None:
+        super().end_of_round(turn)
+        self.turn = turn + 1
+
+
 #: Losses and updaters by their option names; an updater is made from (weights, rate, workers, tau, stagger).
 GRADIENTS: dict[str, Callable[[], Gradient]] = {"Hinge": HingeGradient}
 UPDATERS: dict[str, Callable[..., Updater]] = {
     "DirectUpdater": lambda weights, rate, workers, tau, stagger: DirectUpdater(weights, rate),
     "OneBitUpdater": OneBitUpdater,
+    "FallbackUpdater": FallbackUpdater,
 }
 #: Bytes of mini-batches that one job brings at most; a mini-batch that is larger is summed where it lies.
 MOST_BYTES = 32 << 20

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import curves as C
 from ..functions import vectors as V
-from ..operators import evaluation, kdtree, projections, rptree, sgd, sparse, votes, windows, zorder
+from ..operators import decay, evaluation, kdtree, projections, rptree, sgd, sparse, votes, windows, zorder
 from ..operators import knn as K
 from ..operators.blocked import Metric
 from ..operators.ranges import feature_ranges, widen, with_ranges
@@ -378,6 +378,31 @@ def worker_split(spark, sf_dir):
     return windows.worker_rows(stream(spark, sf_dir), 3).groupBy("worker").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
 
 
+DECAY = 40
+
+
+@query(f"""WITH RECURSIVE {S_STREAM}, o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS n FROM s),
+rec AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS square, 0.0::DOUBLE AS total FROM o UNION ALL
+SELECT o.user_id, o.n, mean * (1 - 1 / least(o.n, {DECAY})::DOUBLE) + value / least(o.n, {DECAY})::DOUBLE, square * (1 - 1 / least(o.n, {DECAY})::DOUBLE) + value * value / least(o.n, {DECAY})::DOUBLE, total + value FROM rec JOIN o ON o.user_id = rec.user_id AND o.n = rec.n + 1)
+SELECT user_id, max(n) AS n, round(arg_max(mean, n), 7) AS mean, round(arg_max(square, n), 5) AS square, round(arg_max(total, n), 5) AS total FROM rec GROUP BY user_id""")
+def decayed_means(spark, sf_dir):
+    found = decay.decayed_means(stream(spark, sf_dir), "user_id", "seq", "value", DECAY)
+    return found.select("user_id", "n", F.round("mean", 7).alias("mean"), F.round("square", 5).alias("square"), F.round("sum", 5).alias("total"))
+
+
+_A, _B = f"(1 / least(o.n, {DECAY})::DOUBLE)", f"(1 / least(o.n - 49, {DECAY})::DOUBLE)"
+
+
+@query(f"""WITH RECURSIVE {S_STREAM}, o AS (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS n FROM s),
+rec AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0.0::DOUBLE AS m, 0.0::DOUBLE AS q, list_transform(range(20), lambda i: 0.0::DOUBLE) AS h FROM o UNION ALL
+SELECT user_id, n, m, q, CASE WHEN n <= 50 THEN h ELSE list_transform(range(20), lambda i: h[i + 1] * (1 - b) + CASE WHEN i = CASE WHEN abs(x - m) < d OR d = 0 THEN least(CASE WHEN d > 0 THEN trunc((x - m + d) * 8 / (2 * d)) ELSE 0 END, 7)
+  ELSE 8 + 2 * least(greatest(trunc(abs(x - m) / d) - 1, 0), 5) + CASE WHEN x >= m THEN 1 ELSE 0 END END THEN b ELSE 0 END) END FROM (
+  SELECT *, sqrt(abs(q - m * m)) AS d FROM (SELECT o.user_id, o.n, o.x, m * (1 - {_A}) + x * {_A} AS m, q * (1 - {_A}) + x * x * {_A} AS q, h, CASE WHEN o.n > 50 THEN {_B} END AS b FROM rec JOIN o ON o.user_id = rec.user_id AND o.n = rec.n + 1)))
+SELECT user_id, (i - 1)::INT AS bin, round(h[i], 9) AS weight FROM (SELECT user_id, arg_max(h, n) AS h FROM rec GROUP BY user_id), (SELECT unnest(range(1, 21)) AS i)""")
+def decaying_histogram(spark, sf_dir):
+    return decay.decaying_histogram(stream(spark, sf_dir), "user_id", "seq", "value", DECAY).withColumn("weight", F.round("weight", 9))
+
+
 # ---------------------------------------------------------------- curves
 SHIFTS = zorder.curve_shifts(2, 4)
 
@@ -434,6 +459,12 @@ def sort_bytes(spark, sf_dir):
     return placed_(F.col("key"), "place").join(placed_(back, "reversed_place"), "id")
 
 
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS place FROM customer")
+def sort_double(spark, sf_dir):
+    """Places of rows by a double key, ties by the index."""
+    return windows.with_sequence(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey", out="place").select("c_custkey", "place")
+
+
 @query(f"WITH {S_FOUR}, {S_C1} SELECT query_id, position FROM q_a")
 def nary_search(spark, sf_dir):
     q, w = _curve(spark, sf_dir)

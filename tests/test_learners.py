@@ -154,6 +154,18 @@ def test_own_updaters_and_gradients(spark):
     assert kept.seen == [0, 1, -1, 0, 1, -2]
 
 
+def test_held_weights_fall_back_to_one_bit(spark):
+    rng = np.random.default_rng(9)
+    rows = frame(spark, rng.normal(size=(60, 2)), rng.integers(0, 2, 60)).selectExpr("*", "int(id div 20) AS batch", "0 AS worker")
+    run = lambda u: sgd.train(rows, 2, 2, [0, 1, 2], updater=u)
+    start, options = np.zeros((2, 3)), dict(rate=0.1, tau=0.05, stagger=2)
+    direct, one_bit = run(sgd.DirectUpdater(start, 0.1)), run(sgd.OneBitUpdater(start, **options))
+    assert np.array_equal(run(sgd.FallbackUpdater(start, **options)), direct)
+    assert np.array_equal(run(sgd.FallbackUpdater(start, held=lambda w, t: np.ones((2, 3), bool), **options)), one_bit)
+    half = np.array([[True, False, True], [False, True, False]])
+    assert not np.array_equal(run(sgd.FallbackUpdater(start, held=lambda w, t: half, **options)), direct)
+
+
 # ------------------------------------------------------------------ options, registries, evaluation
 def test_options_and_defaults():
     o = learners.KnnOptions()
