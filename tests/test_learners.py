@@ -40,6 +40,24 @@ def test_blocks_are_the_plain_formula(spark, most, ties):
     assert {(r["query_id"], r["id"], r["distance"]) for r in got.collect()} == brute(x, np.arange(0, 600, 50), types, 4, ties)
 
 
+def test_cells_meet_in_any_partition(spark, tmp_path):
+    """The grid of blocks with partitions as they are dealt, not put together at run time."""
+    rng = np.random.default_rng(12)
+    x = rng.random((500, 3))
+    frame(spark, x).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))  # both sides from one scan
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        found = top_k(nearest(rows.filter("id >= 0"), rows.filter("id < 500"), Metric((0, 0, 0)), 4, most=60), 4)
+        got = found.collect()
+        assert found.count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {(r["query_id"], r["id"], r["distance"]) for r in got} == brute(x, np.arange(500), (0, 0, 0), 4)
+
+
 def test_missing_values_and_few_rows(spark):
     x = np.array([[0.0, 1.0], [np.nan, 1.0], [2.0, 3.0]])
     got = knn.knn(frame(spark, x[:1]), frame(spark, x), Header.numeric(2), 5).orderBy("place").collect()
