@@ -108,6 +108,12 @@ def normalized_cosine_distance(inner: Column, x: Column, y: Column) -> Column:
     return F.when(x * y > 0, 2 - inner / (x * y))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """To so many decimals, halves away from 0, in doubles: as SQL engines round a double, and without a decimal number for each row."""
+    v = F.abs(x) * float(10**digits)
+    return F.when(F.isnan(x) | (v >= float(2**52)), x).otherwise(F.signum(x) * F.floor(v + F.when(v < 0.5, 0.0).otherwise(0.5)).cast("double") / float(10**digits))
+
+
 def erf(x: Column) -> Column:
     """The error function by the rational approximation 7.1.26 of Abramowitz and Stegun, within 1.5e-7."""
     # fixed values

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..schema import Header
-from .blocked import Metric, nearest
+from .blocked import Metric, nearest, products
 from .ranges import feature_ranges, with_ranges
 from .topk import top_k
 
@@ -62,16 +62,15 @@ def knn_float(queries: DataFrame, window: DataFrame, header: Header, k: int = 10
     return knn(single(queries), single(window), header, k)
 
 
-def similarities(queries: DataFrame, window: DataFrame, header: Header, similarity: Callable[[Column, Column, Column], Column], ranges: DataFrame | None = None) -> DataFrame:
-    """query_id, id, label, weight and similarity of all pairs. Norms are of the raw rows; the inner product is of rows scaled by ranges, if given."""
-    def side(rows: DataFrame, x: str, n: str) -> DataFrame:
-        rows = rows.withColumn(n, V.squared_norm("features", header.types))
-        return rows.withColumn(x, F.col("features")) if ranges is None else with_ranges(rows, ranges).withColumn(x, V.normalize("features", "low", "high", header.types))
-
-    q = side(queries, "q", "nq").select(F.col("id").alias("query_id"), "q", "nq")
-    w = side(window, "x", "nx").select("id", "label", "weight", "x", "nx")
-    both = pairs(q, w).withColumn("inner", V.inner_product("q", "x", header.types))
-    return both.withColumn("similarity", similarity(F.col("inner"), F.col("nq"), F.col("nx"))).drop("q", "x", "nq", "nx", "inner")
+def similarities(
+    queries: DataFrame, window: DataFrame, header: Header, similarity: Callable[[Column, Column, Column], Column], ranges: DataFrame | None = None, carry: tuple[str, ...] = ("id", "label", "weight"), most: int = MOST_BROADCAST,
+) -> DataFrame:
+    """query_id, `carry` of the window's rows, and similarity of all pairs. Norms are of the raw rows; the inner product is of rows scaled by ranges, if given."""
+    low, high = (None, None) if ranges is None else known_ranges(ranges)
+    if low is not None and not len(low):  # no row, no range
+        low, high = np.zeros(header.dim), np.zeros(header.dim)
+    both = products(queries, window, Metric(header.types, low, high), carry, most)
+    return both.withColumn("similarity", similarity(F.col("inner"), F.col("nq"), F.col("nx"))).drop("inner", "nq", "nx")
 
 
 def knn_cosine(queries: DataFrame, window: DataFrame, header: Header, k: int = 10, norms: str = "squared") -> DataFrame:
