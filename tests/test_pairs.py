@@ -21,6 +21,21 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_many_queries_meet_the_window_without_a_shuffle(spark):
+    x = np.random.default_rng(0).integers(0, 3, (90, 3)).astype(float)  # with copies
+    df, header = rows(spark, x.tolist()), Header((0, 0, 1))
+    both = K.pairs(df.select(F.col("id").alias("query_id"), F.col("features").alias("q")), df, most=20)
+    assert "SortMergeJoin" not in plan(both) and "BroadcastHashJoin" not in plan(both)
+    assert both.count() <= 5 * 27 * 90  # equal queries of a slice meet a row once
+    ranges = K.feature_ranges(df, 3)
+    want = {(a, b): sum((x[a][:2] / 2 - x[b][:2] / 2) ** 2) + (x[a][2] != x[b][2]) for a in range(90) for b in range(90)}
+    for most, slices in ((20, 50), (20, 2), (1000, 50)):  # slices, the grid, and one slice
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(K, "pairs", lambda q, w, f=K.pairs: f(q, w, most, slices))
+            got = K.distances(df, df, header, ranges).collect()
+        assert len(got) == 8100 and all(abs(want[r["query_id"], r["id"]] - r["distance"]) < 1e-12 for r in got)
+
+
 def test_rounding_is_that_of_sql(spark):
     x = [0.5, -0.5, 2.5e-9, -2.5e-9, 4.9999e-10, 1.0000000005, 0.1234567895, -0.9999999995, 1e300, float("nan"), float("inf"), None, 0.0, *np.random.default_rng(0).normal(size=500).tolist()]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(V.rounded(F.col("x"), 9)).collect()]
