@@ -63,3 +63,7 @@ def test_similarities_of_missing_values_and_nominal_features(spark):
     assert got[2, 4] == 0.0 and got[0, 0] == 5 / (6**0.5 * 6**0.5) and got[0, 2] == 1 / 6**0.5
     assert K.similarities(df.filter("id > 9"), df, Header((0, 0, 1)), V.true_cosine).count() == 0
     assert K.similarities(df, df.filter("id > 9"), Header((0, 0, 1)), V.true_cosine, K.feature_ranges(df.filter("id > 9"), 3)).count() == 0
+
+
+def test_cosine_ref(spark):
+    check_cosine(spark, "cosine_ref", V.squared_norm_cosine)
