@@ -67,3 +67,7 @@ def test_similarities_of_missing_values_and_nominal_features(spark):
 
 def test_cosine_ref(spark):
     check_cosine(spark, "cosine_ref", V.squared_norm_cosine)
+
+
+def test_cosine_true(spark):
+    check_cosine(spark, "cosine_true", V.true_cosine)
