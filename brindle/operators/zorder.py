@@ -3,20 +3,30 @@
 A curve is a table (id, code, position). Positions are counted within ranges of the code and offset, so a curve is never
 sorted in one task; a query's position is the number of codes below its own. Candidates are the rows at positions within
 half a window around it, found by an equi-join on blocks of positions, never by comparing a query with all rows.
+
+Windows that hold about the whole table over all curves (`is_wide`) would make as many candidates as there are pairs. There
+the codes of all curves are made at once, as bytes, and each row carries its positions to the blocked search, which leaves
+out the pairs that are near on no curve: the same candidates, none of which becomes a row of a join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import curves as C
 from ..functions import vectors as V
 from ..schema import Header
-from .knn import refine
-from .projections import project, sign_matrix
+from .blocked import Metric, Near, matrix, nearest
+from .knn import known_ranges, refine
+from .projections import project, project_all, sign_matrix
 from .ranges import feature_ranges, with_ranges
+from .topk import top_k
 from .windows import offsets, range_bounds, range_place, with_sequence
 
 
@@ -88,8 +98,85 @@ def wide_half(window: DataFrame, least: int = 512) -> int:
     return max(least, -(-window.count() // 8))
 
 
+def is_wide(queries: DataFrame, window: DataFrame, half: int, n_curves: int) -> bool:
+    """Whether the windows of all curves together have as many places as the table has rows. Not where ids are missing or repeated, as rows are then told apart by no key."""
+    sizes = [side.agg(F.count(F.lit(1)), F.count_distinct("id")).first() for side in (queries, window)]
+    return all(n == different for n, different in sizes) and 2 * half * n_curves >= sizes[1][0]
+
+
+def packed_codes(x: np.ndarray, types: tuple[int, ...], shifts: list[int] | None, bits: int = 21) -> np.ndarray:
+    """The codes of codes() as bytes, padded with zeros at the end; x: scaled features."""
+    x = np.nan_to_num(x, nan=0.0)
+    q = np.stack([x[:, i].astype(np.int64) * 1_000_000 if kind else (np.maximum(x[:, i], 0.0) * 1_000_000.0).astype(np.int64) for i, kind in enumerate(types)], 1) & V.UINT32
+    if shifts:
+        q = (q + np.array(shifts, np.int64)) & V.UINT32
+    q >>= np.maximum(np.frexp(q.astype(float))[1] - bits, 0)  # of longer numbers the leading bits
+    planes = (q[:, None, ::-1] >> np.arange(bits - 1, -1, -1)[None, :, None]) & 1
+    return np.packbits(planes.astype(np.uint8).reshape(len(x), -1), axis=1)
+
+
+def coded_curves(rows: DataFrame, low: np.ndarray, high: np.ndarray, curves: list[tuple[slice, tuple[int, ...], list[int] | None]], bits: int = 21) -> DataFrame:
+    """curve, id, code (bytes) and number, a double that does not decrease along the curve; curves: features, their types, and shifts of each."""
+    dim = len(low)
+    schema = T.StructType([T.StructField("curve", T.IntegerType()), rows.schema["id"], T.StructField("code", T.BinaryType()), T.StructField("number", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            raw = matrix(batch.column(1), dim)
+            for c, (own, types, shifts) in enumerate(curves):
+                codes_ = packed_codes(Metric(types, low[own], high[own]).scaled(raw[:, own]), types, shifts, bits)
+                number = np.zeros(len(codes_))
+                for byte in codes_[:, :26].T:
+                    number = number * 256 + byte
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes_), c, np.int32)), batch.column(0), pa.array([r.tobytes() for r in codes_], pa.binary()), pa.array(number)], names=schema.names)
+
+    return rows.select("id", "features").mapInArrow(run, schema)
+
+
+def curve_positions(window: DataFrame, queries: DataFrame, n_curves: int) -> tuple[DataFrame, DataFrame]:
+    """Of coded curves, id and positions (an array of double, one a curve): places of the window's rows in the order of (code, id), and of each query the number of codes below its own.
+
+    Rows of a curve are counted in ranges of its number and offset by the ranges before, so no task sorts a curve."""
+    parts = int(window.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = [(i + 1) / parts * n_curves for i in range(-(-parts // n_curves) - 1) if (i + 1) * n_curves < parts]
+    bounds = [[] for _ in range(n_curves)]
+    if steps:
+        for curve, found in window.groupBy("curve").agg(F.percentile_approx("number", F.array(*map(F.lit, steps)))).collect():  # at most `parts` numbers
+            bounds[curve] = sorted(set(found))
+    own = F.get(F.array(*[F.array(*map(F.lit, b)).cast("array<double>") for b in bounds]), F.col("curve"))
+    placed = lambda rows: rows.withColumn("lead", F.size(F.filter(own, lambda b: b < F.col("number")))).drop("number")
+    counts = {(r["curve"], r["lead"]): r["count"] for r in placed(window).groupBy("curve", "lead").count().collect()}
+    starts = [[sum(counts.get((c, k), 0) for k in range(lead)) for lead in range(len(b) + 1)] for c, b in enumerate(bounds)]
+    before = F.get(F.get(F.array(*[F.array(*map(F.lit, s)).cast("array<long>") for s in starts]), F.col("curve")), F.col("lead"))
+    both = placed(window).withColumn("one", F.lit(1)).unionByName(placed(queries).withColumn("one", F.lit(0)))
+    up_to = Window.partitionBy("curve", "lead").orderBy("code", "one", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = both.select("curve", "id", "one", (F.sum("one").over(up_to) - F.col("one") + before).cast("double").alias("position"))
+
+    def side(one: int) -> DataFrame:
+        listed = at.filter(F.col("one") == one).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("curve", "position"))).alias("p"))
+        return listed.select("id", F.col("p.position").alias("positions"))
+
+    return side(1), side(0)
+
+
+def _wide(queries: DataFrame, window: DataFrame, header: Header, k: int, half: int, coded: DataFrame, asked: DataFrame, n_curves: int) -> DataFrame:
+    """The k nearest of each query among the rows that are near on a curve."""
+    low, high = known_ranges(feature_ranges(window.unionByName(queries), header.dim))
+    if not len(low):  # no row, no range
+        low, high = np.zeros(header.dim), np.zeros(header.dim)
+    carried = lambda rows, at: rows.join(at, "id").withColumn("features", F.concat("features", "positions")).drop("positions")
+    w, q = (carried(rows, at) for rows, at in zip((window, queries), curve_positions(coded, asked, n_curves)))
+    return top_k(nearest(q, w, Near(Metric(header.types, low, high), n_curves, half), k), k)
+
+
 def knn_zorder(queries: DataFrame, window: DataFrame, header: Header, k: int = 10, n_curves: int = 10, curve_header: Header | None = None, seed: int = 1, half: int | None = None) -> DataFrame:
     """The k nearest of each query among the candidates of all curves. curve_header: the leading features that the curves use, if not all. half: half the window, k if not given."""
+    if is_wide(queries, window, half or k, n_curves):
+        own = curve_header or header
+        low, high = known_ranges(feature_ranges(window.unionByName(queries), own.dim))
+        curves = [(slice(0, own.dim), own.types, shifts) for shifts in curve_shifts(n_curves, own.dim, seed)]
+        leading = lambda rows: coded_curves(rows.withColumn("features", F.slice("features", 1, own.dim)), low, high, curves)
+        return _wide(queries, window, header, k, half or k, leading(window), leading(queries), n_curves)
     found = zorder_candidates(queries, window, curve_header or header, half or k, n_curves, seed)
     ranges = _known(feature_ranges(window.unionByName(queries), header.dim))  # with the queries
     return refine(found, queries, window, header, k, ranges)
@@ -98,6 +185,12 @@ def knn_zorder(queries: DataFrame, window: DataFrame, header: Header, k: int = 1
 def knn_projected(queries: DataFrame, window: DataFrame, header: Header, k: int = 10, n_curves: int = 10, target: int = 4, half: int = 512, seed: int = 1) -> DataFrame:
     """Curves over random projections to `target` dimensions, each of its own seed, with a window that does not depend on k."""
     flat, out = Header.numeric(target), None
+    if is_wide(queries, window, half, n_curves):
+        matrices = [sign_matrix(target, header.dim, seed + curve) for curve in range(n_curves)]
+        q, w = (project_all(d, matrices) for d in (queries, window))
+        low, high = known_ranges(feature_ranges(w.unionByName(q), target * n_curves))
+        curves = [(slice(c * target, (c + 1) * target), flat.types, None) for c in range(n_curves)]
+        return _wide(queries, window, header, k, half, coded_curves(w, low, high, curves), coded_curves(q, low, high, curves), n_curves)
     for curve in range(n_curves):
         matrix = sign_matrix(target, header.dim, seed + curve)
         q, w = (project(d, matrix).select("id", F.col("projected").alias("features")) for d in (queries, window))
