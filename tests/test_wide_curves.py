@@ -76,3 +76,7 @@ def test_projected_by_blocks(spark, monkeypatch, half):
     df = rows(spark, np.random.default_rng(2).normal(size=(200, 20)).tolist())
     got, want = both_ways(monkeypatch, zorder.knn_projected, df.filter("id % 20 = 3"), df, header=Header.numeric(20), k=4, n_curves=4, half=half)
     assert got == want and len(got) == 40
+
+
+def test_knn_zorder_wide_makes_no_candidate_rows(spark):
+    assert "explode(sequence(" not in plan(QUERIES["knn_zorder_wide"](spark, "/root/testdata/sf0.01"))
