@@ -103,9 +103,25 @@ def refine(candidates: DataFrame, queries: DataFrame, window: DataFrame, header:
 
 
 def leave_one_out(rows: DataFrame, header: Header, k: int) -> DataFrame:
-    """The k nearest other rows of each row: of the k + 1 nearest, with ties of the last place, those that are not the row itself."""
-    near = knn(rows, rows, header, k + 1, keep_ties=True).filter("id <> query_id").drop("place")
-    return top_k(near, k)
+    """The k nearest other rows of each row: query_id, id, label, weight, distance, place."""
+    each = F.posexplode("others").alias("_at", "o")
+    return loo_lists(rows, header, k).select("query_id", each).select("query_id", "o.id", "o.label", "o.weight", "o.distance", (F.col("_at") + 1).alias("place"))
+
+
+def loo_lists(rows: DataFrame, header: Header, k: int) -> DataFrame:
+    """query_id, label and others, the k nearest other rows of each row in the order of (distance, id) as an array of structs.
+
+    Rows of equal features have the same distances, so each class of them is searched for once, and only its k + 1 rows of the smallest ids can
+    be among the k + 1 nearest of any row; of those, a row that is one of them leaves out itself."""
+    key = F.xxhash64("features").alias("h")  # a join on one long; features are compared, too
+    known = rows.select("id", "features", "label", "weight")
+    first = known.withColumn("_n", F.row_number().over(Window.partitionBy("features").orderBy("id"))).filter(F.col("_n") <= k + 1)
+    asked = first.filter("_n = 1").select("id", "features")
+    found = knn(asked, first.drop("_n"), header, k + 1, ranges=feature_ranges(rows, header.dim))
+    near = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "id", "label", "weight", "distance"))).alias("near"))
+    near = near.join(asked.select(F.col("id").alias("query_id"), F.col("features").alias("f"), key), "query_id").select("f", "h", "near")
+    each = known.select(F.col("id").alias("query_id"), "label", "features", key).join(near, "h").filter(F.col("features").eqNullSafe(F.col("f")))
+    return each.select("query_id", "label", F.slice(F.filter("near", lambda o: ~o["id"].eqNullSafe(F.col("query_id"))), 1, k).alias("others"))
 
 
 def best_k(rows: DataFrame, header: Header, k_max: int = 10, numeric: bool = False, squared: bool = False) -> DataFrame:
@@ -113,14 +129,19 @@ def best_k(rows: DataFrame, header: Header, k_max: int = 10, numeric: bool = Fal
 
     errors counts wrong guesses, by plain votes with ties to the lower class; with `numeric` it is the mean absolute error
     (or with `squared` the root of the mean squared one) of the neighbours' mean label."""
-    near = leave_one_out(rows, header, k_max)
-    ks = near.sparkSession.range(1, k_max + 1).select(F.col("id").cast("int").alias("k"))
-    near = near.join(F.broadcast(ks), F.col("place") <= F.col("k"))
-    truth = rows.select(F.col("id").alias("query_id"), F.col("label").alias("truth"))
     if numeric:
-        off = near.groupBy("k", "query_id").agg(F.avg("label").alias("guess")).join(truth, "query_id").withColumn("off", F.col("guess") - F.col("truth"))
-        errors = off.groupBy("k").agg((F.sqrt(F.avg(F.col("off") * F.col("off"))) if squared else F.avg(F.abs("off"))).alias("errors"))
+        # the neighbours of a row stay in its list: the mean label of the first k of them, for each k
+        labels = loo_lists(rows, header, k_max).filter(F.size("others") > 0).select(F.col("label").alias("truth"), F.col("others.label").alias("labels"))
+        known = lambda k: F.filter(F.slice("labels", 1, k), lambda x: x.isNotNull())
+        off = [F.try_divide(F.aggregate(known(k), F.lit(0.0), lambda s, x: s + x), F.size(known(k))) - F.col("truth") for k in range(1, k_max + 1)]
+        sums = labels.select(*[(o * o if squared else F.abs(o)).alias(f"e{i}") for i, o in enumerate(off)]).agg(*[F.avg(f"e{i}").alias(f"e{i}") for i in range(k_max)])
+        listed = F.array(*[F.struct(F.lit(i + 1).alias("k"), (F.sqrt(f"e{i}") if squared else F.col(f"e{i}")).alias("errors")) for i in range(k_max)])
+        errors = sums.select(F.inline(listed)).filter("errors IS NOT NULL")
     else:
+        near = leave_one_out(rows, header, k_max)
+        ks = near.sparkSession.range(1, k_max + 1).select(F.col("id").cast("int").alias("k"))
+        near = near.join(F.broadcast(ks), F.col("place") <= F.col("k"))
+        truth = rows.select(F.col("id").alias("query_id"), F.col("label").alias("truth"))
         votes = near.groupBy("k", "query_id", "label").agg(F.count(F.lit(1)).alias("n"))
         guess = votes.groupBy("k", "query_id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("guess"))
         errors = guess.join(truth, "query_id").groupBy("k").agg(F.sum(F.when(F.col("guess") != F.col("truth"), 1).otherwise(0)).alias("errors"))
