@@ -53,3 +53,7 @@ def test_few_rows_and_missing_labels(spark):
     got = {r["k"]: r["errors"] for r in K.best_k(df, Header((0,)), 3, numeric=True).collect()}
     assert got == {1: 3.0, 2: 3.0, 3: 3.0}  # row 0 has the missing label and 4, row 2 has 1 and the missing one
     assert K.best_k(df.filter("id = 0"), Header((0,)), 3, numeric=True).count() == 0 == K.leave_one_out(df.filter("id > 5"), Header((0,)), 3).count()
+
+
+def test_root_mean_squared_error(spark):
+    check_errors(spark, True)
