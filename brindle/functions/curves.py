@@ -18,14 +18,21 @@ def morton_bits(q: str, dim: int, bits: int = 32) -> Column:
 
 def morton_bytes(q: str, dim: int, bits: int = 32) -> Column:
     """The same code as bytes, of (dim * bits) / 8; binary columns compare unsigned, byte by byte."""
+    if dim * bits <= 56 and dim * bits % 8 == 0:
+        # by shifts of a long, in generated code; of longer numbers the leading bits, as in the string
+        own = [f"(CASE WHEN {q}[{d}] BETWEEN 0 AND {(1 << bits) - 1} THEN {q}[{d}] ELSE CAST(conv(substr(bin({q}[{d}]), 1, {bits}), 2, 10) AS BIGINT) END)" for d in range(dim)]
+        return F.unhex(F.lpad(F.hex(F.expr(_long(own, bits))), dim * bits // 4, "0"))
     code = morton_bits(q, dim, bits)
     nibbles = F.transform(F.sequence(F.lit(0), F.lit(dim * bits // 4 - 1)), lambda i: F.conv(F.substring(code, i * 4 + 1, F.lit(4)), 2, 16))
     return F.unhex(F.array_join(nibbles, ""))
 
 
+def _long(parts: list[str], bits: int) -> str:
+    return " | ".join(f"shiftleft(shiftright({x}, {b}) & 1L, {b * len(parts) + d})" for b in range(bits) for d, x in enumerate(parts))
+
+
 def morton_long(q: str, dim: int, bits: int) -> Column:
     """The same code as a long, where dim * bits is at most 63."""
     if dim * bits > 63:
         raise ValueError("a long holds 63 bits")
-    parts = [f"shiftleft(shiftright({q}[{d}], {b}) & 1L, {b * dim + d})" for b in range(bits) for d in range(dim)]
-    return F.expr(" | ".join(parts))
+    return F.expr(_long([f"{q}[{d}]" for d in range(dim)], bits))

@@ -14,8 +14,17 @@ def range_bounds(rows: DataFrame, number: Column) -> list[float]:
 
 
 def range_place(number: Column, bounds: list[float]) -> Column:
-    """The range that a number falls in, from 0."""
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < number)) if bounds else F.lit(0)
+    """The range that a number falls in, from 0: how many bounds are below it. The number is taken once a row, as an element, and searched for by halves."""
+    if not bounds:
+        return F.lit(0)
+
+    def search(v: Column, low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.lit(bounds[mid]) < v, search(v, mid + 1, high)).otherwise(search(v, low, mid))
+
+    return F.transform(F.array(number), lambda v: search(v, 0, len(bounds)))[0]
 
 
 def offsets(counts: DataFrame, place: str, count: str, n_ranges: int) -> Column:
