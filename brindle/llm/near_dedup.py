@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, lean, table
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -155,7 +155,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: doc_id, n_shingles, component_id, kept. Links are pairs with 100 * intersection >= percent * union."""
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    sketched = scratch.write(rows.mapInArrow(_sketch(width), SKETCH), "sketched")
+    sketched = scratch.write(rows.mapInArrow(lean(_sketch(width)), SKETCH), "sketched")
     classes = sketched.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = scratch.write(classes, "classes")
     named = classes.filter("rep IS NOT NULL").select("rep", "n", "bands", "h1")
@@ -190,7 +190,7 @@ def _link(scratch: Scratch, rows: DataFrame, named: DataFrame, members: DataFram
     ids = members.groupBy("rep").agg(F.sum("size").alias("met"))
     ids = scratch.write(ids.join(named, "rep"), "involved")
     texts = rows.join(ids.select(F.col("rep").alias("doc_id"), "h1"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "h1")
-    texts = scratch.write(texts.mapInArrow(_own_text(width), "doc_id long, text string"), "texts")
+    texts = scratch.write(texts.mapInArrow(lean(_own_text(width)), "doc_id long, text string"), "texts")
     order = F.struct("met", (-F.col("rep")).alias("minus"))
     members = scratch.write(members.join(ids.select("rep", "met", "n"), "rep").select("rep", "key", "n", order.alias("rank")), "ranked")
 
@@ -199,9 +199,9 @@ def _link(scratch: Scratch, rows: DataFrame, named: DataFrame, members: DataFram
         x = ids.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bands").alias("s_a"))
         y = ids.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bands").alias("s_b"))
         near = pairs.join(x, "a").join(y, "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        near = scratch.write(near.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_likely(percent / 100), "a long, b long"), f"{tag}-likely")
+        near = scratch.write(near.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(lean(_likely(percent / 100)), "a long, b long"), f"{tag}-likely")
         x, y = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-        sure = near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(width, percent), "a long, b long")
+        sure = near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_verify(width, percent)), "a long, b long")
         return scratch.write(sure, f"{tag}-links")
 
     # every member with the best hub of its buckets
@@ -261,7 +261,7 @@ def _differing(scratch: Scratch, rest: DataFrame, texts: DataFrame, width: int,
     t = (1 - j) / (1 + j)
     ids = rest.filter("hub <> rep")
     x, y = texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("y"))
-    deltas = ids.join(x, "rep").join(y, "hub").select("hub", "rep", "comp", "n", "x", "y").mapInArrow(_deltas(width), "hub long, rep long, comp long, n long, n_hub long, delta array<long>")
+    deltas = ids.join(x, "rep").join(y, "hub").select("hub", "rep", "comp", "n", "x", "y").mapInArrow(lean(_deltas(width)), "hub long, rep long, comp long, n long, n_hub long, delta array<long>")
     deltas = scratch.write(deltas.withColumn("nd", F.size("delta").cast("long")), "deltas")
     near_hub = 100 * (F.col("n") + F.col("n_hub") - F.col("nd")) >= percent * (F.col("n") + F.col("n_hub") + F.col("nd"))
     near = deltas.filter(near_hub).select(F.col("rep").alias("a"), F.col("hub").alias("b"))

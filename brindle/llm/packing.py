@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, lean, table
 
 NAME = "op8_pack_sequences"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -200,7 +200,7 @@ def pack(
     choose among the sequences that hold a piece. shard_rows: pieces in a shard, about."""
     limits = (capacity, max_docs or capacity, max_attention or capacity**2)
     scratch = Scratch(docs.sparkSession)
-    pieces = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(_pieces(tokenizer or vocabulary(), capacity, end_id), PIECES)
+    pieces = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(_pieces(tokenizer or vocabulary(), capacity, end_id)), PIECES)
     pieces = scratch.write(pieces, "pieces")  # tokenised once, and counted
     shards = max(1, -(-pieces.count() // shard_rows))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id(), "ids_crc32"), F.lit(shards)))  # places in the written table part repeated rows

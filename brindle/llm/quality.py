@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 from .shingles import chunks, mixed, word_hashes
 
 NAME = "op5_quality_scores"
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, most_per_label: int = 4000, cut: f
             x = features([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["of", "quality", "x"])
 
-    found = rows.select("doc_id", "text", "quality").mapInArrow(measure, "of long, quality int, x array<double>").dropDuplicates(["of"]).toArrow().sort_by("of")
+    found = rows.select("doc_id", "text", "quality").mapInArrow(lean(measure), "of long, quality int, x array<double>").dropDuplicates(["of"]).toArrow().sort_by("of")
     x, q = np.array(found["x"].to_pylist()).reshape(-1, N_FEATURES), found["quality"].to_numpy()
     if not (q == 0).any() or not (q == 1).any():
         return None
@@ -140,7 +140,7 @@ def scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, carry: bool = F
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(s)], names=[batch.schema.names[0], *batch.schema.names[2:], "score"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *([F.struct(*docs.columns).alias("row")] if carry else []))
-    scored = rows.mapInArrow(run, rows.drop("text").schema.add("score", "double"))
+    scored = rows.mapInArrow(lean(run), rows.drop("text").schema.add("score", "double"))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *(["row"] if carry else []))
 
 
