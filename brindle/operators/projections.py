@@ -31,20 +31,27 @@ def project(rows: DataFrame, matrix: np.ndarray, out: str = "projected") -> Data
     return rows.withColumn("_x", V.nan_to_zero(F.col("features"))).withColumn(out, F.expr(f"array({', '.join(terms)})")).drop("_x")
 
 
-def project_all(rows: DataFrame, matrices: list[np.ndarray]) -> DataFrame:
-    """id, and as features the products of all matrices, one after another: the same sums as project(), from Arrow batches, as so many terms would not compile."""
-    every = np.concatenate(matrices)
+def projected(x: np.ndarray, matrix_: np.ndarray) -> np.ndarray:
+    """The products of project(), the same sums, of a block of rows; a missing value is NaN."""
+    x = np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0).T
+    y = np.zeros((len(matrix_), x.shape[1]))
+    for r, row in enumerate(matrix_):
+        for i in np.flatnonzero(row):
+            y[r] += row[i] * x[i]
+    return y.T
+
+
+def project_all(rows: DataFrame, matrix_: np.ndarray) -> DataFrame:
+    """The features, a missing one as NaN, followed by their products, from Arrow batches, as so many terms would not compile."""
+    dim = matrix_.shape[1] + len(matrix_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.nan_to_num(matrix(batch.column(1), every.shape[1]), nan=0.0, posinf=0.0, neginf=0.0)
-            y = np.zeros((len(x), len(every)))
-            for r, row in enumerate(every):
-                for i in np.flatnonzero(row):
-                    y[:, r] += row[i] * x[:, i]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(y), pa.list_(pa.float64()))], names=["id", "features"])
-
-    return rows.select("id", "features").mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("features", T.ArrayType(T.DoubleType()))]))
+            x = matrix(batch.column(0), matrix_.shape[1])
+            both = np.concatenate([x, projected(x, matrix_)], 1)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(both.ravel()))], names=["features"])
+
+    return rows.select("features").mapInArrow(run, "features array<double>")
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:

@@ -11,7 +11,8 @@ out the pairs that are near on no curve: the same candidates, none of which beco
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,9 @@ from pyspark.sql import types as T
 from ..functions import curves as C
 from ..functions import vectors as V
 from ..schema import Header
-from .blocked import Metric, Near, matrix, nearest
+from .blocked import MOST_BROADCAST, MOST_BYTES, Metric, Near, matrix, nearest
 from .knn import known_ranges, refine
-from .projections import project, project_all, sign_matrix
+from .projections import project, project_all, projected, sign_matrix
 from .ranges import feature_ranges, with_ranges
 from .topk import top_k
 from .windows import offsets, range_bounds, range_place, with_sequence
@@ -100,8 +101,9 @@ def wide_half(window: DataFrame, least: int = 512) -> int:
 
 def is_wide(queries: DataFrame, window: DataFrame, half: int, n_curves: int) -> bool:
     """Whether the windows of all curves together have as many places as the table has rows. Not where ids are missing or repeated, as rows are then told apart by no key."""
-    sizes = [side.agg(F.count(F.lit(1)), F.count_distinct("id")).first() for side in (queries, window)]
-    return all(n == different for n, different in sizes) and 2 * half * n_curves >= sizes[1][0]
+    sides = queries.select("id", F.lit(0).alias("side")).unionByName(window.select("id", F.lit(1).alias("side")))
+    sizes = {r["side"]: r for r in sides.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("different")).collect()}
+    return all(r["n"] == r["different"] for r in sizes.values()) and 2 * half * n_curves >= (sizes[1]["n"] if 1 in sizes else 0)
 
 
 def packed_codes(x: np.ndarray, types: tuple[int, ...], shifts: list[int] | None, bits: int = 21) -> np.ndarray:
@@ -115,40 +117,104 @@ def packed_codes(x: np.ndarray, types: tuple[int, ...], shifts: list[int] | None
     return np.packbits(planes.astype(np.uint8).reshape(len(x), -1), axis=1)
 
 
-def coded_curves(rows: DataFrame, low: np.ndarray, high: np.ndarray, curves: list[tuple[slice, tuple[int, ...], list[int] | None]], bits: int = 21) -> DataFrame:
-    """curve, id, code (bytes) and number, a double that does not decrease along the curve; curves: features, their types, and shifts of each."""
-    dim = len(low)
+@dataclass(frozen=True)
+class Coder:
+    """Codes of several curves; curves: of each the features that it takes, their types, and shifts. made: what the curves take in place of the row's `dim` features, if anything."""
+
+    dim: int
+    low: np.ndarray
+    high: np.ndarray
+    curves: list[tuple[slice, tuple[int, ...], list[int] | None]]
+    made: Callable[[np.ndarray], np.ndarray] | None = None
+    bits: int = 21
+
+    @property
+    def width(self) -> int:
+        """Bytes of a code at most."""
+        return max(-(-len(types) * self.bits // 8) for _, types, _ in self.curves)
+
+    def codes(self, column) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each curve the codes as bytes, and a number of each code that does not decrease along the curve."""
+        raw, out = matrix(column, self.dim), []
+        raw = raw if self.made is None else self.made(raw)
+        for own, types, shifts in self.curves:
+            packed = packed_codes(Metric(types, self.low[own], self.high[own]).scaled(raw[:, own]), types, shifts, self.bits)
+            number = np.zeros(len(packed))
+            for byte in packed[:, :26].T:
+                number = number * 256 + byte
+            out.append((packed, number))
+        return out
+
+
+def coded_curves(rows: DataFrame, coder: Coder) -> DataFrame:
+    """curve, id, code (bytes) and number of all curves."""
     schema = T.StructType([T.StructField("curve", T.IntegerType()), rows.schema["id"], T.StructField("code", T.BinaryType()), T.StructField("number", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filter(len, batches):
-            raw = matrix(batch.column(1), dim)
-            for c, (own, types, shifts) in enumerate(curves):
-                codes_ = packed_codes(Metric(types, low[own], high[own]).scaled(raw[:, own]), types, shifts, bits)
-                number = np.zeros(len(codes_))
-                for byte in codes_[:, :26].T:
-                    number = number * 256 + byte
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes_), c, np.int32)), batch.column(0), pa.array([r.tobytes() for r in codes_], pa.binary()), pa.array(number)], names=schema.names)
+            for c, (packed, number) in enumerate(coder.codes(batch.column(1))):
+                code = pa.array(np.ascontiguousarray(packed).reshape(-1).view(f"V{packed.shape[1]}").tolist(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(packed), c, np.int32)), batch.column(0), code, pa.array(number)], names=schema.names)
 
     return rows.select("id", "features").mapInArrow(run, schema)
 
 
-def curve_positions(window: DataFrame, queries: DataFrame, n_curves: int) -> tuple[DataFrame, DataFrame]:
-    """Of coded curves, id and positions (an array of double, one a curve): places of the window's rows in the order of (code, id), and of each query the number of codes below its own.
+def _bytes(packed: np.ndarray) -> np.ndarray:
+    """Codes of one length as one value each, in their order."""
+    return np.ascontiguousarray(packed).reshape(-1).view(f"S{packed.shape[1]}")
 
-    Rows of a curve are counted in ranges of its number and offset by the ranges before, so no task sorts a curve."""
-    parts = int(window.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+def code_bounds(coded: DataFrame, n_curves: int) -> list[list[float]]:
+    """Of each curve, quantiles of its numbers that part all curves into about as many ranges as there are shuffle partitions."""
+    parts = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     steps = [(i + 1) / parts * n_curves for i in range(-(-parts // n_curves) - 1) if (i + 1) * n_curves < parts]
     bounds = [[] for _ in range(n_curves)]
     if steps:
-        for curve, found in window.groupBy("curve").agg(F.percentile_approx("number", F.array(*map(F.lit, steps)))).collect():  # at most `parts` numbers
+        for curve, found in coded.groupBy("curve").agg(F.percentile_approx("number", F.array(*map(F.lit, steps)))).collect():  # at most `parts` numbers
             bounds[curve] = sorted(set(found))
+    return bounds
+
+
+def place_counts(rows: DataFrame, coder: Coder, bounds: list[list[float]], asked: list[np.ndarray]) -> dict[tuple[int, int], int]:
+    """How many rows of a curve are in a range (curve, -1 - range), and how many have as many of the sorted codes `asked` not above their own (curve, codes). One scan, in which nothing is sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(len(b) + 1 + len(a) + 1, np.int64) for b, a in zip(bounds, asked)]
+        for batch in filter(len, batches):
+            for c, (packed, number) in enumerate(coder.codes(batch.column(0))):
+                ranges = len(bounds[c]) + 1
+                held[c] += np.bincount(np.searchsorted(bounds[c], number), minlength=len(held[c]))
+                held[c] += np.bincount(ranges + np.searchsorted(asked[c], _bytes(packed), "right"), minlength=len(held[c]))
+        for c, n in enumerate(held):
+            at, ranges = np.flatnonzero(n), len(bounds[c]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c, np.int32)), pa.array(np.where(at < ranges, -1 - at, at - ranges)), pa.array(n[at])], names=["curve", "at", "n"])
+
+    found = rows.select("features").mapInArrow(run, "curve int, at long, n long").groupBy("curve", "at").agg(F.sum("n").alias("n"))
+    return {(r["curve"], r["at"]): r["n"] for r in found.collect()}  # a range or a query of a curve each
+
+
+def curve_positions(window: DataFrame, queries: DataFrame, coder: Coder, most: int = MOST_BROADCAST) -> tuple[DataFrame, DataFrame]:
+    """id and positions (an array of double, one a curve) of both sides: places of the window's rows in the order of (code, id), and of each query the number of codes below its own.
+
+    Rows of a curve are counted in ranges of its number and offset by the ranges before, so no task sorts a curve. Up to `most` queries (of at most MOST_BYTES) are placed by the scan that counts
+    the ranges; more are sorted along with the window."""
+    n_curves, coded = len(coder.curves), coded_curves(window, coder)
+    bounds = code_bounds(coded, n_curves)
+    most = max(1, min(most, MOST_BYTES // (8 * coder.dim + n_curves * coder.width)))
+    few = queries.select("id", "features").limit(most + 1).toArrow()  # at most `most` rows and MOST_BYTES
+    counted, asked = few.num_rows <= most, [np.zeros(0, "S1")] * n_curves
+    if counted and few.num_rows:
+        listed = zip(*[[_bytes(packed) for packed, _ in coder.codes(batch.column(1))] for batch in few.to_batches(max_chunksize=2000)])
+        asked = [np.concatenate(codes_) for codes_ in listed]
+    ordered = [np.unique(codes_) for codes_ in asked]
+    counts = place_counts(window, coder, bounds, ordered)
+    starts = [[sum(counts.get((c, -1 - k), 0) for k in range(lead)) for lead in range(len(b) + 1)] for c, b in enumerate(bounds)]
+    before = F.get(F.get(F.array(*[F.array(*map(F.lit, s)).cast("array<long>") for s in starts]), F.col("curve")), F.col("lead"))
     own = F.get(F.array(*[F.array(*map(F.lit, b)).cast("array<double>") for b in bounds]), F.col("curve"))
     placed = lambda rows: rows.withColumn("lead", F.size(F.filter(own, lambda b: b < F.col("number")))).drop("number")
-    counts = {(r["curve"], r["lead"]): r["count"] for r in placed(window).groupBy("curve", "lead").count().collect()}
-    starts = [[sum(counts.get((c, k), 0) for k in range(lead)) for lead in range(len(b) + 1)] for c, b in enumerate(bounds)]
-    before = F.get(F.get(F.array(*[F.array(*map(F.lit, s)).cast("array<long>") for s in starts]), F.col("curve")), F.col("lead"))
-    both = placed(window).withColumn("one", F.lit(1)).unionByName(placed(queries).withColumn("one", F.lit(0)))
+    both = placed(coded).withColumn("one", F.lit(1))
+    if not counted:
+        both = both.unionByName(placed(coded_curves(queries, coder)).withColumn("one", F.lit(0)))
     up_to = Window.partitionBy("curve", "lead").orderBy("code", "one", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = both.select("curve", "id", "one", (F.sum("one").over(up_to) - F.col("one") + before).cast("double").alias("position"))
 
@@ -156,27 +222,34 @@ def curve_positions(window: DataFrame, queries: DataFrame, n_curves: int) -> tup
         listed = at.filter(F.col("one") == one).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("curve", "position"))).alias("p"))
         return listed.select("id", F.col("p.position").alias("positions"))
 
-    return side(1), side(0)
+    if not counted:
+        return side(1), side(0)
+    below = [np.cumsum([counts.get((c, i), 0) for i in range(len(u))]) for c, u in enumerate(ordered)]
+    found = np.stack([b[np.searchsorted(u, codes_)] for b, u, codes_ in zip(below, ordered, asked)], 1).astype(float) if few.num_rows else np.zeros((0, n_curves))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * n_curves), pa.array(found.ravel()))
+    schema = T.StructType([queries.schema["id"], T.StructField("positions", T.ArrayType(T.DoubleType()))])
+    return side(1), window.sparkSession.createDataFrame(pa.table([few.column("id"), lists], names=["id", "positions"]), schema)
 
 
-def _wide(queries: DataFrame, window: DataFrame, header: Header, k: int, half: int, coded: DataFrame, asked: DataFrame, n_curves: int) -> DataFrame:
-    """The k nearest of each query among the rows that are near on a curve."""
-    low, high = known_ranges(feature_ranges(window.unionByName(queries), header.dim))
-    if not len(low):  # no row, no range
-        low, high = np.zeros(header.dim), np.zeros(header.dim)
+def _wide(queries: DataFrame, window: DataFrame, header: Header, k: int, half: int, low: np.ndarray, high: np.ndarray, coder: Coder) -> DataFrame:
+    """The k nearest of each query among the rows that are near on a curve; low, high: ranges of both sides."""
     carried = lambda rows, at: rows.join(at, "id").withColumn("features", F.concat("features", "positions")).drop("positions")
-    w, q = (carried(rows, at) for rows, at in zip((window, queries), curve_positions(coded, asked, n_curves)))
-    return top_k(nearest(q, w, Near(Metric(header.types, low, high), n_curves, half), k), k)
+    w, q = (carried(rows, at) for rows, at in zip((window, queries), curve_positions(window, queries, coder)))
+    return top_k(nearest(q, w, Near(Metric(header.types, low, high), len(coder.curves), half), k), k)
+
+
+def _ranges(rows: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    low, high = known_ranges(feature_ranges(rows, dim))
+    return (low, high) if len(low) else (np.zeros(dim), np.zeros(dim))  # no row, no range
 
 
 def knn_zorder(queries: DataFrame, window: DataFrame, header: Header, k: int = 10, n_curves: int = 10, curve_header: Header | None = None, seed: int = 1, half: int | None = None) -> DataFrame:
     """The k nearest of each query among the candidates of all curves. curve_header: the leading features that the curves use, if not all. half: half the window, k if not given."""
     if is_wide(queries, window, half or k, n_curves):
         own = curve_header or header
-        low, high = known_ranges(feature_ranges(window.unionByName(queries), own.dim))
+        low, high = _ranges(window.unionByName(queries), header.dim)
         curves = [(slice(0, own.dim), own.types, shifts) for shifts in curve_shifts(n_curves, own.dim, seed)]
-        leading = lambda rows: coded_curves(rows.withColumn("features", F.slice("features", 1, own.dim)), low, high, curves)
-        return _wide(queries, window, header, k, half or k, leading(window), leading(queries), n_curves)
+        return _wide(queries, window, header, k, half or k, low, high, Coder(header.dim, low, high, curves))
     found = zorder_candidates(queries, window, curve_header or header, half or k, n_curves, seed)
     ranges = _known(feature_ranges(window.unionByName(queries), header.dim))  # with the queries
     return refine(found, queries, window, header, k, ranges)
@@ -186,11 +259,10 @@ def knn_projected(queries: DataFrame, window: DataFrame, header: Header, k: int
     """Curves over random projections to `target` dimensions, each of its own seed, with a window that does not depend on k."""
     flat, out = Header.numeric(target), None
     if is_wide(queries, window, half, n_curves):
-        matrices = [sign_matrix(target, header.dim, seed + curve) for curve in range(n_curves)]
-        q, w = (project_all(d, matrices) for d in (queries, window))
-        low, high = known_ranges(feature_ranges(w.unionByName(q), target * n_curves))
+        dim, every = header.dim, np.concatenate([sign_matrix(target, header.dim, seed + curve) for curve in range(n_curves)])
+        low, high = _ranges(project_all(window.unionByName(queries), every), dim + len(every))
         curves = [(slice(c * target, (c + 1) * target), flat.types, None) for c in range(n_curves)]
-        return _wide(queries, window, header, k, half, coded_curves(w, low, high, curves), coded_curves(q, low, high, curves), n_curves)
+        return _wide(queries, window, header, k, half, low[:dim], high[:dim], Coder(dim, low[dim:], high[dim:], curves, lambda x: projected(x, every)))
     for curve in range(n_curves):
         matrix = sign_matrix(target, header.dim, seed + curve)
         q, w = (project(d, matrix).select("id", F.col("projected").alias("features")) for d in (queries, window))

@@ -80,3 +80,17 @@ def test_projected_by_blocks(spark, monkeypatch, half):
 
 def test_knn_zorder_wide_makes_no_candidate_rows(spark):
     assert "explode(sequence(" not in plan(QUERIES["knn_zorder_wide"](spark, "/root/testdata/sf0.01"))
+
+
+def test_queries_are_placed_without_sorting_the_window(spark, monkeypatch):
+    """The scan that counts the rows of a range places the queries, too; more queries than `most` are sorted along, with the same positions."""
+    x = np.random.default_rng(6).integers(0, 4, (150, 3)).astype(float)  # with equal codes
+    df = rows(spark, x.tolist())
+    q, near, seen = df.filter("id % 10 = 0"), zorder.nearest, []
+    monkeypatch.setattr(zorder, "nearest", lambda q, *a: seen.append(plan(q)) or near(q, *a))
+    assert zorder.knn_projected(q, df, Header.numeric(3), k=4, n_curves=3, half=40).count() == 60
+    assert len(seen) == 1 and "Window" not in seen[0]
+    coder = zorder.Coder(3, np.zeros(3), np.full(3, 3.0), [(slice(0, 3), (0, 0, 0), shifts) for shifts in zorder.curve_shifts(3, 3)])
+    (w1, q1), (w2, q2) = (zorder.curve_positions(df, q, coder, most=most) for most in (20, 4))
+    assert "Window" not in plan(q1) and "Window" in plan(q2) and q1.count() == 15
+    assert sorted(map(tuple, q1.collect())) == sorted(map(tuple, q2.collect())) and sorted(map(tuple, w1.collect())) == sorted(map(tuple, w2.collect()))
