@@ -19,6 +19,8 @@ from .topk import top_k
 MOST_BROADCAST = 20_000
 #: Slices at most; more queries are dealt out in blocks, as a plan has a join for each slice.
 MOST_SLICES = 50
+#: Pairs that a task of the leave-one-out search takes, while there are fewer tasks than shuffle partitions.
+PAIRS_A_TASK = 32 << 20
 
 
 def pairs(queries: DataFrame, window: DataFrame, most: int = MOST_BROADCAST, slices: int = MOST_SLICES) -> DataFrame:
@@ -109,19 +111,37 @@ def leave_one_out(rows: DataFrame, header: Header, k: int) -> DataFrame:
 
 
 def loo_lists(rows: DataFrame, header: Header, k: int) -> DataFrame:
-    """query_id, label and others, the k nearest other rows of each row in the order of (distance, id) as an array of structs.
+    """query_id, label and others, the k nearest other rows of each row in the order of (distance, id) as an array of structs."""
+    return loo_classes(rows, header, k).select("query_id", "label", F.slice(_without("near", "query_id"), 1, k).alias("others"))
+
+
+def _without(near: str, own: str) -> Column:
+    return F.filter(near, lambda o: ~o["id"].eqNullSafe(F.col(own)))
+
+
+def loo_classes(rows: DataFrame, header: Header, k: int, once: dict[str, Column] | None = None) -> DataFrame:
+    """query_id, label and near, the k + 1 nearest rows of each row, itself included; once: columns made of `near`, once for all rows of a class.
 
     Rows of equal features have the same distances, so each class of them is searched for once, and only its k + 1 rows of the smallest ids can
-    be among the k + 1 nearest of any row; of those, a row that is one of them leaves out itself."""
+    be among the k + 1 nearest of any row; of those, a row that is one of them leaves out itself. Tasks of the search are as many as its pairs need:
+    by the bytes of so few rows they would be one."""
     key = F.xxhash64("features").alias("h")  # a join on one long; features are compared, too
     known = rows.select("id", "features", "label", "weight")
+    asked = known.groupBy("features").agg(F.min("id").alias("id")).select("id", "features")
     first = known.withColumn("_n", F.row_number().over(Window.partitionBy("features").orderBy("id"))).filter(F.col("_n") <= k + 1)
-    asked = first.filter("_n = 1").select("id", "features")
-    found = knn(asked, first.drop("_n"), header, k + 1, ranges=feature_ranges(rows, header.dim))
+    tasks = -(-((k + 1) * asked.count() ** 2) // PAIRS_A_TASK)
+    first = first.drop("_n").repartition(max(1, min(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "id")
+    found = knn(asked, first, header, k + 1, ranges=feature_ranges(rows, header.dim))
     near = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "id", "label", "weight", "distance"))).alias("near"))
-    near = near.join(asked.select(F.col("id").alias("query_id"), F.col("features").alias("f"), key), "query_id").select("f", "h", "near")
+    near = near.join(asked.select(F.col("id").alias("query_id"), F.col("features").alias("f"), key), "query_id").select("f", "h", "near", *[c.alias(n) for n, c in (once or {}).items()])
     each = known.select(F.col("id").alias("query_id"), "label", "features", key).join(near, "h").filter(F.col("features").eqNullSafe(F.col("f")))
-    return each.select("query_id", "label", F.slice(F.filter("near", lambda o: ~o["id"].eqNullSafe(F.col("query_id"))), 1, k).alias("others"))
+    return each.select("query_id", "label", "near", *(once or {}))
+
+
+def _means(labels: Column, k_max: int) -> Column:
+    """The mean of the first k labels that are known, for each k."""
+    known = lambda k: F.filter(F.slice(labels, 1, k), lambda x: x.isNotNull())
+    return F.array(*[F.try_divide(F.aggregate(known(k), F.lit(0.0), lambda s, x: s + x), F.size(known(k))) for k in range(1, k_max + 1)])
 
 
 def best_k(rows: DataFrame, header: Header, k_max: int = 10, numeric: bool = False, squared: bool = False) -> DataFrame:
@@ -130,10 +150,12 @@ def best_k(rows: DataFrame, header: Header, k_max: int = 10, numeric: bool = Fal
     errors counts wrong guesses, by plain votes with ties to the lower class; with `numeric` it is the mean absolute error
     (or with `squared` the root of the mean squared one) of the neighbours' mean label."""
     if numeric:
-        # the neighbours of a row stay in its list: the mean label of the first k of them, for each k
-        labels = loo_lists(rows, header, k_max).filter(F.size("others") > 0).select(F.col("label").alias("truth"), F.col("others.label").alias("labels"))
-        known = lambda k: F.filter(F.slice("labels", 1, k), lambda x: x.isNotNull())
-        off = [F.try_divide(F.aggregate(known(k), F.lit(0.0), lambda s, x: s + x), F.size(known(k))) - F.col("truth") for k in range(1, k_max + 1)]
+        # most rows are not among the nearest of their class, whose means are then theirs
+        rest = _without("near", "query_id")
+        own = F.col("query_id").isNull() | F.array_contains("ids", F.col("query_id"))
+        classes = loo_classes(rows, header, k_max, {"ids": F.col("near.id"), "means": _means(F.col("near.label"), k_max)})
+        labels = classes.filter(~own | (F.size(rest) > 0)).select(F.col("label").alias("truth"), F.when(own, _means(F.transform(rest, lambda o: o["label"]), k_max)).otherwise(F.col("means")).alias("means"))
+        off = [F.col("means")[k] - F.col("truth") for k in range(k_max)]
         sums = labels.select(*[(o * o if squared else F.abs(o)).alias(f"e{i}") for i, o in enumerate(off)]).agg(*[F.avg(f"e{i}").alias(f"e{i}") for i in range(k_max)])
         listed = F.array(*[F.struct(F.lit(i + 1).alias("k"), (F.sqrt(f"e{i}") if squared else F.col(f"e{i}")).alias("errors")) for i in range(k_max)])
         errors = sums.select(F.inline(listed)).filter("errors IS NOT NULL")

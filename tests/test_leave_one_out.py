@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.operators import knn as K
 from brindle.schema import Header
@@ -57,3 +58,25 @@ def test_few_rows_and_missing_labels(spark):
 
 def test_root_mean_squared_error(spark):
     check_errors(spark, True)
+
+
+def test_the_search_has_as_many_tasks_as_its_pairs_need(spark, monkeypatch):
+    """By their bytes, the few rows of all classes would be searched in one task, however many pairs they make."""
+    df, seen, knn = made(spark)[0], [], K.knn
+    monkeypatch.setattr(K, "PAIRS_A_TASK", 1000, raising=False)
+    monkeypatch.setattr(K, "knn", lambda q, w, *a, **b: seen.append(w.select(F.spark_partition_id()).distinct().count()) or knn(q, w, *a, **b))
+    K.best_k(df, Header((0, 1, 1)), 4, numeric=True, squared=True)
+    assert seen == [4]
+
+
+def test_rows_beyond_the_first_of_their_class(spark):
+    """Most rows of a class are not among its nearest rows, and have the means of the class; the others leave out themselves."""
+    df = spark.createDataFrame([(i, [float(i % 2)], float(i * i % 13) if i % 5 else None, 1.0) for i in range(40)], "id long, features array<double>, label double, weight double")
+    label = {i: float(i * i % 13) if i % 5 else None for i in range(40)}
+    for r in K.best_k(df, Header((0,)), 3, numeric=True).collect():
+        off = []
+        for q in range(40):
+            near = [label[i] for i in sorted(range(40), key=lambda i: ((i - q) % 2, i)) if i != q][: r["k"]]
+            known = [v for v in near if v is not None]
+            off += [abs(sum(known) / len(known) - label[q])] if known and label[q] is not None else []
+        assert abs(r["errors"] - np.mean(off)) < 1e-9
