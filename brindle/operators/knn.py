@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..schema import Header
-from .blocked import Metric, nearest, products, sliced
+from .blocked import Metric, nearest, products, similar, sliced
 from .ranges import feature_ranges, with_ranges
 from .topk import top_k
 
@@ -21,6 +21,8 @@ MOST_BROADCAST = 20_000
 MOST_SLICES = 50
 #: Pairs that a task of the leave-one-out search takes, while there are fewer tasks than shuffle partitions.
 PAIRS_A_TASK = 32 << 20
+#: Similarities that a search to some decimals makes where the rows meet.
+KINDS = {V.true_cosine: "root", V.squared_norm_cosine: "squared", V.normalized_cosine_distance: "distance"}
 
 
 def pairs(queries: DataFrame, window: DataFrame, most: int = MOST_BROADCAST, slices: int = MOST_SLICES) -> DataFrame:
@@ -77,14 +79,17 @@ def knn_float(queries: DataFrame, window: DataFrame, header: Header, k: int = 10
 
 
 def similarities(
-    queries: DataFrame, window: DataFrame, header: Header, similarity: Callable[[Column, Column, Column], Column], ranges: DataFrame | None = None, carry: tuple[str, ...] = ("id", "label", "weight"), most: int = MOST_BROADCAST,
+    queries: DataFrame, window: DataFrame, header: Header, similarity: Callable[[Column, Column, Column], Column], ranges: DataFrame | None = None, carry: tuple[str, ...] = ("id", "label", "weight"), most: int = MOST_BROADCAST, digits: int | None = None,
 ) -> DataFrame:
-    """query_id, `carry` of the window's rows, and similarity of all pairs. Norms are of the raw rows; the inner product is of rows scaled by ranges, if given."""
+    """query_id, `carry` of the window's rows, and similarity of all pairs, to so many decimals if `digits`. Norms are of the raw rows; the inner product is of rows scaled by ranges, if given."""
     low, high = (None, None) if ranges is None else known_ranges(ranges)
     if low is not None and not len(low):  # no row, no range
         low, high = np.zeros(header.dim), np.zeros(header.dim)
+    if digits is not None and similarity in KINDS:
+        return similar(queries, window, Metric(header.types, low, high), KINDS[similarity], digits, carry, most)
     both = products(queries, window, Metric(header.types, low, high), carry, most)
-    return both.withColumn("similarity", similarity(F.col("inner"), F.col("nq"), F.col("nx"))).drop("inner", "nq", "nx")
+    value = similarity(F.col("inner"), F.col("nq"), F.col("nx"))
+    return both.withColumn("similarity", value if digits is None else V.rounded(value, digits)).drop("inner", "nq", "nx")
 
 
 def knn_cosine(queries: DataFrame, window: DataFrame, header: Header, k: int = 10, norms: str = "squared") -> DataFrame:

@@ -246,8 +246,8 @@ FROM n q, n w WHERE q.id % 50 = 0) SELECT query_id, id, round({value}, 9) AS sim
 
 def _cosine(spark, sf_dir, similarity, scaled: bool = False) -> DataFrame:
     q, w = sides(spark, sf_dir)
-    both = K.similarities(q, w, EMB, similarity, feature_ranges(w, DIM) if scaled else None, ("id",))
-    return both.select("query_id", "id", V.rounded(F.col("similarity"), 9).alias("similarity"))
+    both = K.similarities(q, w, EMB, similarity, feature_ranges(w, DIM) if scaled else None, ("id",), digits=9)
+    return both.select("query_id", "id", "similarity")
 
 
 @query(_cosine_sql("CASE WHEN abs(dot / (a * b)) <= 1 THEN 1 - acos(dot / (a * b)) / pi() END"))

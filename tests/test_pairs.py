@@ -71,3 +71,30 @@ def test_cosine_ref(spark):
 
 def test_cosine_true(spark):
     check_cosine(spark, "cosine_true", V.true_cosine)
+
+
+@pytest.mark.parametrize("similarity", [V.true_cosine, V.squared_norm_cosine, V.normalized_cosine_distance])
+def test_decimals_are_those_of_plain_sums(spark, monkeypatch, similarity):
+    """Zero, tiny, huge, missing and equal rows, rows in a right angle, and rounded halves, with and without nominal features: the values of products()."""
+    rng = np.random.default_rng(7)
+    x = [*rng.normal(size=(60, 4)).tolist(), *np.round(rng.normal(size=(20, 4)), 1).tolist(), *(rng.normal(size=(4, 4)) * 1e-9).tolist(), *(rng.normal(size=(4, 4)) * 1e200).tolist()]
+    x[:60] = (np.array(x[:60]) / np.linalg.norm(x[:60], axis=1)[:, None] * rng.choice([0.3, 1.0, 1.2], 60)[:, None]).tolist()  # ratios of both sides of 1
+    x[60:63] = x[:3]
+    unit = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [-1.0, 0.0, 0.0, 0.0], [0.6, 0.8, 0.0, 0.0]]
+    for extra in ([], [[0.0] * 4, *x[80:], [1.0, None, 2.0, 3.0], None, [float("nan"), 1.0, 2.0, 3.0], [float("inf"), 1.0, 2.0, 3.0]]):
+        df = rows(spark, [*x[:80], *unit, *unit, *extra])
+        for header in (Header.numeric(4), Header((0, 0, 1, 0))):
+            args = df.filter("id % 3 = 0 OR id > 78"), df, header, similarity, None, ("id",)
+            want = K.similarities(*args).select("query_id", "id", V.rounded(F.col("similarity"), 9).alias("similarity"))
+            got = K.similarities(*args, digits=9)
+            assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.count() == want.count()
+
+
+def leaves_python_rounded(spark, name):
+    """Norms and inner products of a pair are no columns that a row carries out of the search."""
+    text = plan(queries.QUERIES[name](spark, SF))
+    return "MapInArrow" in text and "inner" not in text and "ACOS" not in text.upper()
+
+
+def test_cosine_ref_is_rounded_where_rows_meet(spark):
+    assert leaves_python_rounded(spark, "cosine_ref")
