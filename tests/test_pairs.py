@@ -98,3 +98,7 @@ def leaves_python_rounded(spark, name):
 
 def test_cosine_ref_is_rounded_where_rows_meet(spark):
     assert leaves_python_rounded(spark, "cosine_ref")
+
+
+def test_cosine_true_is_rounded_where_rows_meet(spark):
+    assert leaves_python_rounded(spark, "cosine_true")
