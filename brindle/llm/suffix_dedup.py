@@ -35,12 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, table
-from .shingles import chunks, mixed, ragged, string_hashes
+from .common import Scratch, lean, lean_group, partitions, table
+from .shingles import CHUNK, chunks, mixed, ragged, string_hashes
 
 NAME = "op1_suffix_dedup"
 WINDOW, GRAM = 50, 24
@@ -49,6 +50,8 @@ LAST = 2**63 - 1  # stands for a null doc_id
 #: Keys that are split at most, and batches that have one at the fewest.
 MOST_SPLIT, LEAST_SPLIT = 1_000_000, 64
 LONG_GRAM = 40
+#: Bytes of runs that are hashed or compared at a time, about: each takes some 30 bytes of memory meanwhile.
+PIECE = 1 << 20
 _LOW, _MANY = np.uint64((1 << 40) - 1), (1 << 24) - 1
 _rng = np.random.default_rng(19)
 _K = _rng.integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,22 +138,37 @@ def split_runs(data: np.ndarray, begins: np.ndarray, shards: int, split: np.ndar
     return doc[of], starts[order], sizes[order], t[of], shard
 
 
+def pieces(size: np.ndarray) -> Iterator[slice]:
+    """Consecutive runs of about PIECE bytes in all, one at least."""
+    total, begin = np.cumsum(size), 0
+    while begin < len(size):
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] - size[begin] + PIECE, "right")))
+        yield slice(begin, end)
+        begin = end
+
+
+def gathered(data: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of runs, one after the other."""
+    return np.concatenate([np.zeros(0, np.uint8), *(data[ragged(offset[some], size[some])] for some in pieces(size))])
+
+
 def unlike(data: np.ndarray, size: np.ndarray, offset: np.ndarray, at: np.ndarray, head: np.ndarray) -> np.ndarray:
     """Whether the runs `at` differ in their bytes from the runs `head`."""
     out = size[at] != size[head]
     even = np.flatnonzero(~out)
-    if len(even):
-        n = size[at[even]]
-        other = data[ragged(offset[at[even]], n)] != data[ragged(offset[head[even]], n)]
+    for some in pieces(size[at[even]]):
+        own = even[some]
+        n = size[at[own]]
+        other = data[ragged(offset[at[own]], n)] != data[ragged(offset[head[own]], n)]
         if other.any():
-            out[even] = np.add.reduceat(other, np.cumsum(n) - n) > 0
+            out[own] = np.add.reduceat(other, np.cumsum(n) - n) > 0
     return out
 
 
 def classes(data: np.ndarray, size: np.ndarray, offset: np.ndarray, first_by: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of each run the index of its class, and of each class its first run (by first_by): runs are one class if their bytes are equal.
     Each run's hash is looked up in the sorted distinct ones, and its bytes are compared with those of the first run that has it."""
-    name = string_hashes(data, offset, size)
+    name = np.concatenate([np.zeros(0, np.uint64), *(string_hashes(data, offset[some], size[some]) for some in pieces(size))])
     order = np.argsort(name) if first_by is None else np.lexsort((first_by, name))
     new = np.ones(len(order), bool)
     new[1:] = name[order][1:] != name[order][:-1]
@@ -291,24 +309,36 @@ def _ids(batch) -> np.ndarray:
     return batch.column("doc_id").fill_null(LAST).to_numpy()
 
 
+def _chunks(batch) -> Iterator[tuple[int, int]]:
+    """Ranges of a batch's texts of about CHUNK bytes."""
+    size = pc.binary_length(batch.column("text").cast(pa.binary())).fill_null(0).to_numpy()
+    total, begin = np.cumsum(size + 1), 0
+    while begin < len(size):
+        end = min(len(size), int(np.searchsorted(total, total[begin] - size[begin] - 1 + CHUNK)) + 1)
+        yield begin, end
+        begin = end
+
+
 def _keys(shards: int):
     """Step 1: per batch and shard, packed entries of key and block; and, for keys that several documents of the batch have, tokens for their blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, blocks = _texts(batch), batch.column("block").to_numpy()
-            found = []
-            for begin, end in chunks(texts):
-                data, begins = joined(texts[begin:end])
+            blocks, found = batch.column("block").to_numpy(), []
+            for begin, end in _chunks(batch):
+                data, begins = joined(_texts(batch.slice(begin, end - begin)))
                 doc, _, _, key = runs(data, begins)
-                found.append((token(key, shards), doc + begin))
-            key = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
-            doc = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
+                found.append((token(key, shards), (doc + begin).astype(np.int32)))
+            key = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in found)])
+            doc = np.concatenate([np.zeros(0, np.int32), *(x for _, x in found)])
+            del found
             order = np.argsort(key, kind="stable")  # documents stay in order
             key, doc = key[order], doc[order]
+            del order
             once = np.ones(len(key), bool)
             once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            key, doc = key[once], doc[once]
+            if not once.all():
+                key, doc = key[once], doc[once]
             first = np.ones(len(key), bool)
             first[1:] = key[1:] != key[:-1]
             size = np.diff(np.concatenate([np.flatnonzero(first), [len(key)]]))
@@ -369,7 +399,7 @@ def split_tokens(found: DataFrame, most: int = MOST_SPLIT) -> np.ndarray:
                 out.append(np.frombuffer(data.as_py(), np.uint64)[np.frombuffer(n.as_py(), np.int64) * most >= total].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["data"])
 
-    rows = each.select("data", "batches").mapInArrow(enough, "data binary").filter(F.octet_length("data") > 0).toArrow()  # `most` tokens at most
+    rows = each.select("data", "batches").mapInArrow(lean(enough), "data binary").filter(F.octet_length("data") > 0).toArrow()  # `most` tokens at most
     return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_py(), np.uint64) for x in rows["data"])]))
 
 
@@ -397,7 +427,7 @@ def _send(shards: int, split: np.ndarray):
                 own = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, t), len(wanted) - 1)] == t)
                 if len(own):
                     start, n_windows = start[own], n_windows[own]
-                    parts.append((own + done, ids[doc[own] + begin], n_windows, shard[own], data[ragged(start, n_windows + WINDOW - 1)]))
+                    parts.append((own + done, ids[doc[own] + begin], n_windows, shard[own], gathered(data, start, n_windows + WINDOW - 1)))
                 done += len(t)
             if parts:
                 place, doc, n_windows, shard, data = (np.concatenate(x) for x in zip(*parts))
@@ -407,7 +437,7 @@ def _send(shards: int, split: np.ndarray):
                 own = np.sort(own)
                 for s, at in split_by(shard[own]):
                     at = own[at]
-                    rows.append((s, block, packed(place[at].astype(np.uint32)), packed(doc[at]), packed(n_windows[at].astype(np.uint32)), packed(data[ragged(offset[at], size[at])])))
+                    rows.append((s, block, packed(place[at].astype(np.uint32)), packed(doc[at]), packed(n_windows[at].astype(np.uint32)), packed(gathered(data, offset[at], size[at]))))
         columns = list(zip(*rows)) or [[]] * 6
         return pa.table({x.split()[0]: pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, (x, c) in enumerate(zip(SENT.split(", "), columns))})
 
@@ -436,7 +466,7 @@ def _resolve(group: pa.Table) -> pa.Table:
     if len(several):
         runs_ = first[several]
         begin = np.cumsum(size[runs_]) - size[runs_]
-        owner = owners(data[ragged(offset[runs_], size[runs_])], begin, n_windows[runs_], least[several])
+        owner = owners(gathered(data, offset[runs_], size[runs_]), begin, n_windows[runs_], least[several])
         # stretches of one owner in each distinct run
         run_of = np.repeat(several, n_windows[runs_])
         at_window = ragged(np.zeros(len(runs_), np.int64), n_windows[runs_])
@@ -527,20 +557,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return df.repartition(parts, by) if parts > partitions(spark) else df
 
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))), F.lit(blocks)))
-    found = rows.mapInArrow(_keys(shards), "shard long, block long, data binary")
-    found = scratch.write(dealt(found, "shard").groupBy("shard").applyInArrow(_candidates(least_split), COUNTED), "found")
+    found = rows.mapInArrow(lean(_keys(shards)), "shard long, block long, data binary")
+    found = scratch.write(dealt(found, "shard").groupBy("shard").applyInArrow(lean_group(_candidates(least_split)), COUNTED), "found")
     split = split_tokens(found)
     found = found.filter("block >= 0").select("block", "data")
     by_block = dealt(rows, "block").groupBy("block")
-    sent = scratch.write(by_block.cogroup(dealt(found, "block").groupBy("block")).applyInArrow(_send(shards, split), SENT), "sent")
-    back = dealt(sent, "shard").groupBy("shard").applyInArrow(_resolve, BACK)
+    sent = scratch.write(by_block.cogroup(dealt(found, "block").groupBy("block")).applyInArrow(lean_group(_send(shards, split)), SENT), "sent")
+    back = dealt(sent, "shard").groupBy("shard").applyInArrow(lean_group(_resolve), BACK)
     kinds = RESULT + (", kept_bytes binary" if keep_bytes else "")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out = _remove(left, right, shards, split)
         return out if keep_bytes else out.drop_columns(["kept_bytes"])
 
-    return by_block.cogroup(dealt(back, "block").groupBy("block")).applyInArrow(finish, kinds)
+    return by_block.cogroup(dealt(back, "block").groupBy("block")).applyInArrow(lean_group(finish), kinds)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

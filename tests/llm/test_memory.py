@@ -1,9 +1,12 @@
 """Python workers give back what a task freed."""
 
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from brindle.llm import common, near_dedup, packing, quality
+from brindle.llm import common, near_dedup, packing, quality, suffix_dedup
 
 
 def test_a_task_gives_memory_back(monkeypatch):
@@ -26,3 +29,34 @@ def test_stages_with_python_are_lean():
         text = open(module.__file__).read()
         assert text.count(".mapInArrow(") == text.count(".mapInArrow(lean(")
     common.give_back()
+
+
+def test_runs_are_hashed_and_compared_in_pieces():
+    text = np.random.default_rng(1).integers(0, 256, 80_000, dtype=np.uint8)
+    size = np.full(2000, 8000)
+    offset = np.arange(2000) % 9 * 8000  # 16 MB of runs, nine distinct ones
+    tracemalloc.start()
+    try:
+        of, first = suffix_dedup.classes(text, size, offset)
+        whole = suffix_dedup.gathered(text, offset, size)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(first) == 9 and (offset[first][of] == offset).all()
+    assert (whole.reshape(2000, 8000) == text[: 9 * 8000].reshape(9, 8000)[np.arange(2000) % 9]).all()
+    assert peak < 100 << 20
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_pieces_hold_every_run_once(monkeypatch, n):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 10)
+    size = np.array([3, 7, 1, 30, 0, 10, 4, 4, 4])[: 3 * n]
+    cuts = list(suffix_dedup.pieces(size))
+    assert np.concatenate([np.arange(len(size))[x] for x in cuts]).tolist() == list(range(len(size)))
+    assert all(size[x].sum() <= 10 or x.stop == x.start + 1 for x in cuts)
+
+
+def test_repeated_passages_are_lean():
+    text = open(suffix_dedup.__file__).read()
+    assert text.count(".mapInArrow(") == text.count(".mapInArrow(lean(")
+    assert text.count(".applyInArrow(") == text.count(".applyInArrow(lean_group(") == 4
