@@ -52,6 +52,8 @@ MOST_SPLIT, LEAST_SPLIT = 1_000_000, 64
 LONG_GRAM = 40
 #: Bytes of runs that are hashed or compared at a time, about: each takes some 30 bytes of memory meanwhile.
 PIECE = 1 << 20
+#: Bytes of text whose grams are hashed at a time.
+TILE = 1 << 14
 _LOW, _MANY = np.uint64((1 << 40) - 1), (1 << 24) - 1
 _rng = np.random.default_rng(19)
 _K = _rng.integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,23 +94,28 @@ def runs(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not (lengths >= WINDOW).any():
         return none, none, none, none.view(np.uint64)
     words = np.ndarray((n + 32,), "<u8", data, strides=(1,))
-    least = gram_hashes(words[:n], words[8 : n + 8], words[16 : n + 16])
-    reach = 1
-    while reach < SPAN:  # the least of the next SPAN grams, by doubling
-        step = min(reach, SPAN - reach)
-        least = np.minimum(least[:-step], least[step:])
-        reach += step
-    edge = np.zeros(n + 1, np.int8)
-    long_enough = lengths >= WINDOW
-    np.add.at(edge, begins[:-1][long_enough], 1)
-    np.add.at(edge, begins[1:][long_enough] - WINDOW + 1, -1)
-    at = np.flatnonzero(np.cumsum(edge, dtype=np.int8)[: len(least)])
-    key = least[at]
-    first = np.ones(len(at), bool)
-    first[1:] = (at[1:] != at[:-1] + 1) | (key[1:] != key[:-1])
-    where = np.flatnonzero(first)
-    start = at[where]
-    return np.searchsorted(begins, start, "right") - 1, start, np.diff(np.concatenate([where, [len(at)]])), key[where]
+    key, first = np.empty(n - SPAN + 1, np.uint64), np.ones(n - SPAN + 1, bool)
+    for begin in range(0, len(key), TILE):  # what a tile needs stays in a core's cache
+        end = min(begin + TILE, len(key))
+        stop = end + SPAN - 1
+        least = gram_hashes(words[begin:stop], words[begin + 8 : stop + 8], words[begin + 16 : stop + 16])
+        reach = 1
+        while reach < SPAN:  # the least of the next SPAN grams, by doubling
+            step = min(reach, SPAN - reach)
+            least = np.minimum(least[:-step], least[step:])
+            reach += step
+        key[begin:end] = least
+        before = max(begin, 1)
+        np.not_equal(key[before:end], key[before - 1 : end - 1], out=first[before:end])
+    for_text = np.flatnonzero(lengths >= WINDOW)
+    text_begin, text_end = begins[for_text], begins[for_text + 1] - WINDOW + 1  # where windows begin
+    first[text_begin] = True
+    for a, b in zip(text_end.tolist(), [*text_begin[1:].tolist(), len(first)]):
+        first[a:b] = False
+    first[: text_begin[0]] = False
+    start = np.flatnonzero(first)
+    text = np.repeat(np.arange(len(for_text)), np.diff(np.searchsorted(start, [*text_begin, len(first)])))
+    return for_text[text], start, np.minimum(np.append(start[1:], len(first)), text_end[text]) - start, key[start]
 
 
 def split_runs(data: np.ndarray, begins: np.ndarray, shards: int, split: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,13 +189,17 @@ def classes(data: np.ndarray, size: np.ndarray, offset: np.ndarray, first_by: np
     return of, first
 
 
+_pack, _unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()  # one of each a worker: making one takes longer than a small packet
+
+
 def packed(x: np.ndarray) -> bytes:
     """What is exchanged of an array; doc_ids, places and text shrink further than an exchange's own codec makes them."""
-    return zstandard.compress(x.tobytes(), 1)
+    return _pack.compress(np.ascontiguousarray(x).data) if len(x) else _pack.compress(b"")
 
 
-def unpacked(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), kind) for x in column] or [np.zeros(0, kind)])
+def unpacked(column: pa.ChunkedArray, kind, behind: int = 0) -> np.ndarray:
+    """What packed() made of arrays, one after the other, and so many zero bytes behind them."""
+    return np.frombuffer(b"".join([*map(_unpack.decompress, column.to_pylist()), bytes(behind)]), kind)
 
 
 def token(key: np.ndarray, shards: int) -> np.ndarray:
@@ -196,13 +207,27 @@ def token(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key >> np.uint64(40)) % np.uint64(shards)) << np.uint64(40) | (key & _LOW)
 
 
-def split_by(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each distinct value and where it is."""
-    order = np.argsort(values, kind="stable")
-    if len(order):
-        cuts = np.flatnonzero(np.diff(values[order])) + 1
-        for own in np.split(order, cuts):
-            yield int(values[own[0]]), own
+def order_of(values: np.ndarray) -> np.ndarray:
+    """The stable order of whole numbers from 0."""
+    return np.argsort(values.astype(np.uint16) if len(values) and values.max() < 1 << 16 else values, kind="stable")
+
+
+def stretches(values: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each distinct value of sorted ones and where it is."""
+    if len(values):
+        cuts = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
+        yield from zip(values[cuts].tolist(), map(slice, cuts.tolist(), [*cuts[1:].tolist(), len(values)]))
+
+
+def tokens_by(block: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Each block and its distinct tokens; tokens are sorted. Blocks are many, so nothing is done with all tokens for each of them."""
+    order = order_of(block)
+    block, tokens = block[order], tokens[order]
+    new = np.ones(len(block), bool)
+    new[1:] = (block[1:] != block[:-1]) | (tokens[1:] != tokens[:-1])
+    block, tokens = block[new], tokens[new]
+    for b, own in stretches(block):
+        yield b, tokens[own].tobytes()
 
 
 def refined(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -253,6 +278,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, tied: np.ndarray | None
 
     tied: places known to share at least `most`. The order among them is not that of the text, so the bound does not go on from them."""
     n = len(text)
+    wide = np.ndarray((n + 1,), "<u8", np.concatenate([text, np.zeros(8, np.uint8)]), strides=(1,))
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     full = np.zeros(n, bool)
@@ -272,13 +298,12 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, tied: np.ndarray | None
         was_full = full[p]
         have[was_full] = most
         live = np.flatnonzero((q >= 0) & (have < most))
-        while len(live):
-            a, b = p[live] + have[live], q[live] + have[live]
-            ok = (a < n) & (b < n)
-            ok[ok] = text[a[ok]] == text[b[ok]]
-            live = live[ok]
-            have[live] += 1
-            live = live[have[live] < most]
+        room = np.minimum(n - np.maximum(p, q), most)
+        while len(live):  # eight bytes at a time
+            differ = wide[p[live] + have[live]] ^ wide[q[live] + have[live]]
+            even = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3
+            have[live] = np.minimum(have[live] + even, room[live])
+            live = live[(even == 8) & (have[live] < room[live])]
         out[p] = have
     return out[order]
 
@@ -346,10 +371,11 @@ def _keys(shards: int):
             block = np.where(several, _MANY, blocks[doc])
             rows = []
             entry = (key & _LOW) << np.uint64(24) | block.astype(np.uint64)
-            for shard, own in split_by((key[first] >> np.uint64(40)).astype(np.int64)):
-                rows.append((shard, -1, entry[first][own].tobytes()))
-            for b, own in split_by(blocks[doc[several]].astype(np.int64)):
-                rows.append((-1 - b % shards, b, np.unique(key[several][own]).tobytes()))
+            entry = entry[first]
+            for s, own in stretches((key[first] >> np.uint64(40)).astype(np.int64)):
+                rows.append((s, -1, entry[own].tobytes()))
+            for b, data in tokens_by(blocks[doc[several]].astype(np.int64), key[several]):
+                rows.append((-1 - b % shards, b, data))
             columns = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["shard", "block", "data"])
 
@@ -378,8 +404,8 @@ def _candidates(least_split: int):
         often = size >= least_split
         rows = [(-1, (key[begins[often]] | np.uint64(shard << 40)).tobytes(), len(entry), size[often].astype(np.int64).tobytes())]
         key, block = key[same] | np.uint64(shard << 40), block[same]
-        for b, own in split_by(block):
-            rows.append((b, np.unique(key[own]).tobytes(), None, None))
+        for b, data in tokens_by(block, key):
+            rows.append((b, data, None, None))
         columns = list(zip(*rows))
         return pa.table({x.split()[0]: pa.array(c, pa.binary() if i % 2 else pa.int64()) for i, (x, c) in enumerate(zip(COUNTED.split(", "), columns))})
 
@@ -435,9 +461,11 @@ def _send(shards: int, split: np.ndarray):
                 offset = np.cumsum(size) - size
                 _, own = classes(np.concatenate([data, np.zeros(8, np.uint8)]), size, offset, doc)  # of each distinct run, that of the smallest doc_id
                 own = np.sort(own)
-                for s, at in split_by(shard[own]):
-                    at = own[at]
-                    rows.append((s, block, packed(place[at].astype(np.uint32)), packed(doc[at]), packed(n_windows[at].astype(np.uint32)), packed(gathered(data, offset[at], size[at]))))
+                own = own[order_of(shard[own])]
+                place, doc, n_windows, shard = place[own].astype(np.uint32), doc[own], n_windows[own].astype(np.uint32), shard[own]
+                data, ends = gathered(data, offset[own], size[own]), np.concatenate([[0], np.cumsum(size[own])])
+                for s, at in stretches(shard):
+                    rows.append((s, block, packed(place[at]), packed(doc[at]), packed(n_windows[at]), packed(data[ends[at.start] : ends[at.stop]])))
         columns = list(zip(*rows)) or [[]] * 6
         return pa.table({x.split()[0]: pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, (x, c) in enumerate(zip(SENT.split(", "), columns))})
 
@@ -449,10 +477,10 @@ BACK = "block long, places binary, begins binary, ends binary, owners binary"
 
 def _resolve(group: pa.Table) -> pa.Table:
     """Step 3, per shard: owners of windows, for blocks whose own smallest doc_id is larger."""
-    places = [np.frombuffer(zstandard.decompress(x.as_py()), np.uint32) for x in group["places"]]
-    block, place = np.repeat(group["block"].to_numpy(), [len(x) for x in places]), np.concatenate(places)
+    places = [_unpack.decompress(x) for x in group["places"].to_pylist()]
+    block, place = np.repeat(group["block"].to_numpy(), [len(x) // 4 for x in places]), np.frombuffer(b"".join(places), np.uint32)
     doc, n_windows = unpacked(group["docs"], np.int64), unpacked(group["sizes"], np.uint32).astype(np.int64)
-    data = np.concatenate([unpacked(group["data"], np.uint8), np.zeros(8, np.uint8)])
+    data = unpacked(group["data"], np.uint8, 8)
     size = n_windows + WINDOW - 1
     offset = np.cumsum(size) - size
     of, first = classes(data, size, offset)  # merged by binary search in the sorted distinct runs
@@ -483,10 +511,11 @@ def _resolve(group: pa.Table) -> pa.Table:
     stretch = ragged(s_first[of], n_of[of])
     less = s_owner[stretch] < doc[entry]
     entry, stretch = entry[less], stretch[less]
-    rows = []
-    for b, own in split_by(block[entry]):
-        e, s = entry[own], stretch[own]
-        rows.append((b, packed(place[e]), packed(s_begin[s].astype(np.uint32)), packed(s_end[s].astype(np.uint32)), packed(s_owner[s])))
+    by, rows = order_of(block[entry]), []
+    entry, stretch = entry[by], stretch[by]
+    sent = place[entry], s_begin[stretch].astype(np.uint32), s_end[stretch].astype(np.uint32), s_owner[stretch]
+    for b, own in stretches(block[entry]):
+        rows.append((b, *(packed(x[own]) for x in sent)))
     columns = list(zip(*rows)) or [[]] * 5
     return pa.table({x.split()[0]: pa.array(c, pa.binary() if i else pa.int64()) for i, (x, c) in enumerate(zip(BACK.split(", "), columns))})
 
@@ -563,7 +592,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.filter("block >= 0").select("block", "data")
     by_block = dealt(rows, "block").groupBy("block")
     sent = scratch.write(by_block.cogroup(dealt(found, "block").groupBy("block")).applyInArrow(lean_group(_send(shards, split)), SENT), "sent")
-    back = dealt(sent, "shard").groupBy("shard").applyInArrow(lean_group(_resolve), BACK)
+    back = scratch.write(dealt(sent, "shard").groupBy("shard").applyInArrow(lean_group(_resolve), BACK), "back")
+    scratch.keep("back")  # what the blocks sent, twice on disk until now, is gone before the documents are exchanged again
     kinds = RESULT + (", kept_bytes binary" if keep_bytes else "")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:

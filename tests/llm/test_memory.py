@@ -1,5 +1,6 @@
 """Python workers give back what a task freed."""
 
+import time
 import tracemalloc
 
 import numpy as np
@@ -60,3 +61,36 @@ def test_repeated_passages_are_lean():
     text = open(suffix_dedup.__file__).read()
     assert text.count(".mapInArrow(") == text.count(".mapInArrow(lean(")
     assert text.count(".applyInArrow(") == text.count(".applyInArrow(lean_group(") == 4
+
+
+def test_time_of_keys_does_not_grow_with_blocks_and_shards():
+    """Nothing is done with all keys of a batch for each block or shard: both grow with the table."""
+    letters = np.random.default_rng(2).integers(97, 123, (4000, 600), dtype=np.uint8)
+    texts = [bytes(x) for x in np.concatenate([letters, letters[:, ::-1], letters])]
+
+    def seconds(n: int) -> float:
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(np.arange(len(texts)) % n)], names=["doc_id", "text", "block"])
+        took = []
+        for _ in range(3):
+            begin = time.process_time()
+            list(suffix_dedup._keys(n)(iter([batch])))
+            took.append(time.process_time() - begin)
+        return min(took)
+
+    assert seconds(3000) < 3 * seconds(10)
+
+
+def test_tokens_of_blocks_are_distinct_and_sorted():
+    block, tokens = np.array([3, 70_000, 3, 0, 3, 70_000]), np.array([1, 1, 1, 4, 9, 9], np.uint64)
+    for many in (block, np.minimum(block, 9)):
+        got = {b: np.frombuffer(x, np.uint64).tolist() for b, x in suffix_dedup.tokens_by(many, tokens)}
+        assert got == {0: [4], 3: [1, 9], int(many.max()): [1, 9]}
+    assert not list(suffix_dedup.tokens_by(block[:0], tokens[:0]))
+
+
+def test_only_what_comes_back_is_kept(spark):
+    docs = spark.createDataFrame([(i, "passage " * 20 + str(i)) for i in range(20)], "doc_id long, text string")
+    with common.temporary():
+        out = suffix_dedup.remove_repeats(docs)
+        assert [x.names for x in common.Scratch.made] == [{"back"}]
+        assert out.filter("n_removed > 0").count() == 19
