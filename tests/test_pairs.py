@@ -37,6 +37,24 @@ def test_many_queries_meet_the_window_without_a_shuffle(spark):
         assert len(got) == 8100 and all(abs(want[r["query_id"], r["id"]] - r["distance"]) < 1e-12 for r in got)
 
 
+def test_equal_queries_meet_a_row_once_in_all_slices(spark):
+    x = np.random.default_rng(5).integers(0, 3, (90, 3)).astype(float).tolist()
+    x[3], x[4], x[5], x[6] = [0.0, float("nan"), 1.0], [-0.0, float("nan"), 1.0], None, None
+    df = rows(spark, x)
+    both = K.pairs(df.select(F.col("id").alias("query_id"), F.col("features").alias("q")), df, most=5)
+    distinct = len({None if v is None else tuple(map(str, np.array(v) + 0.0)) for v in x})
+    assert distinct > 10 and both.count() == distinct * 90
+    ids = both.filter("id = 0").select(F.explode("query_ids")).collect()
+    assert sorted(r[0] for r in ids) == list(range(90))
+
+
+def test_pairs_of_one_file_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(blocked, "PAIRS_OUT", 1000)
+    df = rows(spark, np.random.default_rng(6).normal(size=(90, 3)).tolist()).coalesce(1)
+    both = K.pairs(df.select(F.col("id").alias("query_id"), F.col("features").alias("q")), df)
+    assert both.count() == 90 * 90 and both.select(F.spark_partition_id().alias("task")).distinct().count() > 4
+
+
 def test_rounding_is_that_of_sql(spark):
     x = [0.5, -0.5, 2.5e-9, -2.5e-9, 4.9999e-10, 1.0000000005, 0.1234567895, -0.9999999995, 1e300, float("nan"), float("inf"), None, 0.0, *np.random.default_rng(0).normal(size=500).tolist()]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(V.rounded(F.col("x"), 9)).collect()]
